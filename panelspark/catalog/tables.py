@@ -13,5 +13,5 @@ query("table_fundamentals", "asset year:i reprt_code period_end:d rcept_dt:d rev
       "fund", "SELECT * FROM fund")(lambda s: s.fundamentals())
 query("table_disclosures", "asset rcept_no rcept_dt:d event_category aqpln_prc_ostk:0 dppln_prc_ostk:0 bd_fta:0 nstk_ostk_qy:0 bdis_pric:0 ic_mthn div_mth bsis_stkqy:0 aft_stkqy:0 trade_uv:0 stkrt_tenths:0",
       "disc", "SELECT * FROM disc")(lambda s: s.disclosures())
-query("table_macro", "series obs_date:d value:12", "macro", "SELECT * FROM macro")(lambda s: s.macro())
+query("table_macro", "series obs_date:d value:10", "macro", "SELECT * FROM macro")(lambda s: s.macro())
 query("table_themes", "theme asset", "themes", "SELECT * FROM themes")(lambda s: s.themes())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "sources"]
+MODULES = ["tables", "sources", "universe", "technical"]
 
 
 def load():

@@ -16,18 +16,18 @@ ISSUER = _aid("o_custkey % ((SELECT max(s_suppkey) FROM supplier) + 1)")
 CTES: dict[str, tuple[list[str], str]] = {
     "daily": ([], f"""
         SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d,
-               CAST(sum(p4 * q) AS DOUBLE) AS pv, CAST(sum(q) AS DOUBLE) AS qty,
+               CAST(sum(p4 * q) AS BIGINT) AS pv, CAST(sum(q) AS BIGINT) AS qty,
                max(p4 * (200 + tax)) AS hi, min(p4 * (200 - tax)) AS lo
         FROM (SELECT l_suppkey, l_shipdate, CAST(l_quantity AS BIGINT) AS q, {C.format(c='l_tax')} AS tax,
                      {C.format(c='p_retailprice')} * (100 - {C.format(c='l_discount')}) AS p4
               FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2"""),
     "bars": (["daily"], f"""
-        SELECT {_aid('l_suppkey')} AS asset, d, CAST(hi AS DOUBLE) / 2000000.0::DOUBLE AS high,
-               CAST(lo AS DOUBLE) / 2000000.0::DOUBLE AS low, pv / (qty * 10000) AS close,
-               qty AS volume, pv / 10000.0::DOUBLE AS value,
+        SELECT {_aid('l_suppkey')} AS asset, d, CAST((hi + 19999) // 20000 AS DOUBLE) AS high,
+               CAST(lo // 20000 AS DOUBLE) AS low, CAST((2 * pv + 100 * qty) // (200 * qty) AS DOUBLE) AS close,
+               CAST(qty AS DOUBLE) AS volume, CAST(pv // 100 AS DOUBLE) AS value,
                row_number() OVER (PARTITION BY l_suppkey ORDER BY d) - 1 AS t FROM daily"""),
     "idx": (["daily"], f"""
-        SELECT index_id, d, sum(pv) / (sum(qty) * 10000) AS close, sum(qty) AS volume FROM (
+        SELECT index_id, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS close, CAST(sum(qty) AS DOUBLE) AS volume FROM (
           SELECT 'ALL' AS index_id, d, pv, qty FROM daily UNION ALL
           SELECT {EXCH.format(k='l_suppkey')}, d, pv, qty FROM daily) GROUP BY 1, 2"""),
     "mkt": (["idx"], "SELECT d, close, volume, row_number() OVER (ORDER BY d) - 1 AS t FROM idx WHERE index_id = 'ALL'"),
@@ -35,7 +35,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT {_aid('s_suppkey')} AS asset,
                s_name || CASE WHEN s_suppkey % 23 = 3 THEN ' SPAC' WHEN s_suppkey % 29 = 4 THEN ' REIT' ELSE '' END AS name,
                {EXCH.format(k='s_suppkey')} AS exchange, 'S' || CAST(s_nationkey % 5 AS VARCHAR) AS sector,
-               s_suppkey % 5 = 0 AS group_flag, s_nationkey AS industry, (s_nationkey + 1) * 250000000::BIGINT AS listed_shares
+               s_suppkey % 5 = 0 AS group_flag, s_nationkey AS industry, (s_nationkey + 1) * 2500000::BIGINT AS listed_shares
         FROM supplier"""),
     "cal": ([], "SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem"),
     "rds": (["cal"], "SELECT max(d) AS rd FROM cal GROUP BY date_trunc('month', d)"),
@@ -46,12 +46,14 @@ CTES: dict[str, tuple[list[str], str]] = {
     "mcap": (["mclose", "assets"], """
         SELECT asset, rd AS snapshot_date, exchange AS market, close * listed_shares AS market_cap, listed_shares
         FROM mclose JOIN assets USING (asset)"""),
+    "listed": (["mcap", "bars"], """
+        SELECT m.* FROM mcap m JOIN (SELECT asset, date_trunc('month', d) AS mm FROM bars GROUP BY 1, 2 HAVING count(*) >= 6) a
+        ON a.asset = m.asset AND a.mm = date_trunc('month', m.snapshot_date)"""),
     "presence": ([], f"""
         SELECT DISTINCT {_aid('l_partkey')} AS asset, last_day(CAST(l_shipdate AS DATE)) AS snapshot_date,
                {EXCH.format(k='l_partkey')} AS market FROM lineitem"""),
     "flow": ([], f"""
-        SELECT {_aid('l_suppkey')} AS asset, d, f / 100.0::DOUBLE AS foreign_net, i / 100.0::DOUBLE AS inst_net,
-               -(f + i) / 100.0::DOUBLE AS individual_net,
+        SELECT {_aid('l_suppkey')} AS asset, d, f AS foreign_net, i AS inst_net, -(f + i) AS individual_net,
                50.0::DOUBLE + 50.0::DOUBLE * CAST(sum(fq) OVER w AS DOUBLE) / CAST(sum(q) OVER w AS DOUBLE) AS holding_pct,
                row_number() OVER w - 1 AS t
         FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d,
@@ -65,7 +67,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "invflow": ([], f"""
         SELECT {EXCH.format(k='l_suppkey')} AS market, CAST(l_shipdate AS DATE) AS d,
                ['individual','foreign','inst','pension','inv_trust','private_equity','bank'][l_linenumber] AS investor,
-               CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END * {C.format(c='l_extendedprice')}) AS DOUBLE) / 100.0::DOUBLE AS net
+               CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END * {C.format(c='l_extendedprice')}) AS DOUBLE) AS net
         FROM lineitem GROUP BY 1, 2, 3"""),
     "mflow": (["invflow"], """
         SELECT market, d, coalesce(max(net) FILTER (investor = 'foreign'), 0) AS foreign_net,

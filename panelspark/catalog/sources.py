@@ -55,12 +55,12 @@ def _(s):
 
 
 @query("read_corp_codes_xml", "corp_code corp_name asset modify_date:d", "assets",
-       "SELECT lpad(asset, 8, '0') AS corp_code, name AS corp_name, asset, DATE '2001-01-31' AS modify_date FROM assets WHERE industry % 3 <> 0")
+       "SELECT lpad(asset, 8, '0') AS corp_code, name AS corp_name, asset, DATE '2001-01-31' AS modify_date FROM assets WHERE exchange = 'KOSPI'")
 def _(s):
     path = files.scratch(s.spark, "corp")
     s.assets().select(
         F.lpad("asset", 8, "0").alias("corp_code"), F.col("name").alias("corp_name"),
-        F.when(F.col("industry") % 3 != 0, F.col("asset")).otherwise("-").alias("stock_code"), F.lit("20010131").alias("modify_date"),
+        F.when(F.col("exchange") == "KOSPI", F.col("asset")).otherwise("-").alias("stock_code"), F.lit("20010131").alias("modify_date"),
     ).write.format("xml").option("rowTag", "list").option("rootTag", "result").save(path)
     return files.read_corp_codes_xml(s.spark, path)
 
@@ -217,17 +217,17 @@ def _(s):
 
 
 def _corp_map(s):
-    return s.assets().filter(F.col("industry") % 3 != 0).select(F.lpad("asset", 8, "0").alias("corp_code"), "asset", "name")
+    return s.assets().filter(F.col("exchange") == "KOSPI").select(F.lpad("asset", 8, "0").alias("corp_code"), "asset", "name")
 
 
 @query("map_corp_to_asset", "corp_code year:i reprt_code asset", "fund assets",
-       "SELECT lpad(f.asset, 8, '0') AS corp_code, year, reprt_code, CASE WHEN industry % 3 <> 0 THEN f.asset END AS asset FROM fund f JOIN assets a ON f.asset = a.asset")
+       "SELECT lpad(f.asset, 8, '0') AS corp_code, year, reprt_code, CASE WHEN exchange = 'KOSPI' THEN f.asset END AS asset FROM fund f JOIN assets a ON f.asset = a.asset")
 def _(s):
     panel = s.fundamentals().select(F.lpad("asset", 8, "0").alias("corp_code"), "year", "reprt_code")
     return N.map_corp_to_asset(panel, _corp_map(s))
 
 
-@query("enrich_name", "asset rd:d name", "keys assets", "SELECT k.asset, rd, CASE WHEN industry % 3 <> 0 THEN name ELSE '' END AS name FROM keys k JOIN assets a ON k.asset = a.asset")
+@query("enrich_name", "asset rd:d name", "keys assets", "SELECT k.asset, rd, CASE WHEN exchange = 'KOSPI' THEN name ELSE '' END AS name FROM keys k JOIN assets a ON k.asset = a.asset")
 def _(s):
     return N.enrich_name(s.keys(), _corp_map(s))
 

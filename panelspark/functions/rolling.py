@@ -52,12 +52,3 @@ def rolling_z(c: Column, w: WindowSpec, n: int, need: int) -> Column:
 def lag_return(c: Column, w: WindowSpec, n: int = 1) -> Column:
     return F.try_divide(c, F.lag(c, n).over(w)) - 1
 
-
-def ewm_log(q: float, x: Column, t: Column, w: WindowSpec, seed: Column, alpha: float) -> Column:
-    """Recursive exponential mean y_t = q*y_{t-1} + alpha*x_t as one running sum.
-
-    y_t = q^t * (x_0 + alpha * sum_{i>=1} x_i * q^-i), `seed` being x_0 and `t` the row index from 0.
-    Safe while t < 700 / ln(1/q); use `ewm_blocks` beyond that.
-    """
-    scaled = F.when(t > 0, x * F.pow(F.lit(1.0 / q), t)).otherwise(F.lit(0.0))
-    return F.pow(F.lit(q), t) * (seed + F.lit(alpha) * F.sum(scaled).over(running(w)))

@@ -34,19 +34,19 @@ def numeric_columns(df: DataFrame, exclude: set[str]) -> list[str]:
 
 
 def null_rates(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(column, null_rate): one pass over the data, then one short unpivot."""
+    """(feature, null_rate): one pass over the data, then one short unpivot."""
     one = df.groupBy(*(keys or [])).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
-    return one.unpivot(keys or [], cols, "column", "null_rate")
+    return one.unpivot(keys or [], cols, "feature", "null_rate")
 
 
 def select_feature_columns(df: DataFrame, exclude: set[str], max_null_rate: float = 0.5) -> DataFrame:
-    """(column, null_rate, selected) for the numeric and boolean columns outside the exclusion set."""
+    """(feature, null_rate, selected) for the numeric and boolean columns outside the exclusion set."""
     rates = null_rates(df, numeric_columns(df, exclude))
     return rates.withColumn("selected", F.col("null_rate") <= max_null_rate)
 
 
 def coverage_report(df: DataFrame, cols: list[str]) -> DataFrame:
-    return null_rates(df, cols).select("column", (1 - F.col("null_rate")).alias("coverage"))
+    return null_rates(df, cols).select("feature", (1 - F.col("null_rate")).alias("coverage"))
 
 
 def labelled_only(df: DataFrame, label: str = "label") -> DataFrame:

@@ -42,6 +42,10 @@ def exchange_of(key: Column) -> Column:
     return F.when(key % 2 == 0, "KOSPI").otherwise("KOSDAQ")
 
 
+# Prices are whole ticks (hundredths), so sums over any window are exact whatever the row order.
+_VWAP = "cast((2 * pv + 100 * qty) div (200 * qty) as double)"
+
+
 def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -76,11 +80,11 @@ class Star:
         """(asset, d, high, low, close, volume, value): one bar per supplier and ship date."""
         return self._daily().select(
             asset_id(F.col("l_suppkey")).alias("asset"), "d",
-            (F.col("hi") / F.lit(2000000.0)).alias("high"),
-            (F.col("lo") / F.lit(2000000.0)).alias("low"),
-            (F.col("pv").cast("double") / (F.col("qty") * 10000).cast("double")).alias("close"),
+            F.expr("cast((hi + 19999) div 20000 as double)").alias("high"),
+            F.expr("cast(lo div 20000 as double)").alias("low"),
+            F.expr(_VWAP).alias("close"),
             F.col("qty").cast("double").alias("volume"),
-            (F.col("pv").cast("double") / F.lit(10000.0)).alias("value"),
+            F.expr("cast(pv div 100 as double)").alias("value"),
         )
 
     def index_bars(self) -> DataFrame:
@@ -92,7 +96,7 @@ class Star:
             .agg(F.sum("pv").alias("pv"), F.sum("qty").alias("qty"))
             .select(
                 "index_id", "d",
-                (F.col("pv").cast("double") / (F.col("qty") * 10000).cast("double")).alias("close"),
+                F.expr(_VWAP).alias("close"),
                 F.col("qty").cast("double").alias("volume"),
             )
         )
@@ -110,7 +114,7 @@ class Star:
             F.concat(F.lit("S"), (F.col("s_nationkey") % 5).cast("string")).alias("sector"),
             (k % 5 == 0).alias("group_flag"),
             F.col("s_nationkey").alias("industry"),
-            ((F.col("s_nationkey") + 1) * F.lit(250000000).cast("bigint")).alias("listed_shares"),
+            ((F.col("s_nationkey") + 1) * F.lit(2500000).cast("bigint")).alias("listed_shares"),
         )
 
     def calendar(self) -> DataFrame:
@@ -149,6 +153,12 @@ class Star:
             )
         )
 
+    def listed(self) -> DataFrame:
+        """Month-end snapshots of the assets that traded on at least six days of the month."""
+        active = self._daily().groupBy("l_suppkey", F.trunc("d", "MM").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+        active = active.filter(F.col("n") >= 6).select(asset_id(F.col("l_suppkey")).alias("asset"), "m")
+        return self.mcap().withColumn("m", F.trunc("snapshot_date", "MM")).join(active, ["asset", "m"], "left_semi").drop("m")
+
     def presence(self) -> DataFrame:
         """(asset, snapshot_date, market): parts shipped in a month, a sparse membership history."""
         return (
@@ -175,8 +185,8 @@ class Star:
         w = running(series("l_suppkey"))
         return day.select(
             asset_id(F.col("l_suppkey")).alias("asset"), "d",
-            (F.col("f") / F.lit(100.0)).alias("foreign_net"), (F.col("i") / F.lit(100.0)).alias("inst_net"),
-            (-(F.col("f") + F.col("i")) / F.lit(100.0)).alias("individual_net"),
+            F.col("f").cast("double").alias("foreign_net"), F.col("i").cast("double").alias("inst_net"),
+            (-(F.col("f") + F.col("i"))).cast("double").alias("individual_net"),
             (F.lit(50.0) + F.lit(50.0) * F.sum("fq").over(w) / F.sum("q").over(w)).alias("holding_pct"),
         )
 
@@ -189,7 +199,7 @@ class Star:
                 F.element_at(F.array(*[F.lit(x) for x in INVESTORS]), F.col("l_linenumber")).alias("investor"),
                 (F.when(F.col("l_linestatus") == "O", 1).otherwise(-1) * _cents("l_extendedprice")).alias("c"),
             )
-            .groupBy("market", "d", "investor").agg((F.sum("c") / F.lit(100.0)).alias("net"))
+            .groupBy("market", "d", "investor").agg(F.sum("c").cast("double").alias("net"))
         )
 
     def _issuer(self) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelspark.functions.scalars import clip
 from panelspark.operators import ordered
 from panelspark.operators.asof import asof
+from panelspark.sources.files import materialize
 
 
 def rank_in_date(df: DataFrame, score: str, k: int | None, keys: list[str] | None = None, out: str = "rank", tie: str = "asset") -> DataFrame:
@@ -21,6 +22,7 @@ def rank_in_date(df: DataFrame, score: str, k: int | None, keys: list[str] | Non
 
 def percentile_ranks(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], suffix: str = "_rank", null_fill: float | None = 0.5) -> DataFrame:
     """Average-tie rank / non-null count of several columns inside each group, all columns in one pass."""
+    df = materialize(df, "ranks")
     long = ordered.unpivot(df, [*keys, *ids], cols).filter(F.col("_val").isNotNull())
     ranked = ordered.average_rank(long, [*keys, "_col"], "_val", "_rank")
     wide = ordered.repivot(ranked, [*keys, *ids], cols, "_rank", suffix)
@@ -35,6 +37,7 @@ def robust_z(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], su
 
     Fewer than five values give NULL; a vanishing MAD gives 0 to every row, missing ones included.
     """
+    df = materialize(df, "zscores")
     long = ordered.unpivot(df, [*keys, *ids], cols)
     group = [*keys, "_col"]
     q = ordered.exact_quantiles(long, group, "_val", {"_q01": 0.01, "_med": 0.5, "_q99": 0.99})

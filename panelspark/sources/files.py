@@ -16,6 +16,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts the lineage of a frame that several branches read.
+
+    The copy is on shared storage, so a lost executor costs nothing but the tasks it was running.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_dated_snapshots(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Stack per-date snapshot files; the date is the eight digits before `.parquet` in the path.
 

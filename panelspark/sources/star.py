@@ -104,6 +104,14 @@ class Star:
     def market(self) -> DataFrame:
         return self.index_bars().filter(F.col("index_id") == "ALL").drop("index_id")
 
+    def sector_bars(self) -> DataFrame:
+        """(sector, d, close): traded-value weighted price of each sector."""
+        daily = self._daily().withColumn("asset", asset_id(F.col("l_suppkey")))
+        return (
+            daily.join(self.assets().select("asset", "sector"), "asset").groupBy("sector", "d")
+            .agg(F.sum("pv").alias("pv"), F.sum("qty").alias("qty")).select("sector", "d", F.expr(_VWAP).alias("close"))
+        )
+
     def assets(self) -> DataFrame:
         k = F.col("s_suppkey")
         name = F.concat(

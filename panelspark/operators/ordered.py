@@ -27,7 +27,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str, every: int = SAM
     aggregated exchange with the same columns, which lets Spark run it once.
     """
     vals = (
-        df.select(*_nn(keys), F.col(value).alias("_v")).dropna("any", [*keys, "_v"])
+        df.select(*_nn(keys), F.col(value).alias("_v")).dropna(subset=[*keys, "_v"])
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("eq"))
     )
     picked = F.array_sort(F.collect_list(F.when(F.pmod(F.xxhash64("_v"), F.lit(every)) == 0, F.col("_v"))))

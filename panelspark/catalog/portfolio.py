@@ -121,8 +121,8 @@ query("validation_suite", "members_min:i members_max:i members_mean:6 max_null_r
     lambda s: P.validation_suite(XS.calendar_returns(s.bars(), s.keys()), ["ret_12m", "ret_3m"], periods(s)))
 query("governance_weight_cap", "asset rd:d capped:8", "gov", "SELECT asset, rd, CASE WHEN governance_risk_score >= 0.8 THEN 0 WHEN governance_risk_score >= 0.6 THEN 0.02 WHEN governance_risk_score >= 0.4 THEN 0.04 ELSE 0.1 END AS capped FROM gov")(
     lambda s: E.governance_scores(s.disclosures(), event_universe(s)).select("asset", "rd", E.governance_weight_cap(F.col("governance_risk_score"), F.lit(0.1)).alias("capped")))
-query("governance_adjusted_score", "asset rd:d adj:11", "gov mclose", "SELECT g.asset, g.rd, close / 1e5 * (1 - 0.35 * governance_risk_score) AS adj FROM gov g JOIN mclose c ON c.asset = g.asset AND c.rd = g.rd")(
-    lambda s: E.governance_scores(s.disclosures(), event_universe(s)).join(s.month_closes(), ["asset", "rd"]).select("asset", "rd", (F.col("close") / 1e5 * (1 - 0.35 * F.col("governance_risk_score"))).alias("adj")))
+query("governance_adjusted_score", "asset rd:d adj:8", "gov mclose", "SELECT g.asset, g.rd, close / 99991 * (1 - 0.35 * governance_risk_score) AS adj FROM gov g JOIN mclose c ON c.asset = g.asset AND c.rd = g.rd")(
+    lambda s: E.governance_scores(s.disclosures(), event_universe(s)).join(s.month_closes(), ["asset", "rd"]).select("asset", "rd", (F.col("close") / 99991 * (1 - 0.35 * F.col("governance_risk_score"))).alias("adj")))
 
 
 def picks(s):

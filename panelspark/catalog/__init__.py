@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "sources", "universe", "technical", "xsection", "flow_macro", "fundamental_events", "portfolio", "episodes", "themes", "models", "monitors", "packets"]
+MODULES = ["tables", "sources", "universe", "technical", "xsection", "flow_macro", "fundamental_events", "portfolio", "episodes", "themes", "models", "monitors", "packets", "plans"]
 
 
 def load():

@@ -58,7 +58,7 @@ def sector_proxy(df: DataFrame) -> DataFrame:
     """Sector where known, else exchange x market-cap bucket."""
     m = F.col("market_cap")
     bucket = F.when(m < MCAP_EDGES[0], "small").when(m < MCAP_EDGES[1], "mid").when(m < MCAP_EDGES[2], "large").otherwise("mega")
-    proxy = F.concat_ws("_", "exchange", F.when(m.isNull(), "unknown").otherwise(bucket))
+    proxy = F.concat_ws("_", "exchange" if "exchange" in df.columns else "market", F.when(m.isNull(), "unknown").otherwise(bucket))
     return df.withColumn("sector_key", F.coalesce("sector", proxy) if "sector" in df.columns else proxy)
 
 

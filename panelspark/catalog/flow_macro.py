@@ -92,7 +92,7 @@ UNIT = 100000  # flow amounts brought to the size the regime thresholds expect
 def regimes(s):
     rds = s.month_ends().select("rd")
     tech = T.technical_at(s.bars(), s.market(), s.keys())
-    w = M.DAY
+    w = M.day()
     r5 = s.market().select("d", (F.try_divide(F.col("close"), F.lag("close", 5).over(w)) - 1).alias("kospi_5d_return"))
     trend = RG.market_trend_flag(tech, 0.03).join(M.asof_panel(r5, rds, ["kospi_5d_return"]), "rd")
     return RG.regime_snapshots(

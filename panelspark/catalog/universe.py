@@ -6,9 +6,9 @@ from panelspark.catalog.registry import add_cte, query
 from panelspark.functions import feature_groups as G, scalars as X
 from panelspark.functions.rolling import series
 from panelspark.operators import asof as A, hygiene as H, universe as U, xsection as XS
+from panelspark.sources.files import materialize
 from panelspark.sources.normalize import keep_last
 
-XSW = series("asset")
 CFG = U.Eligibility(min_trading_value=2.2e6, min_market_cap=8e11, min_listed_months=12)
 
 add_cte("hist", "presence", """
@@ -43,18 +43,20 @@ def _(s):
     return U.avg_trading_value(s.bars(), s.keys())
 
 
-add_cte("univ", "listed atv assets", """
-    SELECT m.asset, m.snapshot_date AS rd, m.market, m.market_cap, avg_trading_value_60d, days_observed, name, exchange, sector, group_flag, industry, lm AS listed_months,
+add_cte("memb", "listed rds", """
+    SELECT r.rd, l.* FROM (SELECT rd, (SELECT max(snapshot_date) FROM listed WHERE snapshot_date <= rd) AS sd FROM rds) r JOIN listed l ON l.snapshot_date = r.sd""")
+add_cte("univ", "memb listed atv assets", """
+    SELECT m.asset, m.rd, m.market, m.market_cap, avg_trading_value_60d, days_observed, name, exchange, sector, group_flag, industry, lm AS listed_months,
       CASE WHEN regexp_matches(m.asset, '^\\d{5}[579]$') THEN 'preferred' WHEN name ILIKE '%SPAC%' THEN 'spac' WHEN name ILIKE '%REIT%' THEN 'reit'
         WHEN coalesce(avg_trading_value_60d, 0) < 2.2e6 THEN 'low_trading_value' WHEN coalesce(m.market_cap, 0) < 8e11 THEN 'low_market_cap'
         WHEN coalesce(lm, 0) < 12 THEN 'too_new' ELSE '' END AS exclude_reason
-    FROM listed m JOIN atv a ON a.asset = m.asset AND a.rd = m.snapshot_date JOIN assets s ON s.asset = m.asset
-    LEFT JOIN (SELECT p.asset, p.snapshot_date, CASE WHEN f > (SELECT min(snapshot_date) FROM listed) THEN round_even(datediff('day', f, p.snapshot_date) / 30.4375::DOUBLE, 0) END AS lm
-               FROM listed p JOIN (SELECT asset, min(snapshot_date) AS f FROM listed GROUP BY 1) USING (asset)) l ON l.asset = m.asset AND l.snapshot_date = m.snapshot_date""")
+    FROM memb m JOIN atv a ON a.asset = m.asset AND a.rd = m.rd JOIN assets s ON s.asset = m.asset
+    LEFT JOIN (SELECT p.asset, p.rd, CASE WHEN f > (SELECT min(snapshot_date) FROM listed) THEN round_even(datediff('day', f, p.rd) / 30.4375::DOUBLE, 0) END AS lm
+               FROM memb p JOIN (SELECT asset, min(snapshot_date) AS f FROM listed GROUP BY 1) USING (asset)) l ON l.asset = m.asset AND l.rd = m.rd""")
 
 
 def universe(s, cfg=CFG):
-    return U.universe_panel(s.listed(), s.bars(), s.assets(), s.month_ends().select("rd"), cfg)
+    return U.universe_panel(materialize(s.listed(), "snapshots"), s.bars(), s.assets(), s.month_ends().select("rd"), cfg)
 
 
 @query("universe_snapshot", "asset rd:d market market_cap:0 name avg_trading_value_60d:4 days_observed:0 listed_months:0 exclude_reason eligible", "univ",
@@ -154,7 +156,7 @@ query("registry_gaps", "asset n:i", "assets", "SELECT asset, CASE sector WHEN 'S
 query("sign_flips", "asset d:d pos:0 neg:0", "flow", """
     SELECT asset, d, CASE WHEN p < 0 AND foreign_net > 0 THEN 1 ELSE 0 END AS pos, CASE WHEN p > 0 AND foreign_net < 0 THEN 1 ELSE 0 END AS neg
     FROM (SELECT *, lag(foreign_net) OVER (PARTITION BY asset ORDER BY d) AS p FROM flow)""")(
-    lambda s: s.flow().withColumn("p", F.lag("foreign_net").over(XSW)).select("asset", "d", X.sign_flip_pos(F.col("p"), F.col("foreign_net")).alias("pos"), X.sign_flip_neg(F.col("p"), F.col("foreign_net")).alias("neg")))
+    lambda s: s.flow().withColumn("p", F.lag("foreign_net").over(series("asset"))).select("asset", "d", X.sign_flip_pos(F.col("p"), F.col("foreign_net")).alias("pos"), X.sign_flip_neg(F.col("p"), F.col("foreign_net")).alias("neg")))
 
 
 

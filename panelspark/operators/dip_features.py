@@ -6,31 +6,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.rolling import before, running, series, trailing
 from panelspark.operators.asof import asof
+from panelspark.sources.files import materialize
 
-W = series("asset")
-C, H, L, V = F.col("close"), F.col("high"), F.col("low"), F.col("volume")
+def _w():
+    return series("asset")
 
 
 def _t(df: DataFrame) -> DataFrame:
-    return df if "t" in df.columns else df.withColumn("t", F.row_number().over(W) - 1)
+    return df if "t" in df.columns else df.withColumn("t", F.row_number().over(_w()) - 1)
 
 
 def price_features(bars: DataFrame) -> DataFrame:
     """Ten price-action columns; frames of `before` exclude the dip row itself. Peak of the trailing 30 rows as given by the episode."""
     df = _t(bars)
     at = lambda n: F.col("t") >= n
-    struct_max = lambda f: F.max(F.struct(C.alias("p"), (-F.col("t")).alias("nt"))).over(f)
+    struct_max = lambda f: F.max(F.struct(F.col("close").alias("p"), (-F.col("t")).alias("nt"))).over(f)
     # ties inside the 30 rows before the dip: the latest maximum counts there
-    late_max = F.max(F.struct(C.alias("p"), F.col("t").alias("t"))).over(before(W, 30))
+    late_max = F.max(F.struct(F.col("close").alias("p"), F.col("t").alias("t"))).over(before(_w(), 30))
     df = df.withColumns({
-        "_hi": F.max(C).over(W.rowsBetween(-252, 0)), "_m50": F.avg(C).over(before(W, 50)), "_m200": F.avg(C).over(before(W, 200)),
-        "_pk31": struct_max(W.rowsBetween(-30, 0)), "_late": late_max, "_mu": F.avg(C).over(before(W, 20)), "_sd": F.stddev_samp(C).over(before(W, 20)),
-        "_chg": C - F.lag(C).over(W), "_pc": F.lag(C).over(W), "_past": F.collect_list(C).over(before(W, 60)), "_run": F.sum(C).over(running(W)), "_c60": F.collect_list(C).over(W.rowsBetween(-61, 0)),
+        "_hi": F.max(F.col("close")).over(_w().rowsBetween(-252, 0)), "_m50": F.avg(F.col("close")).over(before(_w(), 50)), "_m200": F.avg(F.col("close")).over(before(_w(), 200)),
+        "_pk31": struct_max(_w().rowsBetween(-30, 0)), "_late": late_max, "_mu": F.avg(F.col("close")).over(before(_w(), 20)), "_sd": F.stddev_samp(F.col("close")).over(before(_w(), 20)),
+        "_chg": F.col("close") - F.lag(F.col("close")).over(_w()), "_pc": F.lag(F.col("close")).over(_w()), "_past": F.collect_list(F.col("close")).over(before(_w(), 60)), "_run": F.sum(F.col("close")).over(running(_w())), "_c60": F.collect_list(F.col("close")).over(_w().rowsBetween(-61, 0)),
     })
-    df = df.withColumn("_tr", F.greatest(H - L, F.abs(H - F.col("_pc")), F.abs(L - F.col("_pc"))))
-    g = F.avg(F.greatest(F.col("_chg"), F.lit(0.0))).over(trailing(W, 14))
-    lo = F.avg(F.greatest(-F.col("_chg"), F.lit(0.0))).over(trailing(W, 14))
-    df = df.withColumns({"_g": g, "_l": lo, "_atr": F.avg("_tr").over(trailing(W, 14)), "_cs": F.collect_list("_run").over(before(W, 60))})
+    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))
+    g = F.avg(F.greatest(F.col("_chg"), F.lit(0.0))).over(trailing(_w(), 14))
+    lo = F.avg(F.greatest(-F.col("_chg"), F.lit(0.0))).over(trailing(_w(), 14))
+    df = df.withColumns({"_g": g, "_l": lo, "_atr": F.avg("_tr").over(trailing(_w(), 14)), "_cs": F.collect_list("_run").over(before(_w(), 60))})
     # position of the latest maximum, one row late, and the close 30 rows before it
     back = F.col("t") - (F.col("_late.t") + 1)
     peak_idx = F.col("_late.t") + 1
@@ -44,36 +45,36 @@ def price_features(bars: DataFrame) -> DataFrame:
         "f_dip_duration_days": F.when(at(30), (F.col("t") + F.col("_pk31.nt")).cast("double")),
         "f_pre_dip_uptrend_30d": F.when(at(31) & (peak_idx > 30) & (base > 0), past(back) / base - 1),
         "f_pre_dip_consolidation_days": F.when(at(60), near.cast("double")),
-        "f_dist_from_52w_high": F.when(at(252), C / F.col("_hi") - 1),
-        "f_dist_from_50_ma": F.when(at(50), C / F.col("_m50") - 1),
-        "f_dist_from_200_ma": F.when(at(200), C / F.col("_m200") - 1),
-        "f_bollinger_band_position": F.when(at(20) & (F.col("_sd") > 0), (C - F.col("_mu")) / (2 * F.col("_sd"))),
+        "f_dist_from_52w_high": F.when(at(252), F.col("close") / F.col("_hi") - 1),
+        "f_dist_from_50_ma": F.when(at(50), F.col("close") / F.col("_m50") - 1),
+        "f_dist_from_200_ma": F.when(at(200), F.col("close") / F.col("_m200") - 1),
+        "f_bollinger_band_position": F.when(at(20) & (F.col("_sd") > 0), (F.col("close") - F.col("_mu")) / (2 * F.col("_sd"))),
         "f_rsi_14_at_dip": F.when(at(15), F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.col("_l"))).otherwise(100.0)),
-        "f_atr_14_pct": F.when(at(15), F.col("_atr") / C),
+        "f_atr_14_pct": F.when(at(15), F.col("_atr") / F.col("close")),
     }).drop("_hi", "_m50", "_m200", "_pk31", "_late", "_mu", "_sd", "_chg", "_pc", "_past", "_run", "_cs", "_c60", "_tr", "_g", "_l", "_atr")
 
 
 def volume_features(bars: DataFrame) -> DataFrame:
     df = _t(bars)
     at = lambda n: F.col("t") >= n
-    sign = F.signum(C - F.lag(C).over(W))
-    clv = F.when(H > L, ((C - L) - (H - C)) / (H - L)).otherwise(0.0)
-    df = df.withColumns({"_ov": sign * V, "_ad": clv * V, "_m30": F.avg(V).over(before(W, 30)), "_v30": F.collect_list(V).over(before(W, 30))})
-    win = trailing(W, 30)
+    sign = F.signum(F.col("close") - F.lag(F.col("close")).over(_w()))
+    clv = F.when(F.col("high") > F.col("low"), ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    df = df.withColumns({"_ov": sign * F.col("volume"), "_ad": clv * F.col("volume"), "_m30": F.avg(F.col("volume")).over(before(_w(), 30)), "_v30": F.collect_list(F.col("volume")).over(before(_w(), 30))})
+    win = trailing(_w(), 30)
 
     def slope(c: str, zero_ok: bool) -> Column:
         first, total = F.first(c).over(win), F.sum(c).over(win)
         val = (total - first) / F.greatest(F.lit(1.0), F.abs(first) + 1e-9)
         return F.when(at(30), val) if zero_ok else F.when(at(30) & (first != 0), val)
 
-    z = lambda c: F.when(at(60) & (F.stddev_samp(c).over(before(W, 60)) > 0), (c - F.avg(c).over(before(W, 60))) / F.stddev_samp(c).over(before(W, 60)))
+    z = lambda c: F.when(at(60) & (F.stddev_samp(c).over(before(_w(), 60)) > 0), (c - F.avg(c).over(before(_w(), 60))) / F.stddev_samp(c).over(before(_w(), 60)))
     return df.withColumns({
-        "f_vol_dip_day_z60": z(V),
-        "f_vol_5d_avg_vs_60d": F.when(at(60) & (F.avg(V).over(before(W, 60)) > 0), F.avg(V).over(before(W, 5)) / F.avg(V).over(before(W, 60))),
+        "f_vol_dip_day_z60": z(F.col("volume")),
+        "f_vol_5d_avg_vs_60d": F.when(at(60) & (F.avg(F.col("volume")).over(before(_w(), 60)) > 0), F.avg(F.col("volume")).over(before(_w(), 5)) / F.avg(F.col("volume")).over(before(_w(), 60))),
         "f_vol_dryup_pct_pre_dip": F.when(at(30) & (F.col("_m30") > 0), F.size(F.filter("_v30", lambda x: x < F.col("_m30") * 0.7)) / 30.0),
         "f_obv_slope_30d": slope("_ov", True), "f_ad_slope_30d": slope("_ad", False),
-        "f_vol_post_dip_5d_vs_dip_day": F.when(V > 0, F.avg(V).over(W.rowsBetween(1, 5)) / V),
-        "f_intraday_close_position": F.when(H > L, (C - L) / (H - L)),
+        "f_vol_post_dip_5d_vs_dip_day": F.when(F.col("volume") > 0, F.avg(F.col("volume")).over(_w().rowsBetween(1, 5)) / F.col("volume")),
+        "f_intraday_close_position": F.when(F.col("high") > F.col("low"), (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))),
         "f_dip_day_value_zscore_60d": z(F.col("value")),
     }).drop("_ov", "_ad", "_m30", "_v30")
 
@@ -118,8 +119,8 @@ def context_features(eps: DataFrame, index: DataFrame, vol: DataFrame, risk: Dat
     w = Window.partitionBy(F.lit(1)).orderBy("d")
     cnt = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     g = F.lit(1).alias("_g")
-    ix = index.select("d", g, F.when(cnt >= 252, C / F.max(C).over(trailing(w, 252)) - 1).alias("f_kospi_drawdown_at_dip"),
-                      F.when(cnt >= 200, (C > F.avg(C).over(trailing(w, 200))).cast("double")).alias("f_kospi_above_ma200"))
+    ix = index.select("d", g, F.when(cnt >= 252, F.col("close") / F.max(F.col("close")).over(trailing(w, 252)) - 1).alias("f_kospi_drawdown_at_dip"),
+                      F.when(cnt >= 200, (F.col("close") > F.avg(F.col("close")).over(trailing(w, 200))).cast("double")).alias("f_kospi_above_ma200"))
     v, v5 = F.col("vkospi_level"), F.lag("vkospi_level", 4).over(w)
     vx = vol.select("d", g, F.when(cnt >= 5, v).alias("f_vkospi_at_dip"), F.when((cnt >= 5) & (v5 > 0), v / v5 - 1).alias("f_vkospi_change_5d"))
     days = eps.select("dip_date").distinct().select("dip_date", g)
@@ -149,7 +150,7 @@ def event_features(eps: DataFrame, events: DataFrame) -> DataFrame:
     cat = F.col("event_category")
     daily = events.filter(F.col("rcept_dt").isNotNull()).groupBy("asset", F.col("rcept_dt").alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(cat.isin(NEGATIVE)).alias("neg"), F.count_if(cat.isin(POSITIVE)).alias("pos"), F.count_if(cat.isin(DILUTIVE)).alias("dil"))
-    w = W.rowsBetween(Window.unboundedPreceding, 0)
+    w = _w().rowsBetween(Window.unboundedPreceding, 0)
     ms = ["n", "neg", "pos", "dil"]
     tot = daily.select("asset", "d", *[F.sum(m).over(w).alias(m) for m in ms])
     offs = [1, 6, 11, 31]
@@ -165,8 +166,10 @@ def event_features(eps: DataFrame, events: DataFrame) -> DataFrame:
 
 def dip_feature_panel(eps: DataFrame, bars: DataFrame, flow: DataFrame, index: DataFrame, vol: DataFrame, events: DataFrame, risk: DataFrame | None = None) -> DataFrame:
     """All 42 columns for the episodes whose date is a bar of the asset."""
+    eps = materialize(eps, "episodes")
     base = volume_features(price_features(bars))
     feats = [c for c in base.columns if c.startswith("f_")]
     out = eps.join(base.select("asset", F.col("d").alias("dip_date"), *feats), ["asset", "dip_date"])
     out = out.withColumn("f_dip_magnitude_pct", F.when(F.col("peak_close") > 0, F.col("dip_low_close") / F.col("peak_close") - 1))
-    return event_features(context_features(flow_features(out, flow), index, vol, risk), events)
+    out = materialize(context_features(flow_features(out, flow), index, vol, risk), "dip-features")
+    return event_features(out, events)

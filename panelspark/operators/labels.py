@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.rolling import series
+from panelspark.sources.files import materialize
 
 # Fixed values: (months before, months after, upper end included) around the surge start.
 WINDOWS = {"pre_surge": (-6, 3, True), "pre_entry": (-6, -1, False), "continuation": (0, 3, True)}
@@ -25,6 +26,7 @@ def label_by_window(panel: DataFrame, episodes: DataFrame, name: str, lo: int, h
 
 
 def label_windows(panel: DataFrame, episodes: DataFrame) -> DataFrame:
+    episodes = materialize(episodes, "episodes")
     for name, (lo, hi, inc) in WINDOWS.items():
         panel = label_by_window(panel, episodes, f"is_{name}", lo, hi, inc)
     return panel

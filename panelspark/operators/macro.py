@@ -22,11 +22,12 @@ PUBLICATION_LAG = {
     "macro_kr_industrial_prod": 30, "macro_export_yoy": 5, "macro_export_yoy_3m_avg": 5,
 }
 
-DAY = Window.partitionBy(F.lit(1)).orderBy("d")
+def day():
+    return Window.partitionBy(F.lit(1)).orderBy("d")
 
 
 def _change(c, n):
-    return F.try_divide(c, F.lag(c, n).over(DAY)) - 1
+    return F.try_divide(c, F.lag(c, n).over(day())) - 1
 
 
 def macro_signals(panel: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def macro_signals(panel: DataFrame) -> DataFrame:
     missing = {c: F.lit(None).cast("double") for c in RENAME.values() if c not in df.columns}
     df = df.withColumns(missing) if missing else df
     c = F.col
-    z = lambda x: rolling_z(c(x), DAY, 60, 15)
+    z = lambda x: rolling_z(c(x), day(), 60, 15)
     out = df.withColumns({
         "macro_bok_rate_change_60d": _change(c("macro_bok_base_rate"), 60),
         "macro_ktb_10y_3y_spread": c("macro_ktb_10y_yield") - c("macro_ktb_3y_yield"),
@@ -43,7 +44,7 @@ def macro_signals(panel: DataFrame) -> DataFrame:
         "macro_usd_krw_zscore_60d": z("macro_usd_krw"),
         "macro_usd_krw_change_20d": _change(c("macro_usd_krw"), 20),
         "macro_kr_pmi_diffusion": c("macro_kr_pmi") - 50,
-        "macro_export_yoy_3m_avg": roll_mean(c("macro_export_yoy"), DAY, 3, 2),
+        "macro_export_yoy_3m_avg": roll_mean(c("macro_export_yoy"), day(), 3, 2),
         "macro_dxy_zscore_60d": z("macro_dxy"),
         "macro_wti_zscore_60d": z("macro_wti_close"),
     })
@@ -54,10 +55,10 @@ def derivative_signals(panel: DataFrame) -> DataFrame:
     """(d, vkospi_level, foreign_futures_net_oi) -> level, z-score, change, alarm flag and open-interest change."""
     v, oi = F.col("vkospi_level"), F.col("foreign_futures_net_oi")
     return panel.withColumns({
-        "vkospi_zscore_60d": rolling_z(v, DAY, 60, 10),
+        "vkospi_zscore_60d": rolling_z(v, day(), 60, 10),
         "vkospi_change_5d": _change(v, 5),
         "vkospi_above_25": F.coalesce(v > 25, F.lit(False)),
-        "foreign_futures_net_5d_change": oi - F.lag(oi, 5).over(DAY),
+        "foreign_futures_net_5d_change": oi - F.lag(oi, 5).over(day()),
         "kospi200_basis_bp": F.lit(None).cast("double"),
     })
 
@@ -73,7 +74,7 @@ def asof_panel_lagged(panel: DataFrame, dates: DataFrame, cols: list[str], lags:
     out = dates.select("rd").distinct()
     for lag in sorted({lags.get(c, 0) for c in cols}):
         group = [c for c in cols if lags.get(c, 0) == lag]
-        w = DAY.rowsBetween(Window.unboundedPreceding, 0)
+        w = day().rowsBetween(Window.unboundedPreceding, 0)
         filled = panel.select(F.date_add("d", lag).alias("d"), *[F.last(c, ignorenulls=True).over(w).alias(c) for c in group])
         out = out.join(asof_panel(filled, dates, group), "rd")
     return out

@@ -59,6 +59,7 @@ def scored_folds(panel: DataFrame, features: list[str], label: str, n_folds: int
     parts = []
     for k in folds_of(base, n_folds, embargo):
         part = assemble(base.join(roles.filter(F.col("fold") == k), "rd"), features)
+        part = materialize(part.drop(*features), "fold")
         train, test = part.filter(F.col("role") == "train"), part.filter(F.col("role") == "test")
         n_pos, n = train.agg(F.sum(label), F.count(F.lit(1))).first()
         if not n_pos or n_pos < min_positives or n_pos == n:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.operators.asof import asof
+from panelspark.sources.files import materialize
 
 KEY = ["strategy", "rd"]
 
@@ -138,6 +139,7 @@ def membership_change(panel: DataFrame, periods: DataFrame) -> DataFrame:
 
 def backtest_periods(sel: DataFrame, bars: DataFrame, periods: DataFrame, cost: Column | float = 0.0031) -> DataFrame:
     """One row per (strategy, rd): gross, turnover, cost, net. `sel` carries weight (and cost_rate if cost is a column)."""
+    sel = materialize(sel, "selection")
     rets = period_returns(sel, bars, periods)
     rate = cost if isinstance(cost, Column) else F.lit(cost)
     gross = rets.groupBy("strategy", "rd", "rd_next").agg(
@@ -193,6 +195,7 @@ def verdict(excess: Column) -> Column:
 def trade_list(positions: DataFrame, periods: DataFrame) -> DataFrame:
     """Share changes between consecutive target positions with the side's cost: (strategy, rd, asset, side, shares, notional, cost)."""
     cols = ["strategy", "rd", "asset", "shares", "price", "market_cap"]
+    positions = materialize(positions, "positions")
     now = positions.select(*cols, F.lit(1).alias("sgn"))
     moved = positions.join(periods.filter(F.col("rd_next").isNotNull()), "rd").select("strategy", F.col("rd_next").alias("rd"), "asset", "shares", "price", "market_cap", F.lit(-1).alias("sgn"))
     j = now.unionByName(moved).groupBy("strategy", "rd", "asset").agg(
@@ -227,6 +230,7 @@ def variant_selections(picks: DataFrame, n: int) -> DataFrame:
     from panelspark.operators.xsection import rank_in_date
 
     rows = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(v[1]).alias("guard"), F.lit(v[2]).alias("overlay"), F.lit(v[3]).alias("penalty"), F.lit(v[4]).alias("sleeves")) for k, v in VARIANTS.items()])
+    picks = materialize(picks, "picks")
     df = picks.withColumn("_v", F.explode(rows)).select(*picks.columns, "_v.*")
     df = df.filter(~F.col("overlay") | (F.coalesce("governance_hard_veto_flag", F.lit(0.0)) < 0.5))
     risk = F.coalesce("governance_risk_score", F.lit(0.0))

@@ -13,16 +13,26 @@ from panelspark.functions.rolling import roll_mean, roll_std, running, series, t
 from panelspark.functions.scalars import clip
 from panelspark.operators.asof import asof
 
-W = series("asset")
+
+
+def _w():
+    return series("asset")
+
+
 SMA_WINDOWS = (5, 20, 50, 60, 150, 200)
 
 
 def with_row_index(bars: DataFrame) -> DataFrame:
-    return bars if "t" in bars.columns else bars.withColumn("t", F.row_number().over(W) - 1)
+    return bars if "t" in bars.columns else bars.withColumn("t", F.row_number().over(_w()) - 1)
 
 
 def sma(bars: DataFrame, windows=SMA_WINDOWS) -> DataFrame:
-    return bars.withColumns({f"ma_{n}": roll_mean(F.col("close"), W, n) for n in windows})
+    """Simple averages as differences of one running sum: constant work per row whatever the window."""
+    c = F.col("close")
+    df = bars.withColumns({"_rs": F.sum(c).over(running(_w())), "_rc": F.count(c).over(running(_w()))})
+    z = lambda x, n: F.coalesce(F.lag(x, n).over(_w()), F.lit(0))
+    cols = {f"ma_{n}": F.when(F.col("_rc") - z("_rc", n) == n, (F.col("_rs") - z("_rs", n)) / n) for n in windows}
+    return df.withColumns(cols).drop("_rs", "_rc")
 
 
 def _dist(c: str) -> Column:
@@ -36,8 +46,8 @@ def ma_stack_aligned(df: DataFrame) -> DataFrame:
 
 
 def extremes_52w(df: DataFrame, n: int = 252) -> DataFrame:
-    f, c = trailing(W, n), F.col("close")
-    enough = F.count(c).over(running(W)) >= 5
+    f, c = trailing(_w(), n), F.col("close")
+    enough = F.count(c).over(running(_w())) >= 5
     hi, lo = F.when(enough, F.max(c).over(f)), F.when(enough, F.min(c).over(f))
     out = df.withColumns({"high_52w": hi, "low_52w": lo})
     return out.withColumns({
@@ -49,7 +59,7 @@ def extremes_52w(df: DataFrame, n: int = 252) -> DataFrame:
 
 def volume_stats(df: DataFrame, n: int = 50) -> DataFrame:
     v = F.col("volume")
-    out = df.withColumns({"volume_ma_50": roll_mean(v, W, n), "_vs": roll_std(v, W, n), "_v5": F.avg(v).over(trailing(W, 5))})
+    out = df.withColumns({"volume_ma_50": roll_mean(v, _w(), n), "_vs": roll_std(v, _w(), n), "_v5": F.avg(v).over(trailing(_w(), 5))})
     m = F.col("volume_ma_50")
     return out.withColumns({
         "volume_zscore_50": F.when(m.isNotNull(), F.when(F.col("_vs") > 0, (v - m) / F.col("_vs")).otherwise(0.0)),
@@ -59,7 +69,7 @@ def volume_stats(df: DataFrame, n: int = 50) -> DataFrame:
 
 def wilder(df: DataFrame, rsi_n: int = 14, atr_ns=(14, 20, 60)) -> DataFrame:
     """RSI and average true ranges; both smooth with alpha = 1/n from the first row."""
-    pc = F.lag("close").over(W)
+    pc = F.lag("close").over(_w())
     chg = F.col("close") - pc
     base = with_row_index(df).withColumns({
         "_g": F.coalesce(F.greatest(chg, F.lit(0.0)), F.lit(0.0)),
@@ -86,7 +96,7 @@ def vol_contraction(df: DataFrame) -> DataFrame:
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     c = F.col("close")
-    out = df.withColumns({"_m": roll_mean(c, W, n), "_s": roll_std(c, W, n)})
+    out = df.withColumns({"_m": roll_mean(c, _w(), n), "_s": roll_std(c, _w(), n)})
     up, lo = F.col("_m") + k * F.col("_s"), F.col("_m") - k * F.col("_s")
     out = out.withColumns({"bb_upper_20": up, "bb_lower_20": lo})
     width = F.col("bb_upper_20") - F.col("bb_lower_20")
@@ -95,7 +105,7 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 def weinstein_stage(df: DataFrame) -> DataFrame:
     c, m = F.col("close"), F.col("ma_200")
-    out = with_row_index(df).withColumn("_prev", F.lag("ma_200", 20).over(W))
+    out = with_row_index(df).withColumn("_prev", F.lag("ma_200", 20).over(_w()))
     slope = m / F.col("_prev") - 1
     above, below = c > m * 1.02, c < m * 0.98
     label = (
@@ -111,7 +121,7 @@ def weinstein_stage(df: DataFrame) -> DataFrame:
 def trend_template(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Eight trend conditions counted; the strength condition compares with the index over 251 sessions."""
     c = F.col("close")
-    out = with_row_index(df).withColumns({"_prev": F.lag("ma_200", 20).over(W), "_own": F.try_divide(c, F.lag(c, 251).over(W)) - 1})
+    out = with_row_index(df).withColumns({"_prev": F.lag("ma_200", 20).over(_w()), "_own": F.try_divide(c, F.lag(c, 251).over(_w())) - 1})
     if index is not None:
         wi = Window.partitionBy(F.lit(1)).orderBy("d")
         ix = index.select("d", (F.try_divide(F.col("close"), F.lag("close", 251).over(wi)) - 1).alias("_idx"))

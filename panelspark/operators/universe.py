@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.rolling import series, trailing
 from panelspark.operators.asof import asof, asof_snapshot
+from panelspark.sources.files import materialize
 
 
 def listing_history(snapshots: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def universe_panel(
     snapshots: DataFrame, bars: DataFrame, names: DataFrame, dates: DataFrame, cfg: Eligibility = Eligibility(), markets: list[str] = ["ALL"]
 ) -> DataFrame:
     """The whole (asset, rd) panel in one plan: as-of membership, liquidity, listing age, eligibility."""
-    snap = filter_market(asof_snapshot(snapshots, dates), markets)
+    snap = materialize(filter_market(asof_snapshot(snapshots, dates), markets), "members")
     keys = snap.select("asset", "rd")
     out = (
         snap.join(avg_trading_value(bars, keys), ["asset", "rd"], "left")

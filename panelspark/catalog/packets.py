@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog.registry import add_cte, query
 from panelspark.operators import hygiene as H, packets as PK, xsection as XS
 from panelspark.sources import normalize as N
+from panelspark.sources.files import materialize
 from panelspark.sources.packets import CUTOFF, methodology_packets, moat_packets
 
 _T = ", ".join(f"('{k}', '{v[0][0]}', {v[1]})" for k, v in PK.SOURCE_TYPES.items())
@@ -26,7 +27,7 @@ query("explode_moat_packets", "packet_id dimension evidence_id assessment:2 conf
     lambda s: PK.explode_moat_packets(moat_packets(s)))
 query("moat_scores", "packet_id moat_quality_score:8 evidence_confidence:8 weakest_dimension evidence_count:i independent_source_group_count:i source_type_count:i source_affiliation_count:i support_evidence_count:i", "mev mviol", """
     SELECT CAST(k AS VARCHAR) AS packet_id, avg(a) AS moat_quality_score, avg(cf) AS evidence_confidence, arg_min(dim, (a, i)) AS weakest_dimension, count(*) AS evidence_count, count(DISTINCT grp) AS independent_source_group_count, count(DISTINCT typ) AS source_type_count,
-      count(DISTINCT aff) AS source_affiliation_count, count(*) FILTER (j = 0) AS support_evidence_count FROM mev WHERE k NOT IN (SELECT packet_id FROM mviol) GROUP BY k""")(lambda s: PK.moat_scores(moat_packets(s), CUTOFF))
+      count(DISTINCT aff) AS source_affiliation_count, count(*) FILTER (j = 0) AS support_evidence_count FROM mev WHERE k NOT IN (SELECT packet_id FROM mviol) GROUP BY k""")(lambda s: PK.moat_scores(materialize(moat_packets(s), "packets"), CUTOFF))
 _P = ", ".join(f"({i}, '{n}')" for i, n in enumerate(PK.PILLARS))
 _L = ", ".join(f"('{k}', '{p}')" for k, v in PK.LENSES.items() for p in v)
 add_cte("mpl", "", f"""
@@ -42,7 +43,7 @@ query("lens_scores", "packet_id lens absolute:7 peer:7", "mlens", "SELECT CAST(k
 query("methodology_scores", "packet_id equal_absolute_score:7 equal_peer_score:7 evidence_confidence:7 dispersion_absolute:7 dispersion_peer:7 stage_adjusted_pillar_count:i thin_peer_group_count:i unique_artifact_id_count:i", "mpl mpv mlens", """
     SELECT CAST(p.k AS VARCHAR) AS packet_id, avg(a) AS equal_absolute_score, avg(peer) AS equal_peer_score, avg(cf) AS evidence_confidence, any_value(da) AS dispersion_absolute, any_value(dp) AS dispersion_peer, count(*) FILTER (adj) AS stage_adjusted_pillar_count,
       count(*) FILTER (n < 5) AS thin_peer_group_count, count(DISTINCT (p.k + i) % 4) AS unique_artifact_id_count FROM mpl p JOIN (SELECT k, max(absolute) - min(absolute) AS da, max(peer) - min(peer) AS dp FROM mlens GROUP BY 1) l ON l.k = p.k WHERE p.k NOT IN (SELECT packet_id FROM mpv) GROUP BY p.k""")(
-    lambda s: PK.methodology_scores(methodology_packets(s), *_M))
+    lambda s: PK.methodology_scores(materialize(methodology_packets(s), "packets"), *_M))
 
 
 @query("verify_artifact_hashes", "artifact_id status", "", """

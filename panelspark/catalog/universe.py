@@ -45,12 +45,13 @@ def _(s):
 
 add_cte("memb", "listed rds", """
     SELECT r.rd, l.* FROM (SELECT rd, (SELECT max(snapshot_date) FROM listed WHERE snapshot_date <= rd) AS sd FROM rds) r JOIN listed l ON l.snapshot_date = r.sd""")
-add_cte("univ", "memb listed atv assets", """
+add_cte("univ", "memb listed bars assets", """
     SELECT m.asset, m.rd, m.market, m.market_cap, avg_trading_value_60d, days_observed, name, exchange, sector, group_flag, industry, lm AS listed_months,
       CASE WHEN regexp_matches(m.asset, '^\\d{5}[579]$') THEN 'preferred' WHEN name ILIKE '%SPAC%' THEN 'spac' WHEN name ILIKE '%REIT%' THEN 'reit'
         WHEN coalesce(avg_trading_value_60d, 0) < 2.2e6 THEN 'low_trading_value' WHEN coalesce(m.market_cap, 0) < 8e11 THEN 'low_market_cap'
         WHEN coalesce(lm, 0) < 12 THEN 'too_new' ELSE '' END AS exclude_reason
-    FROM memb m JOIN atv a ON a.asset = m.asset AND a.rd = m.rd JOIN assets s ON s.asset = m.asset
+    FROM memb m ASOF LEFT JOIN (SELECT asset, d, avg(value) OVER w AS avg_trading_value_60d, count(value) OVER w AS days_observed FROM bars WINDOW w AS (PARTITION BY asset ORDER BY d ROWS 59 PRECEDING)) a
+      ON a.asset = m.asset AND m.rd >= a.d JOIN assets s ON s.asset = m.asset
     LEFT JOIN (SELECT p.asset, p.rd, CASE WHEN f > (SELECT min(snapshot_date) FROM listed) THEN round_even(datediff('day', f, p.rd) / 30.4375::DOUBLE, 0) END AS lm
                FROM memb p JOIN (SELECT asset, min(snapshot_date) AS f FROM listed GROUP BY 1) USING (asset)) l ON l.asset = m.asset AND l.rd = m.rd""")
 

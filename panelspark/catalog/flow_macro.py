@@ -69,7 +69,7 @@ query("macro_signals", "d:d " + " ".join(f"{c}:{6 if 'zscore' in c or 'change' i
 query("ffill_daily", "d:d usd_krw:9 vix:9", "mwide", "SELECT * FROM mwide")(lambda s: series_to_daily_wide(s.macro(), _RAW))
 _LAGGED = ["macro_kr_pmi", "macro_usd_krw", "macro_usd_krw_zscore_60d", "macro_bok_rate_change_60d", "macro_consumer_sentiment", "macro_export_yoy_3m_avg"]
 add_cte("macl", "rds macs", "SELECT r.rd, " + ", ".join(f"(SELECT arg_max({c}, d) FROM macs m WHERE m.{c} IS NOT NULL AND m.d + {M.PUBLICATION_LAG.get(c, 0)} <= r.rd) AS {c}" for c in [*_LAGGED, "macro_usd_krw_change_20d"]) + " FROM rds r")
-query("macro_snapshot_lagged", "rd:d " + " ".join(f"{c}:7" for c in _LAGGED), "macl", "SELECT * FROM macl")(lambda s: M.asof_panel_lagged(macro_panel(s), s.month_ends(), _LAGGED))
+query("macro_snapshot_lagged", "rd:d " + " ".join(f"{c}:{6 if 'zscore' in c or 'change' in c else 9}" for c in _LAGGED), "macl", "SELECT * FROM macl")(lambda s: M.asof_panel_lagged(macro_panel(s), s.month_ends(), _LAGGED))
 
 
 def derivatives(s):

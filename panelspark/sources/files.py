@@ -12,6 +12,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="panelspark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -66,7 +66,7 @@ query("top_by_mcap", "market snapshot_date:d asset r:i", "mcap", "SELECT * FROM
 
 query("latest_n_rows", "asset d:d foreign_net:0 r:i", "flow", "SELECT * FROM (SELECT asset, d, foreign_net, row_number() OVER (PARTITION BY asset ORDER BY d DESC) AS r FROM flow) WHERE r <= 5")(lambda s: _rank(s.flow(), "d", 5, ["asset"]))
 query("quarterly_leaders", "quarter theme mean_return_60d:7 rank:i", "tstr", """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY mean_return_60d DESC, theme) AS rank FROM (SELECT year(d) || 'Q' || quarter(d) AS quarter, theme, avg(abs_return_60d) AS mean_return_60d FROM tstr GROUP BY 1, 2) WHERE mean_return_60d IS NOT NULL) WHERE rank <= 5""")(
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY mean_return_60d DESC, theme) AS rank FROM (SELECT year(d) || 'Q' || quarter(d) AS quarter, theme, round(avg(abs_return_60d), 12) AS mean_return_60d FROM tstr GROUP BY 1, 2) WHERE mean_return_60d IS NOT NULL) WHERE rank <= 5""")(
     lambda s: TH.quarterly_leaders(strength(s)))
 
 

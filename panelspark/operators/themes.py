@@ -99,9 +99,12 @@ def industry_strength(bars: DataFrame, industry: DataFrame, mcap: DataFrame, lea
 
 
 def quarterly_leaders(strength: DataFrame, k: int = 5, key: str = "theme") -> DataFrame:
-    """Mean 60-row return per (quarter, theme) and the k best themes of each quarter."""
+    """Mean 60-row return per (quarter, theme) and the k best themes of each quarter.
+
+    Means are rounded before ranking, so equal themes tie by name and not by the last bit of a sum.
+    """
     q = strength.withColumn("quarter", F.concat(F.year("d").cast("string"), F.lit("Q"), F.quarter("d").cast("string")))
-    m = q.groupBy("quarter", key).agg(F.avg("abs_return_60d").alias("mean_return_60d")).filter(F.col("mean_return_60d").isNotNull())
+    m = q.groupBy("quarter", key).agg(F.round(F.avg("abs_return_60d"), 12).alias("mean_return_60d")).filter(F.col("mean_return_60d").isNotNull())
     w = Window.partitionBy("quarter").orderBy(F.col("mean_return_60d").desc(), key)
     return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

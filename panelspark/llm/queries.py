@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from panelspark.llm.licenses import op4_license_scan
 from panelspark.llm.lines import OP5_SQL, op5_line_dedup
 from panelspark.llm.mixing import OP9_SQL, op9_mix_sources
+from panelspark.llm.quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op4_license_scan, op5_line_dedup, op7_quality_rules, op9_mix_sources)}
 SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}

@@ -6,6 +6,7 @@ from panelspark.llm.licenses import op4_license_scan
 from panelspark.llm.lines import OP5_SQL, op5_line_dedup
 from panelspark.llm.mixing import OP9_SQL, op9_mix_sources
 from panelspark.llm.quality import op7_quality_rules
+from panelspark.llm.simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op5_line_dedup, op7_quality_rules, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_license_scan, op5_line_dedup, op7_quality_rules, op9_mix_sources)}
 SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}

@@ -28,18 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Write df once below the shared folder and read it back.
-
-    The copy survives lost executors, cuts the lineage and goes when the driver ends.
-    """
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/panelspark-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return path
+
+
+def land(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df once below the shared folder and read it back: the copy survives lost executors and cuts the lineage."""
+    path = f"{fresh_folder(df.sparkSession, name)}/rows"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from panelspark.llm.licenses import op4_license_scan
 from panelspark.llm.lines import OP5_SQL, op5_line_dedup
 from panelspark.llm.mixing import OP9_SQL, op9_mix_sources
+from panelspark.llm.packing import op10_best_fit_packing
 from panelspark.llm.quality import op7_quality_rules
 from panelspark.llm.rans import op6_token_files
 from panelspark.llm.simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op9_mix_sources, op10_best_fit_packing)}
 SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}

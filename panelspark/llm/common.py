@@ -38,10 +38,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def land(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def land(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """Write df once below the shared folder and read it back: the copy survives lost executors and cuts the lineage."""
     path = f"{fresh_folder(df.sparkSession, name)}/rows"
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

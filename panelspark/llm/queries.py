@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from panelspark.llm.bwt import op8_suffix_array_dedup
+from panelspark.llm.fmindex import op2_substring_dedup
 from panelspark.llm.licenses import op4_license_scan
 from panelspark.llm.lines import OP5_SQL, op5_line_dedup
 from panelspark.llm.mixing import OP9_SQL, op9_mix_sources
@@ -10,5 +12,5 @@ from panelspark.llm.quality import op7_quality_rules
 from panelspark.llm.rans import op6_token_files
 from panelspark.llm.simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op9_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op8_suffix_array_dedup, op9_mix_sources, op10_best_fit_packing)}
 SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}

@@ -11,6 +11,7 @@ from panelspark.llm.packing import op10_best_fit_packing
 from panelspark.llm.quality import op7_quality_rules
 from panelspark.llm.rans import op6_token_files
 from panelspark.llm.simhash import op1_simhash
+from panelspark.llm.vectors import op3_embedding_near_dups
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op8_suffix_array_dedup, op9_mix_sources, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_embedding_near_dups, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op8_suffix_array_dedup, op9_mix_sources, op10_best_fit_packing)}
 SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}

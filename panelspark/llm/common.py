@@ -78,7 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = land(_oriented(small.unionByName(low.select("a", F.col("m").alias("b")))), "edges")
         if (now := _mark(state)) == mark:
-            return state.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            stars = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
         mark = now
 
 

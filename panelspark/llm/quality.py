@@ -117,17 +117,19 @@ def base_failed() -> F.Column:
 def threshold(scored: DataFrame, labels: DataFrame, max_rows: int = 20_000, loss: float = 20.0) -> float:
     """The score at which labelled documents split best, a lost good one counting loss times a kept bad one.
 
-    labels(doc, quality); a hash-chosen sample of at most max_rows takes part. Among equally good scores the lowest
-    wins, so an unlabelled corpus, or one without bad labels, keeps all that its good documents reach.
+    labels(doc, quality) are documents that the target model has not seen; a hash-chosen sample of at most max_rows takes part. The
+    cut is half-way down to the next lower score, so good documents a little below the labelled ones stay; among equally good
+    cuts the lowest wins, and without bad labels everything stays.
     """
     sample = _sample(labels.where("quality in (0, 1)"), max_rows)
     rows = scored.where(~base_failed()).join(F.broadcast(sample), "doc").select("score", "quality").toPandas()
     good, bad = (np.sort(rows.loc[rows["quality"] == q, "score"].to_numpy()) for q in (1, 0))
-    if not len(good):
-        return float("-inf")
     at = np.unique(np.concatenate([good, bad]))
+    if not len(at):
+        return float("-inf")
     cost = loss * np.searchsorted(good, at, "left") + len(bad) - np.searchsorted(bad, at, "left")
-    return float(at[np.argmin(cost)])
+    best = int(np.argmin(cost))
+    return float((at[best] + at[best - 1]) / 2) if best else float("-inf")
 
 
 def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -137,17 +139,18 @@ def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = 20_000) -> DataFrame:
     """Counts, score, base_failed and kept for every row of docs.
 
-    labels(doc_id, quality, toxic): the trusted target is a hash-chosen sample of at most max_trusted documents
-    with quality 1 that are not marked toxic; the raw model is the whole corpus. The threshold comes from a bounded sample of labels too.
-    kept is false for base failures and for scores below the threshold. Without trusted documents every
-    document that passes the base rules stays.
+    labels(doc_id, quality, toxic): half of the documents with quality 1 that are not marked toxic, by hash and at most
+    max_trusted, are the trusted target; the raw model is the whole corpus. The other labels, a bounded sample
+    too, give the threshold. kept is false for base failures and for scores below the threshold. Without trusted
+    documents every document that passes the base rules stays.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc"), "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     marks = marks.groupBy("doc").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    trusted = [r["doc"] for r in _sample(marks.where("quality = 1 and toxic = 0"), max_trusted).select("doc").collect()]
+    target = (F.col("quality") == 1) & (F.col("toxic") == 0) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(2)) == 0)
+    trusted = [r["doc"] for r in _sample(marks.where(target), max_trusted).select("doc").collect()]
     weights = ngram_weights(docs, trusted, id_col, text_col) if trusted else None
     scored = common.land(quality_scores(docs, weights, id_col, text_col), "quality")
-    cut = threshold(scored, marks) if weights is not None else float("-inf")
+    cut = threshold(scored, marks.where(~target)) if weights is not None else float("-inf")
     failed = base_failed()
     return scored.select("*", failed.alias("base_failed"), (~failed & (F.col("score") >= cut)).alias("kept"), F.lit(cut).alias("threshold"))
 

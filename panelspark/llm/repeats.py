@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +100,18 @@ def _unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def _press(data) -> bytes:
+    return zstandard.compress(data.tobytes() if isinstance(data, np.ndarray) else data, 3)
+
+
+def _release(data: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype)
+
+
+def _released(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
+    return [_release(x, dtype) for x in column.to_pylist()]
+
+
 class Finder:
     def __init__(self, kind: type, window: int, gram: int, resolve: Callable, hot_contents: int, chunk_bytes: int):
         self.kind, self.window, self.gram, self.resolve = kind, window, gram, resolve
@@ -112,7 +125,7 @@ class Finder:
                 view = self.kind(buf, offsets)
                 key, start, count, content = segments(view.symbols, view.bounds, self.window, self.gram)
                 of = np.searchsorted(view.bounds, start, side="right") - 1
-                yield batch.slice(a, b - a), ids[a:b], view, key, start, count, content, of
+                yield batch.slice(a, b - a), ids[a:b], (view, buf, offsets), key, start, count, content, of
 
     # 1: keys in two documents
     def keys(self, batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -175,7 +188,7 @@ class Finder:
         held, size, made = [], 0, 0
         for block in self._scan(batches):
             held.append(block)
-            size += sum(len(t or "") for t in block[0].column("body").to_pylist())
+            size += len(block[2][1])
             if size >= self.chunk_bytes:
                 yield from self._chunk(held, made, shards, shared.value, several.value, hot.value)
                 held, size, made = [], 0, made + 1
@@ -192,7 +205,7 @@ class Finder:
             if cut.any():
                 each = np.repeat(np.flatnonzero(cut), count[cut])
                 first = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[cut]) - count[cut], count[cut])
-                single = Prefix(view.symbols).runs(first, first + self.window)
+                single = Prefix(view[0].symbols).runs(first, first + self.window)
                 rest = ~cut
                 key = np.concatenate([key[rest], words.mix(single)])
                 content = np.concatenate([content[rest], single])
@@ -209,39 +222,36 @@ class Finder:
         lead = order[new]  # the first of each content has its smallest document
         part = held[0][0].column("part")[0].as_py()
         chunk = (part << 20) + made
-        texts = [held[b][2].text(a, a + n + self.window - 1) if m else b"" for b, a, n, m in zip(block[lead].tolist(), start[lead].tolist(), count[lead].tolist(), many[lead].tolist())]
+        texts = [held[b][2][0].text(a, a + n + self.window - 1) if m else b"" for b, a, n, m in zip(block[lead].tolist(), start[lead].tolist(), count[lead].tolist(), many[lead].tolist())]
         cut = _split(key[lead], shards)
         full = np.flatnonzero(np.diff(cut)).tolist()
         span = [slice(cut[i], cut[i + 1]) for i in full]
         sizes = np.array([len(t) for t in texts], np.int32)
         asks = {
             "shard": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "base": pa.array([int(cut[i]) for i in full], pa.int64()),
-            "keys": pa.array([key[lead][s].tobytes() for s in span], pa.binary()),
-            "contents": pa.array([np.where(many[lead][s], content[lead][s], np.uint64(0)).tobytes() for s in span], pa.binary()),
-            "firsts": pa.array([doc[lead][s].tobytes() for s in span], pa.binary()), "sizes": pa.array([sizes[s].tobytes() for s in span], pa.binary()),
-            "texts": pa.array([b"".join(texts[s]) for s in span], pa.binary()),
+            "keys": pa.array([_press(key[lead][s]) for s in span], pa.binary()),
+            "contents": pa.array([_press(np.where(many[lead][s], content[lead][s], np.uint64(0))) for s in span], pa.binary()),
+            "firsts": pa.array([_press(doc[lead][s]) for s in span], pa.binary()), "sizes": pa.array([_press(sizes[s]) for s in span], pa.binary()),
+            "texts": pa.array([_press(b"".join(texts[s])) for s in span], pa.binary()),
         }
         yield _row(asks, len(full), 0)
-        for i, (rows, ids, view, *_) in enumerate(held):
+        for i, (rows, ids, (view, buf, offsets), *_) in enumerate(held):
             mine = np.flatnonzero(block == i)
             mine = mine[np.lexsort((start[mine], of[mine]))]
-            cut = np.searchsorted(of[mine], np.arange(len(ids) + 1))
-            local = start[mine] - view.bounds[of[mine]]
-            pieces = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-            texts = {
-                "chunk": pa.array([chunk] * len(ids), pa.int64()), "doc": rows.column("doc"), "body": rows.column("body"),
-                "numbers": pa.array([number[mine][s].astype(np.int32).tobytes() for s in pieces], pa.binary()),
-                "starts": pa.array([local[s].astype(np.int32).tobytes() for s in pieces], pa.binary()),
-                "counts": pa.array([count[mine][s].astype(np.int32).tobytes() for s in pieces], pa.binary()),
+            ids = rows.column("doc")
+            parts = {
+                "docs": ids.fill_null(0).to_numpy(), "missing": ids.is_null().to_numpy(zero_copy_only=False), "offsets": offsets, "body": buf, "cuts": np.searchsorted(of[mine], np.arange(len(ids) + 1)),
+                "numbers": number[mine].astype(np.int32), "starts": (start[mine] - view.bounds[of[mine]]).astype(np.int32), "counts": count[mine].astype(np.int32),
             }
-            yield _row(texts, len(ids), 1)
+            yield _row({"chunk": pa.array([chunk], pa.int64())} | {k: pa.array([_press(v)], pa.binary()) for k, v in parts.items()}, 1, 1)
 
     # A shard's answer: for each content of a chunk its first document, and the windows of it that an earlier one has
     def answer(self, table: pa.Table) -> pa.Table:
-        key, content = (np.concatenate(_unpacked(table.column(c), np.uint64)) for c in ("keys", "contents"))
-        first = np.concatenate(_unpacked(table.column("firsts"), np.int64))
-        sizes = np.concatenate(_unpacked(table.column("sizes"), np.int32)).astype(np.int64)
-        rows = np.array([len(k) // 8 for k in table.column("keys").to_pylist()])
+        keys = _released(table.column("keys"), np.uint64)
+        rows, key = np.array([len(k) for k in keys]), np.concatenate(keys)
+        content = np.concatenate(_released(table.column("contents"), np.uint64))
+        first = np.concatenate(_released(table.column("firsts"), np.int64))
+        sizes = np.concatenate(_released(table.column("sizes"), np.int32)).astype(np.int64)
         order = np.lexsort((content, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -249,7 +259,7 @@ class Finder:
         group[order] = np.cumsum(new) - 1
         lead = order[new]
         low = np.minimum.reduceat(first[order], np.flatnonzero(new))
-        runs = self._runs(table, key[lead], lead, sizes, low)
+        runs = self._runs([zstandard.decompress(t) for t in table.column("texts").to_pylist()], rows, key[lead], lead, sizes, low)
         at_of, from_of, to_of = runs
         bounds = np.concatenate([[0], np.cumsum(rows)])
         has = np.searchsorted(at_of, np.arange(len(low) + 1))
@@ -258,16 +268,15 @@ class Finder:
             g = group[a:b]
             n = has[g + 1] - has[g]
             pick = np.repeat(has[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out["firsts"].append(low[g].tobytes())
-            out["ats"].append(np.repeat(np.arange(b - a), n).astype(np.int32).tobytes())
-            out["froms"].append(from_of[pick].astype(np.int32).tobytes())
-            out["tos"].append(to_of[pick].astype(np.int32).tobytes())
+            out["firsts"].append(_press(low[g]))
+            out["ats"].append(_press(np.repeat(np.arange(b - a), n).astype(np.int32)))
+            out["froms"].append(_press(from_of[pick].astype(np.int32)))
+            out["tos"].append(_press(to_of[pick].astype(np.int32)))
         return pa.table({k: v if k in ("chunk", "base") else pa.array(v, pa.binary()) for k, v in out.items()})
 
-    def _runs(self, table: pa.Table, key: np.ndarray, lead: np.ndarray, sizes: np.ndarray, low: np.ndarray, most: int = 1 << 18) -> tuple:
+    def _runs(self, texts: list[bytes], rows: np.ndarray, key: np.ndarray, lead: np.ndarray, sizes: np.ndarray, low: np.ndarray, most: int = 1 << 18) -> tuple:
         """(content, from, to) runs of windows that another content has in an earlier document, by groups of whole keys."""
-        texts = table.column("texts").to_pylist()
-        rows = np.repeat(np.arange(len(texts)), [len(k) // 8 for k in table.column("keys").to_pylist()])
+        rows = np.repeat(np.arange(len(texts)), rows)
         total = np.cumsum(sizes) - sizes
         within = total - np.concatenate([[0], np.cumsum([len(t) for t in texts])])[rows]
         alone = np.ones(len(key), bool)
@@ -291,49 +300,57 @@ class Finder:
         order = np.lexsort((lo, at))
         return at[order], lo[order], hi[order]
 
-    def finish(self, rows: pa.Table, answers: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    def finish(self, blocks: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
         """Texts of one chunk with the shards' answers -> what goes and what stays of each document."""
         first, begin, runs = np.zeros(0, np.int64), np.zeros(1, np.int64), (np.zeros(0, np.int64),) * 2
-        if answers is not None and answers.num_rows:
+        if answers.num_rows:
             base = answers.column("base").to_numpy()
-            parts = [_unpacked(answers.column(c), t) for c, t in (("firsts", np.int64), ("ats", np.int32), ("froms", np.int32), ("tos", np.int32))]
+            parts = [_released(answers.column(c), t) for c, t in (("firsts", np.int64), ("ats", np.int32), ("froms", np.int32), ("tos", np.int32))]
             by = np.argsort(base).tolist()
             first = np.concatenate([parts[0][i] for i in by])
             at = np.concatenate([parts[1][i] + base[i] for i in by])
             begin = np.searchsorted(at, np.arange(len(first) + 1))
             runs = np.concatenate([parts[2][i] for i in by]), np.concatenate([parts[3][i] for i in by])
-        for batch in rows.combine_chunks().to_batches():
-            ids = _ids(batch)
-            for a, b, buf, offsets in words.text_blocks(batch, "body"):
-                view = self.kind(buf, offsets)
-                spans, kept, gone_total, size = [], [], [], np.diff(view.bounds)
-                for i in range(b - a):
-                    number, start, count = (np.frombuffer(batch.column(c)[a + i].as_py(), np.int32).astype(np.int64) for c in ("numbers", "starts", "counts"))
-                    edge = np.zeros(size[i] + 1, np.int32)
-                    if len(number):
-                        whole = first[number] < ids[a + i]
-                        np.add.at(edge, start[whole], 1)
-                        np.add.at(edge, start[whole] + count[whole] + self.window - 1, -1)
-                        rest = np.flatnonzero(~whole)
-                        n = begin[number[rest] + 1] - begin[number[rest]]
-                        pick = np.repeat(begin[number[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        np.add.at(edge, np.repeat(start[rest], n) + runs[0][pick], 1)
-                        np.add.at(edge, np.repeat(start[rest], n) + runs[1][pick] + self.window - 1, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    spans.append([{"start": s, "end": e} for s, e in zip(flips[::2].tolist(), flips[1::2].tolist())])
-                    kept.append(view.kept(i, gone))
-                    gone_total.append(int(gone.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(gone_total, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    ["doc", "n_symbols", "n_removed", "spans", "kept"],
-                )
-
-
-_LANDED = {"shard": pa.int32(), "chunk": pa.int64(), "base": pa.int64(), "keys": pa.binary(), "contents": pa.binary(), "firsts": pa.binary(), "sizes": pa.binary(),
-           "texts": pa.binary(), "doc": pa.int64(), "body": pa.string(), "numbers": pa.binary(), "starts": pa.binary(), "counts": pa.binary()}
-_SCHEMA = "kind int, shard int, chunk long, base long, keys binary, contents binary, firsts binary, sizes binary, texts binary, doc long, body string, numbers binary, starts binary, counts binary"
+        for row in blocks.to_pylist():
+            docs, offsets, cuts = (_release(row[c], np.int64) for c in ("docs", "offsets", "cuts"))
+            missing = _release(row["missing"], bool)
+            number, start, count = (_release(row[c], np.int32).astype(np.int64) for c in ("numbers", "starts", "counts"))
+            view = self.kind(_release(row["body"], np.uint8), offsets)
+            of = np.repeat(np.arange(len(docs)), np.diff(cuts))
+            start = start + view.bounds[of]
+            edge = np.zeros(len(view.symbols) + 1, np.int32)
+            if len(number):
+                whole = first[number] < np.where(missing, LAST, docs)[of]
+                np.add.at(edge, start[whole], 1)
+                np.add.at(edge, start[whole] + count[whole] + self.window - 1, -1)
+                rest = np.flatnonzero(~whole)
+                n = begin[number[rest] + 1] - begin[number[rest]]
+                pick = np.repeat(begin[number[rest]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                np.add.at(edge, np.repeat(start[rest], n) + runs[0][pick], 1)
+                np.add.at(edge, np.repeat(start[rest], n) + runs[1][pick] + self.window - 1, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            # Runs that touch at the edge of two documents are two spans.
+            where = np.concatenate([[False], gone, [False]])
+            opens, closes = where[1:-1] & ~where[:-2], where[1:-1] & ~where[2:]
+            heads = view.bounds[:-1][np.diff(view.bounds) > 0]
+            opens[heads] |= gone[heads]
+            tails = view.bounds[1:][np.diff(view.bounds) > 0] - 1
+            closes[tails] |= gone[tails]
+            begins, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            inside = np.searchsorted(view.bounds, begins, side="right") - 1
+            each = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(inside, np.arange(len(docs) + 1)).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(begins - view.bounds[inside]), pa.array(ends - view.bounds[inside])], ["start", "end"]),
+            )
+            kept = [view.kept(i, gone[a:b]) for i, (a, b) in enumerate(zip(view.bounds[:-1].tolist(), view.bounds[1:].tolist()))]
+            cols = [pa.array(docs, mask=missing), pa.array(np.diff(view.bounds)), pa.array(words.per_document(gone, view.bounds)), each, pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=_out_schema())
+
+
+_ASKS = ("keys", "contents", "firsts", "sizes", "texts")
+_TEXTS = ("docs", "missing", "offsets", "body", "cuts", "numbers", "starts", "counts")
+_LANDED = {"shard": pa.int32(), "chunk": pa.int64(), "base": pa.int64()} | dict.fromkeys(_ASKS + _TEXTS, pa.binary())
+_SCHEMA = "kind int, shard int, chunk long, base long, " + ", ".join(f"{c} binary" for c in _ASKS + _TEXTS)
 _OUT = "doc long, n_symbols long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -366,7 +383,7 @@ def _bit_table(found: DataFrame, shards: int, most_bits: int) -> np.ndarray:
 
 def repeated_windows(
     docs: DataFrame, kind: type, window: int, gram: int, resolve: Callable, id_col: str = "doc_id", text_col: str = "text",
-    hot_contents: int = 8192, chunk_bytes: int = 12 << 20, most_bits: int = 30,
+    hot_contents: int = 8192, chunk_bytes: int = 8 << 20, most_bits: int = 30,
 ) -> DataFrame:
     """Per row: doc, n_symbols, n_removed, spans (maximal runs of removed symbols) and kept (bytes).
 
@@ -386,14 +403,12 @@ def repeated_windows(
     several = spark.sparkContext.broadcast(_bit_table(found, shards, most_bits))
     hot = [(np.uint64(r["shard"]) << np.uint64(32)) | np.frombuffer(r["hot"], np.uint32).astype(np.uint64) for r in found.where("length(hot) > 0").select("shard", "hot").toLocalIterator()]
     hot = spark.sparkContext.broadcast(np.concatenate(hot) if hot else np.zeros(0, np.uint64))
-    landed = common.land(d.mapInArrow(lambda it: finder.chunks(it, shards, shared, several, hot), _SCHEMA), "chunks", compression="zstd", by="kind")
-    asks = landed.where("kind = 0").select("shard", "chunk", "base", "keys", "contents", "firsts", "sizes", "texts")
+    landed = common.land(d.mapInArrow(lambda it: finder.chunks(it, shards, shared, several, hot), _SCHEMA), "chunks", compression="uncompressed", by="kind")
+    asks = landed.where("kind = 0").select("shard", "chunk", "base", *_ASKS)
     answers = asks.groupBy("shard").applyInArrow(lambda t: finder.answer(t), "chunk long, base long, firsts binary, ats binary, froms binary, tos binary")
-    texts = landed.where("kind = 1").select("chunk", "doc", "body", "numbers", "starts", "counts")
-    touched = texts.where("length(numbers) > 0").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    done = touched.applyInArrow(lambda rows, got: pa.Table.from_batches(list(finder.finish(rows, got)), schema=_out_schema()), _OUT)
-    plain = texts.where("length(numbers) = 0").mapInArrow(lambda it: (out for b in it for out in finder.finish(pa.Table.from_batches([b]), None)), _OUT)
-    return done.unionByName(plain)
+    texts = landed.where("kind = 1").select(F.col("chunk").alias("chunk"), *_TEXTS)
+    both = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(lambda rows, got: pa.Table.from_batches(list(finder.finish(rows, got)), schema=_out_schema()), _OUT)
 
 
 def _out_schema() -> pa.Schema:

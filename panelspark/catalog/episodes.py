@@ -30,12 +30,14 @@ query("multibagger_candidates", "asset entry_date:d peak_date:d max_return:8 mon
 query("multibagger_episodes", "asset entry_date:d entry_price:2 peak_date:d peak_price:2 max_return:8 months_to_peak:i", "eps", "SELECT * FROM eps")(lambda s: EP.multibagger_episodes(s.month_closes(), TH))
 query("surge_start", "asset entry_date:d surge_start_date:d accumulation_months:8", "eps", "SELECT * FROM eps")(lambda s: EP.surge_start(EP.multibagger_episodes(s.month_closes(), TH), s.month_closes(), BR))
 query("episode_panel", "asset entry_date:d peak_date:d max_return:8 surge_start_date:d mcap_at_entry:0 quality_pass", "eps", "SELECT * FROM eps")(episodes)
-query("episode_stats", "n:i assets:i quality:i return_max:8 p25:8 p50:8 p75:8 p95:8 median_months:4 mcap_median:2 mcap_p95:2", "eps", """
-    SELECT count(*) AS n, count(DISTINCT asset) AS assets, count(*) FILTER (quality_pass) AS quality, max(max_return) AS return_max, quantile_cont(max_return, 0.25) AS p25, quantile_cont(max_return, 0.5) AS p50, quantile_cont(max_return, 0.75) AS p75,
-      quantile_cont(max_return, 0.95) AS p95, quantile_cont(months_to_peak::DOUBLE, 0.5) AS median_months, quantile_cont(mcap_at_entry, 0.5) AS mcap_median, quantile_cont(mcap_at_entry, 0.95) AS mcap_p95 FROM eps""")(lambda s: EP.episode_stats(episodes(s)))
-_YEARS = list(range(1995, 2002))
-query("cohort_crosstab", "entry_year:i " + " ".join(f"y{y}:i" for y in _YEARS), "eps", "SELECT year(entry_date) AS entry_year, " + ", ".join(f"count(*) FILTER (year(peak_date) = {y}) AS y{y}" for y in _YEARS) + " FROM eps GROUP BY 1")(
-    lambda s: EP.cohort_crosstab(episodes(s), _YEARS))
+query("episode_stats", "n:i assets:i quality:i quality_assets:i return_max:8 p25:8 p50:8 p75:8 p95:8 median_months:4 mcap_median:2 mcap_p95:2", "eps", """
+    SELECT count(*) AS n, count(DISTINCT asset) AS assets, count(*) FILTER (quality_pass) AS quality, count(DISTINCT asset) FILTER (quality_pass) AS quality_assets, max(max_return) FILTER (quality_pass) AS return_max,
+      quantile_cont(max_return, 0.25) FILTER (quality_pass) AS p25, quantile_cont(max_return, 0.5) FILTER (quality_pass) AS p50, quantile_cont(max_return, 0.75) FILTER (quality_pass) AS p75, quantile_cont(max_return, 0.95) FILTER (quality_pass) AS p95,
+      quantile_cont(months_to_peak::DOUBLE, 0.5) FILTER (quality_pass) AS median_months, quantile_cont(mcap_at_entry, 0.5) FILTER (quality_pass) AS mcap_median, quantile_cont(mcap_at_entry, 0.95) FILTER (quality_pass) AS mcap_p95 FROM eps""")(lambda s: EP.episode_stats(episodes(s)))
+query("cohort_crosstab", "entry_year:i peak_year:i n:i", "eps", "SELECT year(entry_date) AS entry_year, year(peak_date) AS peak_year, count(*) AS n FROM eps GROUP BY 1, 2")(
+    lambda s: EP.cohort_crosstab(episodes(s)))
+query("episodes_by_year", "entry_year:i n:i", "eps", "SELECT year(entry_date) AS entry_year, count(*) AS n FROM eps WHERE quality_pass GROUP BY 1")(lambda s: EP.episodes_by_year(episodes(s)))
+query("top_episodes", "asset entry_date:d peak_date:d max_return:8", "eps", "SELECT * FROM eps ORDER BY max_return DESC, asset || CAST(entry_date AS VARCHAR) LIMIT 30")(lambda s: EP.top_episodes(episodes(s)))
 
 _LBL = lambda lo, hi, op: f"CASE WHEN EXISTS (SELECT 1 FROM eps e WHERE e.asset = k.asset AND k.rd >= CAST(surge_start_date + INTERVAL ({lo}) MONTH AS DATE) AND k.rd {op} CAST(surge_start_date + INTERVAL ({hi}) MONTH AS DATE)) THEN 1 ELSE 0 END"
 add_cte("lab", "keys eps", f"SELECT k.asset, k.rd, {_LBL(-6, 3, '<=')} AS is_pre_surge, {_LBL(-6, -1, '<')} AS is_pre_entry, {_LBL(0, 3, '<=')} AS is_continuation FROM keys k")
@@ -53,14 +55,14 @@ query("label_balance", "label positives:i negatives:i prevalence:8", "lab", " UN
 
 
 def _folds(emb: int, table: str = "keys", n_min: int | None = None) -> str:
-    return f"""SELECT fold, role, rd, n_train, n_test FROM (SELECT f.*, sum(CASE WHEN role = 'train' THEN c ELSE 0 END) OVER (PARTITION BY fold) AS n_train, sum(CASE WHEN role = 'test' THEN c ELSE 0 END) OVER (PARTITION BY fold) AS n_test FROM (
+    return f"""SELECT fold, role, rd, n_train, n_test, n_train > 100 AND n_test > 10 AS usable FROM (SELECT f.*, sum(CASE WHEN role = 'train' THEN c ELSE 0 END) OVER (PARTITION BY fold) AS n_train, sum(CASE WHEN role = 'test' THEN c ELSE 0 END) OVER (PARTITION BY fold) AS n_test FROM (
       SELECT fold, rd, c, CASE WHEN p < (fold + 1) * (n // 6) - {emb} THEN 'train' WHEN p >= (fold + 1) * (n // 6) AND p < (fold + 2) * (n // 6) THEN 'test' END AS role
-      FROM (SELECT rd, count(*) AS c, row_number() OVER (ORDER BY rd) - 1 AS p, count(*) OVER () AS n FROM {table} GROUP BY rd), range(0, 5) g(fold) WHERE n >= {emb + 6}) f WHERE role IS NOT NULL) WHERE n_train > 100 AND n_test > 10"""
+      FROM (SELECT rd, count(*) AS c, row_number() OVER (ORDER BY rd) - 1 AS p, count(*) OVER () AS n FROM {table} GROUP BY rd), range(0, 5) g(fold)) f WHERE role IS NOT NULL)"""
 
 
-query("walk_forward_splits", "fold:i role rd:d n_train:i n_test:i", "keys", _folds(0))(lambda s: LB.walk_forward_splits(s.keys()))
-query("purged_splits", "fold:i role rd:d n_train:i n_test:i", "keys", _folds(9))(lambda s: LB.purged_splits(s.keys()))
-query("purged_splits_by_date", "fold:i role rd:d n_train:i n_test:i", "disc", _folds(60, "(SELECT rcept_dt AS rd FROM disc)"))(
+query("walk_forward_splits", "fold:i role rd:d n_train:i n_test:i usable:b", "keys", _folds(0))(lambda s: LB.walk_forward_splits(s.keys()))
+query("purged_splits", "fold:i role rd:d n_train:i n_test:i usable:b", "keys", _folds(9))(lambda s: LB.purged_splits(s.keys()))
+query("purged_splits_by_date", "fold:i role rd:d n_train:i n_test:i usable:b", "disc", _folds(60, "(SELECT rcept_dt AS rd FROM disc)"))(
     lambda s: LB.purged_splits(s.disclosures().select(F.col("rcept_dt").alias("rd")), 5, 60))
 
 # dips ------------------------------------------------------------------------------------------

@@ -69,12 +69,12 @@ query("turnaround_score", "asset rd:d turnaround_score:6", "ff", "SELECT * FROM
 add_cte("ev", "mcap disc", """
     SELECT m.asset, m.snapshot_date AS rd, any_value(m.market_cap) AS mc, """ + ", ".join([
     "coalesce(sum(aqpln_prc_ostk), 0)::DOUBLE AS buy", "coalesce(sum(dppln_prc_ostk), 0)::DOUBLE AS sell", "coalesce(sum(bd_fta) FILTER (event_category = 'convertible_bond'), 0)::DOUBLE AS cb",
-    "coalesce(sum(bd_fta) FILTER (event_category = 'warrant_bond'), 0)::DOUBLE AS bw", "coalesce(sum(nstk_ostk_qy * bdis_pric), 0)::DOUBLE AS dil", "coalesce(sum((aft_stkqy - bsis_stkqy) * trade_uv), 0)::DOUBLE AS ins",
-    "coalesce(sum(stkrt_tenths), 0)::DOUBLE AS stk", "count(*) FILTER (event_category = 'bonus_issue') AS n_bonus", "count(*) FILTER (event_category = 'spinoff') AS n_spin", "count(*) FILTER (event_category = 'capital_reduction') AS n_cr"]) + """
+    "coalesce(sum(bd_fta) FILTER (event_category = 'warrant_bond'), 0)::DOUBLE AS bw", "coalesce(sum(nstk_ostk_qy::DECIMAL(12,0) * bdis_pric), 0)::DOUBLE AS dil", "coalesce(sum((aft_stkqy - bsis_stkqy)::DECIMAL(12,0) * trade_uv), 0)::DOUBLE AS ins",
+    "coalesce(sum(stkrt_irds), 0)::DOUBLE AS stk", "count(*) FILTER (event_category = 'bonus_issue') AS n_bonus", "count(*) FILTER (event_category = 'spinoff') AS n_spin", "count(*) FILTER (event_category = 'capital_reduction') AS n_cr"]) + """
     FROM mcap m LEFT JOIN disc d ON d.asset = m.asset AND d.rcept_dt BETWEEN m.snapshot_date - 90 AND m.snapshot_date GROUP BY 1, 2""")
 add_cte("evs", "ev", """
     SELECT *, a + b + c + e + f + g + h + i + j + k AS disclosure_event_total_score FROM (SELECT asset, rd, 0.5 * least(1, buy / mc / 0.02) AS a, -0.4 * least(1, dil / mc / 0.05) AS b, CASE WHEN n_bonus > 0 THEN 0.3 ELSE 0 END AS c,
-      -0.3 * least(1, sell / mc / 0.02) AS e, -0.2 * least(1, cb / mc / 0.1) AS f, -0.2 * least(1, bw / mc / 0.1) AS g, 0.3 * greatest(-1, least(1, ins / mc / 0.005)) AS h, 0.25 * greatest(-1, least(1, stk / 10)) AS i,
+      -0.3 * least(1, sell / mc / 0.02) AS e, -0.2 * least(1, cb / mc / 0.1) AS f, -0.2 * least(1, bw / mc / 0.1) AS g, 0.3 * greatest(-1, least(1, ins / mc / 0.005)) AS h, 0.25 * greatest(-1, least(1, stk)) AS i,
       CASE WHEN n_spin > 0 THEN -0.15 ELSE 0 END AS j, CASE WHEN n_cr > 0 THEN -0.4 ELSE 0 END AS k FROM ev)""")
 
 
@@ -103,7 +103,7 @@ _S = lambda e, w: f"coalesce(sum({e}) FILTER ({w}), 0)::DOUBLE"
 _N = lambda w: f"count(*) FILTER ({w})"
 _M12, _M18, _M24 = ("rcept_dt > CAST(m.snapshot_date - INTERVAL %d MONTH AS DATE)" % k for k in (12, 18, 24))
 add_cte("gin", "mcap assets disc", f"""
-    SELECT m.asset, m.snapshot_date AS rd, any_value(m.market_cap) AS mc, any_value(a.group_flag) AS gf, {_S('nstk_ostk_qy * bdis_pric', _M12)} AS dil, {_S('bd_fta', _M12)} AS bond, {_S('dppln_prc_ostk', _M12)} AS sale, {_S('aqpln_prc_ostk', _M12)} AS buy,
+    SELECT m.asset, m.snapshot_date AS rd, any_value(m.market_cap) AS mc, any_value(a.group_flag) AS gf, {_S('nstk_ostk_qy::DECIMAL(12,0) * bdis_pric', _M12)} AS dil, {_S('bd_fta', _M12)} AS bond, {_S('dppln_prc_ostk', _M12)} AS sale, {_S('aqpln_prc_ostk', _M12)} AS buy,
       {_N(_M12 + " AND ic_mthn LIKE '%3자배정%'")} AS tp, {_N(_M12 + " AND event_category = 'bonus_issue'")} AS bonus, {_N(_M18 + " AND event_category = 'spinoff'")} AS spin, {_N(_M18 + " AND div_mth LIKE '%물적%'")} AS phys,
       {_N(_M18 + " AND event_category = 'capital_reduction'")} AS cr, {_N(_M24 + " AND event_category = 'insider_holdings'")} AS ins, {_N(_M24 + " AND event_category = 'major_holders'")} AS maj
     FROM mcap m JOIN assets a ON a.asset = m.asset LEFT JOIN disc d ON d.asset = m.asset AND d.rcept_dt <= m.snapshot_date GROUP BY 1, 2""")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelspark.functions.scalars import padded
 from panelspark.catalog.registry import add_cte, query
 from panelspark.sources.files import scratch
 from panelspark.streaming import monitors as MO
@@ -65,7 +66,7 @@ query("bars_from_ticks", "asset start_ts open:2 high:2 low:2 close:2 ticks:i", "
 def _(s):
     raw = MO.stream_of(s.spark, s.path, s.table("events").schema, "events.parquet")
     last = s.table("supplier").agg(F.max("s_suppkey")).first()[0]
-    ticks = raw.select(F.lpad((F.col("user_id") % (last + 1)).cast("string"), 6, "0").alias("asset"), "ts", F.col("value").alias("price"), "event_id")
+    ticks = raw.select(padded(F.col("user_id") % (last + 1), 6).alias("asset"), "ts", F.col("value").alias("price"), "event_id")
     return _FMT(MO.run_available(MO.bars_from_ticks(ticks, "1 day", "2 hours"), "tick-bars"))
 
 

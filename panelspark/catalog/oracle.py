@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 EXCH = "CASE WHEN {k} % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END"
-AID = "lpad(CAST({k} AS VARCHAR), 6, '0')"
+AID = "lpad(CAST({k} AS VARCHAR), greatest(6, length(CAST({k} AS VARCHAR)))::INT, '0')"
 C = "CAST(round({c} * 100) AS BIGINT)"
 
 
@@ -90,15 +90,15 @@ CTES: dict[str, tuple[list[str], str]] = {
                CASE WHEN cat = 'treasury_sell' THEN cents * 100 END AS dppln_prc_ostk,
                CASE WHEN cat IN ('convertible_bond', 'warrant_bond') THEN cents * 1000 END AS bd_fta,
                CASE WHEN cat = 'capital_increase' THEN 100000 END AS nstk_ostk_qy,
-               CASE WHEN cat = 'capital_increase' THEN cents // 100 END AS bdis_pric,
+               CASE WHEN cat = 'capital_increase' THEN cents::DECIMAL(12,0) * 0.01::DECIMAL(3,2) END AS bdis_pric,
                CASE WHEN cat = 'capital_increase' THEN CASE WHEN pri = '1-URGENT' THEN '제3자배정증자' ELSE '주주배정증자' END END AS ic_mthn,
                CASE WHEN cat = 'spinoff' THEN CASE WHEN st = 'F' THEN '물적분할' ELSE '인적분할' END END AS div_mth,
                CASE WHEN cat = 'insider_holdings' THEN ck END AS bsis_stkqy,
                CASE WHEN cat = 'insider_holdings' THEN ck + CASE st WHEN 'O' THEN 5000 WHEN 'F' THEN -5000 ELSE 0 END END AS aft_stkqy,
-               CASE WHEN cat = 'insider_holdings' THEN cents // 10 END AS trade_uv,
-               CASE WHEN cat = 'major_holders' THEN ck % 21 - 10 END AS stkrt_tenths
+               CASE WHEN cat = 'insider_holdings' THEN cents::DECIMAL(12,0) * 0.1::DECIMAL(2,1) END AS trade_uv,
+               CASE WHEN cat = 'major_holders' THEN (ck % 201 - 100)::DECIMAL(6,0) * 0.01::DECIMAL(3,2) END AS stkrt_irds
         FROM (SELECT {ISSUER} AS asset, CAST(o_orderdate AS DATE) AS rcept_dt,
-                strftime(o_orderdate, '%Y%m%d') || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS rcept_no,
+                strftime(o_orderdate, '%Y%m%d') || lpad(CAST(o_orderkey AS VARCHAR), greatest(6, length(CAST(o_orderkey AS VARCHAR)))::INT, '0') AS rcept_no,
                 ['treasury_buyback','capital_increase','bonus_issue','treasury_sell','convertible_bond','warrant_bond',
                  'insider_holdings','major_holders','merger','spinoff','capital_reduction'][o_orderkey % 11 + 1] AS cat,
                 {C.format(c='o_totalprice')} AS cents, o_orderpriority AS pri, o_orderstatus AS st, o_custkey AS ck FROM orders)"""),

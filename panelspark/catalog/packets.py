@@ -64,7 +64,7 @@ def _(s):
     return PK.verify_artifact_hashes(refs, a).select("artifact_id", F.col("status").isin("verified", "bytes_invalid").alias("n_bytes_ok"))
 
 
-add_cte("sbars", "daily assets", "SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS close FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), 6, '0') GROUP BY 1, 2")
+add_cte("sbars", "daily assets", "SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS close FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INT, '0') GROUP BY 1, 2")
 
 
 @query("strict_snapshot_job", "sector n_violations:i n:i digest", "sbars", "SELECT sector, 0 AS n_violations, count(*) AS n, sha256(string_agg(CAST(d AS VARCHAR) || '=' || CAST(CAST(round(close * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY d)) AS digest FROM sbars GROUP BY 1")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelspark.catalog.oracle import C, ISSUER
+from panelspark.functions.scalars import padded
 from panelspark.catalog.registry import add_cte, query
 from panelspark.functions import scalars as X
 from panelspark.sources import calendars as K, files, normalize as N
@@ -55,18 +56,18 @@ def _(s):
 
 
 @query("read_corp_codes_xml", "corp_code corp_name asset modify_date:d", "assets",
-       "SELECT lpad(asset, 8, '0') AS corp_code, name AS corp_name, asset, DATE '2001-01-31' AS modify_date FROM assets WHERE exchange = 'KOSPI'")
+       "SELECT lpad(asset, greatest(8, length(asset))::INT, '0') AS corp_code, name AS corp_name, asset, DATE '2001-01-31' AS modify_date FROM assets WHERE exchange = 'KOSPI'")
 def _(s):
     path = files.scratch(s.spark, "corp")
     s.assets().select(
-        F.lpad("asset", 8, "0").alias("corp_code"), F.col("name").alias("corp_name"),
+        padded(F.col("asset"), 8).alias("corp_code"), F.col("name").alias("corp_name"),
         F.when(F.col("exchange") == "KOSPI", F.col("asset")).otherwise("-").alias("stock_code"), F.lit("20010131").alias("modify_date"),
     ).write.format("xml").option("rowTag", "list").option("rootTag", "result").save(path)
     return files.read_corp_codes_xml(s.spark, path)
 
 
 @query("normalize_columns", "asset d:d market close:2", "",
-       "SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS asset, CAST(o_orderdate AS DATE) AS d, upper(o_orderpriority) AS market, o_totalprice AS close FROM orders")
+       "SELECT lpad(CAST(o_custkey AS VARCHAR), greatest(6, length(CAST(o_custkey AS VARCHAR)))::INT, '0') AS asset, CAST(o_orderdate AS DATE) AS d, upper(o_orderpriority) AS market, o_totalprice AS close FROM orders")
 def _(s):
     vendor = s.table("orders").select(
         F.col("o_custkey").cast("string").alias("종목코드"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("일자"),
@@ -106,7 +107,7 @@ def _(s):
 
 
 @query("first_available_source", "asset d:d net:2 source_identity", "", f"""
-    SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS asset, d, CASE WHEN o IS NOT NULL THEN o ELSE f END / 100.0 AS net,
+    SELECT lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INT, '0') AS asset, d, CASE WHEN o IS NOT NULL THEN o ELSE f END / 100.0 AS net,
            CASE WHEN o IS NOT NULL THEN 'open' ELSE 'filled' END AS source_identity
     FROM (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, CAST(sum({C.format(c='l_extendedprice')}) FILTER (l_linestatus = 'O') AS DOUBLE) AS o,
             CAST(sum({C.format(c='l_extendedprice')}) FILTER (l_linestatus = 'F') AS DOUBLE) AS f FROM lineitem GROUP BY 1, 2)
@@ -115,7 +116,7 @@ def _(s):
     def src(status):
         return (
             s.table("lineitem").filter(F.col("l_linestatus") == status)
-            .groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("asset"), F.to_date("l_shipdate").alias("d"))
+            .groupBy(padded(F.col("l_suppkey"), 6).alias("asset"), F.to_date("l_shipdate").alias("d"))
             .agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)).alias("net"))
         )
     return N.first_available_source([("open", src("O")), ("filled", src("F"))], ["asset", "d"])
@@ -178,12 +179,12 @@ def _(s):
     return last.select("session", X.previous_month_end(F.col("session")).alias("previous_month_end"), X.previous_business_day(F.col("session")).alias("previous_business_day"))
 
 
-@query("union_events", "asset rcept_no event_category aqpln_prc_ostk:0 div_mth stkrt_tenths:0", "disc",
-       "SELECT asset, rcept_no, event_category, aqpln_prc_ostk, div_mth, stkrt_tenths FROM disc WHERE event_category IN ('treasury_buyback', 'spinoff', 'major_holders')")
+@query("union_events", "asset rcept_no event_category aqpln_prc_ostk:0 div_mth stkrt_irds:2", "disc",
+       "SELECT asset, rcept_no, event_category, aqpln_prc_ostk, div_mth, stkrt_irds FROM disc WHERE event_category IN ('treasury_buyback', 'spinoff', 'major_holders')")
 def _(s):
     d = s.disclosures()
     pick = lambda c, col: d.filter(F.col("event_category") == c).select("asset", "rcept_no", col)
-    return N.union_events({"treasury_buyback": pick("treasury_buyback", "aqpln_prc_ostk"), "spinoff": pick("spinoff", "div_mth"), "major_holders": pick("major_holders", "stkrt_tenths")})
+    return N.union_events({"treasury_buyback": pick("treasury_buyback", "aqpln_prc_ostk"), "spinoff": pick("spinoff", "div_mth"), "major_holders": pick("major_holders", "stkrt_irds")})
 
 
 @query("receipt_date", "rcept_no known:d", "disc", "SELECT rcept_no, rcept_dt AS known FROM disc")
@@ -201,29 +202,29 @@ def _lines(s):
     items = [F.struct(F.lit(i).alias("line_no"), F.when(~by_name, F.lit(a)).otherwise("-표준계정코드 미사용-").alias("account_id"),
                       F.lit(n).alias("account_nm"), F.format_number(c, 2).alias("amount_text")) for i, (a, n, c) in enumerate(accounts)]
     return f.select(
-        F.lpad("asset", 8, "0").alias("corp_code"), "year", "reprt_code", "rcept_dt", F.explode(F.array(*items)).alias("x")
+        padded(F.col("asset"), 8).alias("corp_code"), "year", "reprt_code", "rcept_dt", F.explode(F.array(*items)).alias("x")
     ).select("corp_code", "year", "reprt_code", "rcept_dt", "x.line_no", "x.account_id", "x.account_nm", X.parse_number(F.col("x.amount_text")).alias("amount"))
 
 
 @query("extract_accounts", "corp_code year:i reprt_code revenue:2 operating_income:2 net_income:2 total_assets:2 total_equity:2 total_liabilities:2 operating_cash_flow:2", "fund",
-       "SELECT lpad(asset, 8, '0') AS corp_code, *, NULL AS operating_cash_flow FROM fund")
+       "SELECT lpad(asset, greatest(8, length(asset))::INT, '0') AS corp_code, *, NULL AS operating_cash_flow FROM fund")
 def _(s):
     return N.extract_accounts(_lines(s), ["corp_code", "year", "reprt_code"])
 
 
-@query("quarterly_panel", "corp_code year:i reprt_code period_end:d rcept_dt:d revenue:2 net_income:2 total_equity:2", "fund", "SELECT lpad(asset, 8, '0') AS corp_code, * FROM fund")
+@query("quarterly_panel", "corp_code year:i reprt_code period_end:d rcept_dt:d revenue:2 net_income:2 total_equity:2", "fund", "SELECT lpad(asset, greatest(8, length(asset))::INT, '0') AS corp_code, * FROM fund")
 def _(s):
     return N.quarterly_panel(_lines(s))
 
 
 def _corp_map(s):
-    return s.assets().filter(F.col("exchange") == "KOSPI").select(F.lpad("asset", 8, "0").alias("corp_code"), "asset", "name")
+    return s.assets().filter(F.col("exchange") == "KOSPI").select(padded(F.col("asset"), 8).alias("corp_code"), "asset", "name")
 
 
 @query("map_corp_to_asset", "corp_code year:i reprt_code asset", "fund assets",
-       "SELECT lpad(f.asset, 8, '0') AS corp_code, year, reprt_code, CASE WHEN exchange = 'KOSPI' THEN f.asset END AS asset FROM fund f JOIN assets a ON f.asset = a.asset")
+       "SELECT lpad(f.asset, greatest(8, length(f.asset))::INT, '0') AS corp_code, year, reprt_code, CASE WHEN exchange = 'KOSPI' THEN f.asset END AS asset FROM fund f JOIN assets a ON f.asset = a.asset")
 def _(s):
-    panel = s.fundamentals().select(F.lpad("asset", 8, "0").alias("corp_code"), "year", "reprt_code")
+    panel = s.fundamentals().select(padded(F.col("asset"), 8).alias("corp_code"), "year", "reprt_code")
     return N.map_corp_to_asset(panel, _corp_map(s))
 
 

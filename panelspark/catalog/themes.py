@@ -25,7 +25,7 @@ add_cte("tstr", "comp mkt", _strength("theme", "comp"))
 add_cte("istr", "idx mkt", _strength("index_id", "(SELECT index_id, d, close / lag(close) OVER (PARTITION BY index_id ORDER BY d) - 1 AS ret FROM idx)"))
 add_cte("tstage", "tstr", """
     SELECT *, CASE WHEN z <= -2.5 AND rs60 <= 0 THEN 'markdown' WHEN rs60 < -0.05 AND a120 < 0 THEN 'markdown' WHEN rs60 < -0.02 AND a60 < 0 THEN 'distribute' WHEN rs20 > 0.05 AND a20 > 0 THEN 'markup' WHEN abs(a60) < 0.05 AND rs60 > -0.02 THEN 'accumulate' ELSE 'transition' END AS stage FROM (
-      SELECT theme, d, lvl, rs_kospi_60d, rs_kospi_20d, abs_return_60d, coalesce(rs_kospi_20d_zscore_60d, 0) AS z, coalesce(rs_kospi_60d, 0) AS rs60, coalesce(rs_kospi_20d, 0) AS rs20, coalesce(abs_return_20d, 0) AS a20, coalesce(abs_return_60d, 0) AS a60, coalesce(abs_return_120d, 0) AS a120 FROM tstr)""")
+      SELECT theme, d, lvl, rs_kospi_60d, rs_kospi_20d, abs_return_60d, rs_kospi_20d_zscore_60d AS z, rs_kospi_60d AS rs60, rs_kospi_20d AS rs20, abs_return_20d AS a20, abs_return_60d AS a60, abs_return_120d AS a120 FROM tstr)""")
 
 
 def _rank(df, score, k, keys):
@@ -48,7 +48,7 @@ query("lifecycle_stage", "theme d:d stage", "tstage", "SELECT * FROM tstage")(st
 query("stage_counts", "stage n:i", "tstage", "SELECT stage, count(*) AS n FROM tstage GROUP BY 1")(lambda s: TH.stage_counts(staged(s)))
 query("stage_changes", "theme d:d previous_stage stage", "tstage", "SELECT * FROM (SELECT *, lag(stage) OVER w AS previous_stage, lag(d) OVER w AS pd FROM tstage WINDOW w AS (PARTITION BY theme ORDER BY d)) WHERE previous_stage <> stage AND d - pd <= 10")(
     lambda s: TH.stage_changes(staged(s)))
-query("lead_score_topk", "theme d:d lead_score:6", "tstage", "SELECT theme, d, round(rs60 + 0.5 * rs20, 9) AS lead_score FROM tstage ORDER BY lead_score DESC, theme || CAST(d AS VARCHAR) LIMIT 50")(
+query("lead_score_topk", "theme d:d lead_score:6", "tstage", "SELECT theme, d, round(coalesce(rs60, 0) + 0.5 * coalesce(rs20, 0), 9) AS lead_score FROM tstage ORDER BY lead_score DESC, theme || CAST(d AS VARCHAR) LIMIT 50")(
     lambda s: TH.global_topk(strength(s).select("theme", "d", F.round(TH.lead_score(), 9).alias("lead_score"), F.concat("theme", F.col("d").cast("string")).alias("k")), "lead_score", 50, "k"))
 query("global_bottomk", "asset d:d close:2", "bars", "SELECT * FROM bars ORDER BY close, asset || CAST(d AS VARCHAR) LIMIT 40")(
     lambda s: TH.global_topk(s.bars().withColumn("k", F.concat("asset", F.col("d").cast("string"))), "close", 40, "k", False))

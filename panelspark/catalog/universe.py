@@ -107,7 +107,7 @@ def _(s):
 
 query("safe_div", "o_orderkey:i x:6", "", "SELECT o_orderkey, CASE WHEN abs(o_custkey % 5) > 1e-3 THEN o_totalprice / (o_custkey % 5) END AS x FROM orders")(
     lambda s: s.table("orders").select("o_orderkey", X.safe_div(F.col("o_totalprice"), (F.col("o_custkey") % 5).cast("double")).alias("x")))
-query("normalize_asset", "o_orderkey:i asset", "", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' || o_custkey ELSE lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS asset FROM orders")(
+query("normalize_asset", "o_orderkey:i asset", "", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'X' || o_custkey ELSE lpad(CAST(o_custkey AS VARCHAR), greatest(6, length(CAST(o_custkey AS VARCHAR)))::INT, '0') END AS asset FROM orders")(
     lambda s: s.table("orders").select("o_orderkey", X.normalize_asset(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("X"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))).alias("asset")))
 query("coerce_numbers", "o_orderkey:i x:2 n:i", "", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN -1 ELSE o_totalprice END AS x, CASE o_orderstatus WHEN 'P' THEN 7 ELSE CAST(trunc(o_totalprice) AS BIGINT) END AS n FROM orders")(
     lambda s: s.table("orders").withColumn("t", F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string")))
@@ -129,7 +129,7 @@ def _(s):
         F.count_if(H.in_lookback_months(F.col("rcept_dt"), F.col("rd"), 3)).alias("n_months"), F.count_if(H.in_lookback_days(F.col("rcept_dt"), F.col("rd"), 90)).alias("n_days"))
 
 
-_DCOLS = ["aqpln_prc_ostk", "dppln_prc_ostk", "bd_fta", "nstk_ostk_qy", "bdis_pric", "bsis_stkqy", "aft_stkqy", "trade_uv", "stkrt_tenths"]
+_DCOLS = ["aqpln_prc_ostk", "dppln_prc_ostk", "bd_fta", "nstk_ostk_qy", "bdis_pric", "bsis_stkqy", "aft_stkqy", "trade_uv", "stkrt_irds"]
 _RATES = " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS null_rate FROM disc" for c in _DCOLS)
 
 query("select_feature_columns", "feature null_rate:6 selected", "disc", f'SELECT *, null_rate <= 0.9 AS selected FROM ({_RATES})')(lambda s: H.select_feature_columns(s.disclosures(), set(), 0.9))
@@ -216,7 +216,7 @@ query("semi_join", "asset d:d", "bars assets", "SELECT asset, d FROM bars WHERE
     lambda s: s.bars().join(s.assets().filter(F.col("sector") == "S2"), "asset", "left_semi"))
 query("anti_join", "asset d:d", "bars assets", "SELECT asset, d FROM bars WHERE asset NOT IN (SELECT asset FROM assets WHERE sector = 'S2')")(
     lambda s: s.bars().join(s.assets().filter(F.col("sector") == "S2"), "asset", "left_anti"))
-query("map_labels", "asset label", "", "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS asset, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
+query("map_labels", "asset label", "", "SELECT lpad(CAST(s_suppkey AS VARCHAR), greatest(6, length(CAST(s_suppkey AS VARCHAR)))::INT, '0') AS asset, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
     lambda s: s.assets().join(s.table("nation").select(F.col("n_nationkey").alias("industry"), F.col("n_name").alias("label")), "industry", "left"))
 
 # sets ------------------------------------------------------------------------------------------

@@ -77,6 +77,6 @@ query("strict_session_returns", "sector status n_sessions:i ret_20:8 rs_20:8 ret
     FROM (SELECT DISTINCT sector FROM assets) s LEFT JOIN (
       SELECT sector, count(*) AS n, min(back) AS latest, max(c) FILTER (back = 0) AS a0, max(c) FILTER (back = 20) AS a20, max(c) FILTER (back = 240) AS a240,
         max(ic) FILTER (back = 0) AS b0, max(ic) FILTER (back = 20) AS b20, max(ic) FILTER (back = 240) AS b240
-      FROM (SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS c FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), 6, '0') GROUP BY 1, 2)
+      FROM (SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS c FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INT, '0') GROUP BY 1, 2)
       JOIN (SELECT d, close AS ic, row_number() OVER (ORDER BY d DESC) - 1 AS back FROM mkt) USING (d) WHERE back < 241 GROUP BY 1) USING (sector)""")(
     lambda s: XS.strict_session_returns(s.sector_bars(), s.market(), "sector"))

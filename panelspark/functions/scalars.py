@@ -27,6 +27,12 @@ def to_int(c: Column, default: int = 0) -> Column:
     return F.coalesce(finite(c.try_cast("double")).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
+def padded(c: Column, width: int) -> Column:
+    """Zero-pad to `width` characters; longer identifiers stay whole (lpad alone would cut them)."""
+    t = c.cast("string")
+    return F.lpad(t, F.greatest(F.lit(width), F.length(t)), F.lit("0"))
+
+
 def normalize_asset(c: Column) -> Column:
     """Zero-pad to six characters, only when the identifier is all digits and shorter than six."""
     t = F.trim(c)
@@ -37,11 +43,6 @@ def safe_div(a: Column, b: Column, eps: float = 1e-3) -> Column:
     return F.when(F.abs(b) > eps, a / b)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """a / b, NULL where b is zero or missing."""
-    return F.try_divide(a, b)
-
-
 def clip(c: Column, lo: float, hi: float) -> Column:
     """NULL-preserving clip (greatest/least alone would skip the NULL)."""
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))

@@ -64,20 +64,34 @@ def episode_panel(prices: DataFrame, mcap: DataFrame, threshold: float = 3.0, wi
 
 
 def episode_stats(eps: DataFrame) -> DataFrame:
-    """Counts and exact return quantiles of the episode table as one row."""
+    """Counts of all episodes, and exact quantiles of those that pass quality, as one row."""
     from panelspark.operators.ordered import exact_quantiles
 
     one = F.lit(1).alias("_g")
-    base = eps.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("asset").alias("assets"), F.max("max_return").alias("return_max"), F.count_if("quality_pass").alias("quality")).withColumn("_g", F.lit(1))
-    q = exact_quantiles(eps.select("max_return", one), ["_g"], "max_return", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}).drop("n")
-    m = exact_quantiles(eps.select(F.col("months_to_peak").cast("double").alias("months_to_peak"), one), ["_g"], "months_to_peak", {"median_months": 0.5}).drop("n")
-    c = exact_quantiles(eps.select("mcap_at_entry", one), ["_g"], "mcap_at_entry", {"mcap_median": 0.5, "mcap_p95": 0.95}).drop("n")
+    good = F.col("quality_pass")
+    base = eps.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("asset").alias("assets"), F.count_if(good).alias("quality"),
+        F.count_distinct(F.when(good, F.col("asset"))).alias("quality_assets"), F.max(F.when(good, F.col("max_return"))).alias("return_max"),
+    ).withColumn("_g", F.lit(1))
+    passing = eps.filter(good)
+    q = exact_quantiles(passing.select("max_return", one), ["_g"], "max_return", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}).drop("n")
+    m = exact_quantiles(passing.select(F.col("months_to_peak").cast("double").alias("months_to_peak"), one), ["_g"], "months_to_peak", {"median_months": 0.5}).drop("n")
+    c = exact_quantiles(passing.select("mcap_at_entry", one), ["_g"], "mcap_at_entry", {"mcap_median": 0.5, "mcap_p95": 0.95}).drop("n")
     return base.join(q, "_g", "left").join(m, "_g", "left").join(c, "_g", "left").drop("_g")
 
 
-def cohort_crosstab(eps: DataFrame, years: list[int]) -> DataFrame:
-    """Entry year x peak year counts; the pivot years are given, so no extra job is needed to find them."""
-    return eps.groupBy(F.year("entry_date").alias("entry_year")).agg(*[F.count_if(F.year("peak_date") == y).alias(f"y{y}") for y in years])
+def episodes_by_year(eps: DataFrame) -> DataFrame:
+    return eps.filter("quality_pass").groupBy(F.year("entry_date").alias("entry_year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_episodes(eps: DataFrame, k: int = 30) -> DataFrame:
+    """The k largest gains; ties by asset and entry."""
+    return eps.orderBy(F.col("max_return").desc(), F.concat("asset", F.col("entry_date").cast("string"))).limit(k)
+
+
+def cohort_crosstab(eps: DataFrame) -> DataFrame:
+    """(entry year, peak year, n) for every pair of years that occurs."""
+    return eps.groupBy(F.year("entry_date").alias("entry_year"), F.year("peak_date").alias("peak_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # dips ------------------------------------------------------------------------------------------

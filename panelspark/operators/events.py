@@ -3,7 +3,7 @@
 Events are summed per (asset, day) first. Running totals per asset turn every
 trailing window into the difference of two as-of look-ups, so one pass answers
 all windows for all dates and no event is ever paired with a date. Amounts are
-whole currency units held as integers, which makes the differences exact.
+scaled decimals, which makes the differences exact.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.rolling import running, series
-from panelspark.functions.scalars import clip
+from panelspark.functions.scalars import clip, parse_number
 from panelspark.operators.asof import asof
 
 # Category -> (weight, mode, share of market cap at which the weight is fully applied).
@@ -32,17 +32,26 @@ CATALOG: dict[str, tuple[float, str, float | None]] = {
 }
 
 
+#: Amounts, prices, quantities and stake changes keep four decimals; a product of two of them has eight and sums exactly.
+EXACT = "decimal(18,4)"
+
+
 def daily_totals(events: DataFrame) -> DataFrame:
-    """(asset, d) with one integer measure per category: amounts, signed amounts, counts and flags."""
+    """(asset, d) with one exact measure per category: amounts, signed amounts, counts and flags.
+
+    Amounts may be numbers or texts such as '1,234'; what is no number counts as 0. Stake changes are percentage points.
+    """
     cat = F.col("event_category")
     has = lambda c: c in events.columns
-    z = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")) if has(c) else F.lit(0).cast("bigint")
+    kinds = dict(events.dtypes)
+    number = lambda c: parse_number(F.col(c)) if kinds[c] == "string" else F.col(c)
+    z = lambda c: F.coalesce(number(c).try_cast(EXACT), F.lit(0).cast(EXACT)) if has(c) else F.lit(0).cast(EXACT)
     qty, price, delta = z("nstk_ostk_qy"), z("bdis_pric"), z("aft_stkqy") - z("bsis_stkqy")
     if has("trade_uv"):
-        insider = delta * z("trade_uv")
+        insider = delta.cast(EXACT) * z("trade_uv")
     else:
-        insider = F.signum(delta.cast("double")).cast("bigint") * F.abs(z("trade_amt"))
-    stake = z("stkrt_tenths") if has("stkrt_tenths") else F.coalesce((F.col("stkrt_irds") * 10).cast("bigint"), F.lit(0)) if has("stkrt_irds") else F.lit(0)
+        insider = F.signum(delta.cast("double")).cast(EXACT) * F.abs(z("trade_amt"))
+    stake = z("stkrt_irds")
     text = lambda c, pat: F.coalesce(F.col(c).rlike(pat), F.lit(False)).cast("bigint") if has(c) else None
     physical = text("div_mth", "물적")
     measure = {
@@ -100,7 +109,7 @@ def event_scores(events: DataFrame, universe: DataFrame, days: int = 90) -> Data
         elif mode == "insider":
             s = F.when(m > 0, F.lit(wt) * clip(a / m / full, -1, 1)).otherwise(0.0)
         else:
-            s = F.lit(wt) * clip(a / 10.0, -1, 1)
+            s = F.lit(wt) * clip(a, -1, 1)
         cols[f"event_{c}_score"] = s
     out = df.withColumns(cols)
     total = reduce(lambda x, y: x + y, [F.col(c) for c in cols])

@@ -47,7 +47,7 @@ def label_risk(df: DataFrame, threshold: float = -0.20) -> DataFrame:
     return df.withColumn("is_risk", hit)
 
 
-def fold_dates(dates: DataFrame, n_folds: int = 5, embargo: int = 0, need: int | None = None) -> DataFrame:
+def fold_dates(dates: DataFrame, n_folds: int = 5, embargo: int = 0) -> DataFrame:
     """(fold, role, rd): expanding train blocks before equal test blocks, `embargo` dates dropped before each test.
 
     Works on the distinct dates only, a table bounded by the calendar.
@@ -55,27 +55,27 @@ def fold_dates(dates: DataFrame, n_folds: int = 5, embargo: int = 0, need: int |
     d = dates.select("rd").distinct()
     one = Window.partitionBy(F.lit(1))
     pos = d.withColumns({"_p": F.row_number().over(one.orderBy("rd")) - 1, "_n": F.count(F.lit(1)).over(one)})
-    pos = pos.filter(F.col("_n") >= (need if need is not None else n_folds + embargo + 1)).withColumn("_size", F.floor(F.col("_n") / (n_folds + 1)))
+    pos = pos.withColumn("_size", F.floor(F.col("_n") / (n_folds + 1)))
     pos = pos.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     start = (F.col("fold") + 1) * F.col("_size")
     role = F.when(F.col("_p") < start - embargo, "train").when((F.col("_p") >= start) & (F.col("_p") < start + F.col("_size")), "test")
     return pos.withColumn("role", role).filter(F.col("role").isNotNull()).select("fold", "role", "rd")
 
 
-def usable_folds(panel: DataFrame, folds: DataFrame, min_train: int = 100, min_test: int = 10) -> DataFrame:
-    """Folds with more than the minimum train and test rows: (fold, role, rd, n_rows of the fold and role)."""
+def sized_folds(panel: DataFrame, folds: DataFrame, min_train: int = 100, min_test: int = 10) -> DataFrame:
+    """All folds as (fold, role, rd, n_train, n_test, usable); usable folds have more rows than the minimum in both roles."""
     per_day = panel.groupBy("rd").agg(F.count(F.lit(1)).alias("n"))
     sizes = folds.join(per_day, "rd").groupBy("fold").agg(
         F.sum(F.when(F.col("role") == "train", F.col("n")).otherwise(0)).alias("n_train"), F.sum(F.when(F.col("role") == "test", F.col("n")).otherwise(0)).alias("n_test"))
-    return folds.join(sizes.filter((F.col("n_train") > min_train) & (F.col("n_test") > min_test)), "fold")
+    return folds.join(sizes, "fold").withColumn("usable", (F.col("n_train") > min_train) & (F.col("n_test") > min_test))
 
 
 def walk_forward_splits(panel: DataFrame, n_folds: int = 5) -> DataFrame:
-    return usable_folds(panel, fold_dates(panel, n_folds))
+    return sized_folds(panel, fold_dates(panel, n_folds))
 
 
 def purged_splits(panel: DataFrame, n_folds: int = 5, embargo: int = 9) -> DataFrame:
-    return usable_folds(panel, fold_dates(panel, n_folds, embargo))
+    return sized_folds(panel, fold_dates(panel, n_folds, embargo))
 
 
 def label_balance(df: DataFrame, labels: list[str]) -> DataFrame:

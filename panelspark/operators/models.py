@@ -48,7 +48,7 @@ def predict(model, df: DataFrame, out: str) -> DataFrame:
 
 def folds_of(panel: DataFrame, n_folds: int, embargo: int) -> list[int]:
     """Usable fold numbers; at most n_folds integers reach the driver."""
-    f = LB.usable_folds(panel, LB.fold_dates(panel, n_folds, embargo))
+    f = LB.sized_folds(panel, LB.fold_dates(panel, n_folds, embargo)).filter("usable")
     return sorted(r[0] for r in f.select("fold").distinct().collect())
 
 

@@ -52,10 +52,9 @@ STAGE = {"markup_rs20": 0.05, "markup_abs20": 0.0, "distribute_rs60": -0.02, "di
 
 
 def lifecycle_stage(th: dict[str, float] = STAGE) -> Column:
-    """Ordered rules; a missing metric counts as 0."""
-    v = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    rs20, rs60, z = v("rs_kospi_20d"), v("rs_kospi_60d"), v("rs_kospi_20d_zscore_60d")
-    a20, a60, a120 = v("abs_return_20d"), v("abs_return_60d"), v("abs_return_120d")
+    """Ordered rules; a rule on a missing metric does not hold."""
+    rs20, rs60, z = F.col("rs_kospi_20d"), F.col("rs_kospi_60d"), F.col("rs_kospi_20d_zscore_60d")
+    a20, a60, a120 = F.col("abs_return_20d"), F.col("abs_return_60d"), F.col("abs_return_120d")
     return (
         F.when((z <= th["emergency_z"]) & (rs60 <= th["emergency_rs60"]), "markdown")
         .when((rs60 < th["markdown_rs60"]) & (a120 < th["markdown_abs120"]), "markdown")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.rolling import running, series
+from panelspark.functions.scalars import padded
 from panelspark.operators.asof import asof
 
 # Event categories in catalog order.
@@ -35,7 +36,7 @@ INVESTORS = ["individual", "foreign", "inst", "pension", "inv_trust", "private_e
 
 
 def asset_id(key: Column) -> Column:
-    return F.lpad(key.cast("string"), 6, "0")
+    return padded(key, 6)
 
 
 def exchange_of(key: Column) -> Column:
@@ -251,7 +252,7 @@ class Star:
         amt, qty = F.col("cents") * 100, F.lit(100000).cast("bigint")
         base = o.select(
             self._issuer().alias("asset"), F.to_date("o_orderdate").alias("rcept_dt"),
-            F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).alias("rcept_no"),
+            F.concat(F.date_format("o_orderdate", "yyyyMMdd"), padded(F.col("o_orderkey"), 6)).alias("rcept_no"),
             cat.alias("event_category"), _cents("o_totalprice").alias("cents"), "o_orderpriority", "o_orderstatus", "o_custkey",
         )
         st = F.col("o_orderstatus")
@@ -261,13 +262,13 @@ class Star:
             only(["treasury_sell"], amt).alias("dppln_prc_ostk"),
             only(["convertible_bond", "warrant_bond"], amt * 10).alias("bd_fta"),
             only(["capital_increase"], qty).alias("nstk_ostk_qy"),
-            only(["capital_increase"], F.floor(F.col("cents") / 100)).alias("bdis_pric"),
+            only(["capital_increase"], (F.col("cents").cast("decimal(12,0)") * F.lit(0.01).cast("decimal(3,2)"))).alias("bdis_pric"),
             only(["capital_increase"], F.when(F.col("o_orderpriority") == "1-URGENT", "제3자배정증자").otherwise("주주배정증자")).alias("ic_mthn"),
             only(["spinoff"], F.when(st == "F", "물적분할").otherwise("인적분할")).alias("div_mth"),
             only(["insider_holdings"], F.col("o_custkey")).alias("bsis_stkqy"),
             only(["insider_holdings"], F.col("o_custkey") + F.when(st == "O", 5000).when(st == "F", -5000).otherwise(0)).alias("aft_stkqy"),
-            only(["insider_holdings"], F.floor(F.col("cents") / 10)).alias("trade_uv"),
-            only(["major_holders"], F.col("o_custkey") % 21 - 10).alias("stkrt_tenths"),
+            only(["insider_holdings"], (F.col("cents").cast("decimal(12,0)") * F.lit(0.1).cast("decimal(2,1)"))).alias("trade_uv"),
+            only(["major_holders"], (F.col("o_custkey") % 201 - 100).cast("decimal(6,0)") * F.lit(0.01).cast("decimal(3,2)")).alias("stkrt_irds"),
         )
 
     def macro(self) -> DataFrame:

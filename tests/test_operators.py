@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalars as X
 from panelspark.functions.ewm import add_ewm
 from panelspark.functions.feature_groups import GROUPS, with_feature_group
-from panelspark.operators import asof as A, episodes as EP, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, portfolio as P, regime as RG, technical as T, universe as U
+from panelspark.operators import asof as A, episodes as EP, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, portfolio as P, regime as RG, technical as T, themes as TH, universe as U
+from panelspark.sources.star import asset_id
 from panelspark.streaming import monitors as MO
 
 
@@ -192,7 +193,34 @@ def test_embargo_gap(spark):
     for _, g in f.groupby("fold"):
         tr, te = ([order[x] for x in g[g.role == r].rd] for r in ("train", "test"))
         assert min(te) - max(tr) > 9
-    assert LB.purged_splits(panel.filter(F.col("rd") < "2018-11-01"), 5, 9).count() == 0
+    few = LB.purged_splits(panel.filter(F.col("rd") < "2018-11-01"), 5, 9)
+    assert few.count() > 0 and few.filter("usable").count() == 0
+
+
+def test_identifiers_are_never_cut(spark):
+    got = spark.createDataFrame([(1,), (123456,), (1234567,), (1234568,)], "k long").select(asset_id(F.col("k")), X.padded(F.col("k"), 8)).collect()
+    assert [tuple(r) for r in got] == [("000001", "00000001"), ("123456", "00123456"), ("1234567", "01234567"), ("1234568", "01234568")]
+
+
+def test_event_amounts_keep_fractions_and_texts(spark):
+    d = dt.date(2022, 1, 3)
+    rows = [("A", d, "major_holders", "0.29", None, None, None, None), ("A", d, "major_holders", "0.02", None, None, None, None), ("B", d, "treasury_buyback", None, "1,234", None, None, None),
+            ("C", d, "treasury_buyback", None, "none", None, None, None), ("D", d, "insider_holdings", None, None, "10", "12.5", "2.25"), ("E", d, "insider_holdings", None, None, None, "4", "3")]
+    ev = spark.createDataFrame(rows, "asset string, rcept_dt date, event_category string, stkrt_irds string, aqpln_prc_ostk string, bsis_stkqy string, aft_stkqy string, trade_uv string")
+    got = {r.asset: r for r in E.event_scores(ev, spark.createDataFrame([(a, d, 100_000.0) for a in "ABCDE"], "asset string, rd date, market_cap double")).collect()}
+    assert abs(got["A"].event_major_holders_score - 0.25 * 0.31) < 1e-12
+    assert abs(got["B"].event_treasury_buyback_score - 0.5 * 0.617) < 1e-12 and got["C"].event_treasury_buyback_score == 0
+    assert abs(got["D"].event_insider_holdings_score - 0.3 * 5.625 / 500) < 1e-12 and abs(got["E"].event_insider_holdings_score - 0.3 * 12 / 500) < 1e-12
+    amounts = spark.createDataFrame([("A", d, "insider_holdings", 5, 3, 40)], "asset string, rcept_dt date, event_category string, bsis_stkqy int, aft_stkqy int, trade_amt int")
+    one = E.event_scores(amounts, spark.createDataFrame([("A", d, 100_000.0)], "asset string, rd date, market_cap double")).first()
+    assert abs(one.event_insider_holdings_score + 0.3 * 40 / 500) < 1e-12
+
+
+def test_stage_without_history_is_transition(spark):
+    names = ["rs_kospi_20d", "rs_kospi_60d", "rs_kospi_20d_zscore_60d", "abs_return_20d", "abs_return_60d", "abs_return_120d"]
+    rows = [(None,) * 6, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (0.1, None, None, 0.1, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    assert [r[0] for r in df.select(TH.lifecycle_stage()).collect()] == ["transition", "accumulate", "markup"]
 
 
 def test_regime_order(spark):

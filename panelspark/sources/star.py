@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelspark.functions.rolling import running, series
 from panelspark.functions.scalars import padded
 from panelspark.operators.asof import asof
+from panelspark.sources.files import scratch
 
 # Event categories in catalog order.
 EVENT_CATEGORIES = [
@@ -51,8 +52,13 @@ def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
 
+#: Folder of the landed (supplier, day) table by application and input path.
+_DAILY: dict[tuple[str, str], str] = {}
+
+
 class Star:
-    """Lazy accessors; each call returns a plan, nothing is cached or collected."""
+    """Accessors; each call returns a plan. Line items are read once per session and path: the (supplier, day)
+    table lands in the shared folder and every accessor of bars, calendars and keys reads that."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -61,6 +67,14 @@ class Star:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def _daily(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.path)
+        if key not in _DAILY:
+            folder = scratch(self.spark, "daily")
+            self._line_items_by_day().write.parquet(folder)
+            _DAILY[key] = folder
+        return self.spark.read.parquet(_DAILY[key])
+
+    def _line_items_by_day(self) -> DataFrame:
         li = self.table("lineitem").select(
             "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag",
             F.to_date("l_shipdate").alias("d"),
@@ -128,20 +142,17 @@ class Star:
 
     def calendar(self) -> DataFrame:
         """Trading days: every date on which anything traded."""
-        return self.table("lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
+        return self._daily().select("d").distinct()
 
     def month_ends(self) -> DataFrame:
         """Last trading day of each month, as rd."""
         return (
-            self.table("lineitem").select(F.to_date("l_shipdate").alias("d"))
-            .groupBy(F.trunc("d", "MM").alias("m")).agg(F.max("d").alias("rd"))
+            self._daily().groupBy(F.trunc("d", "MM").alias("m")).agg(F.max("d").alias("rd"))
         )
 
     def keys(self) -> DataFrame:
         """(asset, rd): month ends between an asset's first and last bar (the last month included)."""
-        span = self.table("lineitem").groupBy("l_suppkey").agg(
-            F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b")
-        )
+        span = self._daily().groupBy("l_suppkey").agg(F.min("d").alias("a"), F.max("d").alias("b"))
         months = span.select(
             asset_id(F.col("l_suppkey")).alias("asset"),
             F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))).alias("m"),

@@ -52,7 +52,7 @@ def _(s):
     src = scratch(s.spark, "bars")
     b = s.bars().select("asset", "d", "close", "low", "high")
     b.write.parquet(src)
-    return MO.run_available(MO.dip_alert_stream(MO.stream_of(s.spark, src, b.schema)), "dip-alerts")
+    return MO.run_dip_alerts(MO.stream_of(s.spark, src, b.schema))
 
 
 _TICK = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -62,12 +62,12 @@ _FMT = lambda df: df.withColumns({"start": F.date_format("start", "yyyy-MM-dd HH
 query("bars_from_ticks", "asset start_ts open:2 high:2 low:2 close:2 ticks:i", "dbars", f"SELECT *, {_TICK.format(c='st')} AS start_ts FROM dbars")(lambda s: _FMT(MO.bars_from_ticks(s.ticks())))
 
 
-@query("bars_from_tick_stream", "asset start_ts open:2 high:2 low:2 close:2 ticks:i", "dbars ticks", f"SELECT *, {_TICK.format(c='st')} AS start_ts FROM dbars WHERE st + INTERVAL 1 DAY <= (SELECT max(ts) FROM ticks) - INTERVAL 2 HOUR")
+@query("bars_from_tick_stream", "asset start_ts open:2 high:2 low:2 close:2 ticks:i", "dbars", f"SELECT *, {_TICK.format(c='st')} AS start_ts FROM dbars")
 def _(s):
-    raw = MO.stream_of(s.spark, s.path, s.table("events").schema, "events.parquet")
+    raw = MO.stream_of(s.spark, f"{s.path}/events.parquet*", s.table("events").schema)
     last = s.table("supplier").agg(F.max("s_suppkey")).first()[0]
     ticks = raw.select(padded(F.col("user_id") % (last + 1), 6).alias("asset"), "ts", F.col("value").alias("price"), "event_id")
-    return _FMT(MO.run_available(MO.bars_from_ticks(ticks, "1 day", "2 hours"), "tick-bars"))
+    return _FMT(MO.run_versions(MO.bars_from_ticks(ticks, "1 day"), "tick-bars", ["asset", "start", "end"]))
 
 
 query("sessions", "asset start_ts end_ts ticks:i amount:2", "ticks", f"""

@@ -33,7 +33,7 @@ def value_positions(df: DataFrame, keys: list[str], value: str, every: int = SAM
     picked = F.array_sort(F.collect_list(F.when(F.pmod(F.xxhash64("_v"), F.lit(every)) == 0, F.col("_v"))))
     stats = vals.groupBy(*keys).agg(F.sum("eq").alias("n"), picked.alias("_s"))
     stats = stats.withColumn("_cuts", F.filter("_s", lambda x, i: i % per_range == 0)).drop("_s")
-    ranged = vals.join(stats, keys).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    ranged = vals.join(stats, keys).withColumn("_r", _below("_cuts", F.col("_v"))).drop("_cuts")
     inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys, "_r").agg(F.sum("eq").alias("_c")).select(
@@ -46,6 +46,22 @@ def value_positions(df: DataFrame, keys: list[str], value: str, every: int = SAM
     )
 
 
+def _below(cuts: str, value: Column) -> Column:
+    """How many of the ascending cuts are below the value, by binary search."""
+    n = F.size(cuts)
+    start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = (s["lo"] < s["hi"]) & (F.get(cuts, mid) < value)
+        lo = F.when(above, mid + 1).otherwise(s["lo"])
+        hi = F.when((s["lo"] < s["hi"]) & ~above, mid).otherwise(s["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(rounds, start, halve, lambda s: s["lo"]))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group, one row per group, plus the non-null count n."""
     pos = value_positions(df, keys, value)

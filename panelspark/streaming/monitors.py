@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from panelspark.functions.rolling import roll_sum, series
 from panelspark.operators.asof import asof
@@ -24,8 +20,14 @@ def event_alerts(events: DataFrame, portfolio: DataFrame) -> DataFrame:
     return e.join(portfolio.select("asset"), "asset", "left_semi")
 
 
-def event_alert_stream(events: DataFrame, portfolio: DataFrame, delay: str = "30 days") -> DataFrame:
-    """The same on a stream of events with a timestamp `ts`; repeats of a receipt number inside the delay are dropped."""
+def event_alert_stream(events: DataFrame, portfolio: DataFrame, delay: str | None = None) -> DataFrame:
+    """The same on a stream of events with a timestamp `ts`; repeats of a receipt number are dropped.
+
+    Without a delay no event counts as late, whatever the number of batches. A delay bounds the state of an endless
+    stream: it forgets numbers older than that and drops events that come later.
+    """
+    if delay is None:
+        return event_alerts(events.dropDuplicates(["rcept_no"]), portfolio)
     return event_alerts(events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["rcept_no"]), portfolio)
 
 
@@ -52,10 +54,7 @@ def dip_verdict(df: DataFrame, dip_1d: float = DIP_1D, dip_5d: float = DIP_5D, f
 def dip_alerts(bars: DataFrame, flow: DataFrame, mcap: DataFrame, portfolio: DataFrame, **thresholds) -> DataFrame:
     """Every bar of a held asset that fell far enough, judged by the five-day flows."""
     w = series("asset")
-    five = w.rowsBetween(-4, 0)
-    b = bars.join(portfolio.select("asset"), "asset", "left_semi").select(
-        "asset", "d", F.col("close").alias("today_close"), (F.try_divide("close", F.lag("close").over(w)) - 1).alias("dip_1d_pct"),
-        (F.min("low").over(five) / F.max("high").over(five) - 1).alias("dip_5d_pct"))
+    b = dips(bars.join(portfolio.select("asset"), "asset", "left_semi"))
     fl = flow.select("asset", "d", *[roll_sum(F.col(f"{k}_net"), w, 5, 1).alias(f"{k}_net_5d") for k in ("foreign", "inst", "individual")])
     j = asof(b.join(fl, ["asset", "d"], "left"), mcap, ["asset"], "d", "snapshot_date", ["market_cap"])
     return dip_verdict(j, **thresholds)
@@ -87,11 +86,21 @@ def bars_from_ticks(ticks: DataFrame, length: str = "1 day", delay: str | None =
     return g.select("asset", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "ticks")
 
 
-def sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str | None = None) -> DataFrame:
-    """Activity sessions per asset: a pause of `gap` ends one."""
-    t = _event_time(ticks, delay)
-    g = t.groupBy("asset", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("amount"))
-    return g.select("asset", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "ticks", "amount")
+def sessions(ticks: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Activity sessions per asset: a pause of the gap ends one.
+
+    Ticks of one gap-long bucket always belong together, so they are summed first, map-side; what is put in order per asset is one
+    row per bucket, whatever the number of ticks.
+    """
+    pause = gap_minutes * 60_000_000
+    t = ticks.select("asset", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "price")
+    b = t.groupBy("asset", F.floor(F.col("us") / pause).alias("bucket")).agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("amount"))
+    w = Window.partitionBy("asset").orderBy("bucket")
+    opens = F.coalesce(F.col("first") >= F.lag("last").over(w) + pause, F.lit(True)).cast("int")
+    g = b.withColumn("_o", opens).withColumn("_s", F.sum("_o").over(w))
+    out = g.groupBy("asset", "_s").agg(F.min("first").alias("a"), F.max("last").alias("z"), F.sum("ticks").alias("ticks"), F.sum("amount").alias("amount"))
+    return out.select("asset", F.timestamp_micros("a").alias("start"), F.timestamp_micros(F.col("z") + pause).alias("end"), "ticks", "amount")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -104,36 +113,64 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def stream_of(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
+def run_versions(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream over what is there; each batch writes the rows it changed, the last version of a row counts."""
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
+
+    def save(batch: DataFrame, version: int) -> None:
+        batch.withColumn("_version", F.lit(version)).write.mode("overwrite").parquet(f"{out}/data/batch={version}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return _latest(spark, f"{out}/data", T.StructType([*stream.schema.fields, T.StructField("_version", T.LongType())]), keys)
+
+
+def _latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    if not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+        return spark.createDataFrame([], schema).drop("_version")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "_version")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("_r"))
+    return last.select(*keys, "_r.*")
+
+
+def stream_of(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder, or of a table that may be one file or a folder of part files (a path with a `*`).
+
+    Without files_per_trigger all that is there is one batch.
+    """
+    r = spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.parquet(path)
 
 
-STATE = "d array<date>, close array<double>, low array<double>, high array<double>"
-ALERT = "asset string, d date, today_close double, dip_1d_pct double, dip_5d_pct double"
-
-
-def dip_state(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep the last four bars of one asset between micro-batches; emit the bars that fall through a threshold."""
-    rows = pd.concat(list(chunks)).sort_values("d")
-    if state.exists:
-        d, c, lo, hi = state.get
-        past = pd.DataFrame({"d": list(d), "close": list(c), "low": list(lo), "high": list(hi)})
-        rows = rows[rows["d"] > past["d"].max()]
-    else:
-        past = rows.iloc[0:0][["d", "close", "low", "high"]]
-    both = pd.concat([past, rows[["d", "close", "low", "high"]]], ignore_index=True) if len(past) else rows[["d", "close", "low", "high"]].reset_index(drop=True)
-    one = both["close"] / both["close"].shift(1) - 1
-    five = both["low"].rolling(5, min_periods=1).min() / both["high"].rolling(5, min_periods=1).max() - 1
-    keep = (both.index >= len(past)) & ((one < DIP_1D) | (five < DIP_5D))
-    tail = both.tail(5)
-    state.update((list(tail["d"]), list(tail["close"].astype(float)), list(tail["low"].astype(float)), list(tail["high"].astype(float))))
-    yield pd.DataFrame({"asset": key[0], "d": both["d"], "today_close": both["close"], "dip_1d_pct": one, "dip_5d_pct": five})[keep]
-
-
-def dip_alert_stream(bars: DataFrame) -> DataFrame:
-    """Dips from a stream of daily bars; the state of an asset is its last five bars."""
-    return bars.select("asset", "d", "close", "low", "high").groupBy("asset").applyInPandasWithState(
-        dip_state, ALERT, STATE, "append", GroupStateTimeout.NoTimeout)
+def dips(bars: DataFrame) -> DataFrame:
+    """Each bar with its one-day fall and its five-row range fall."""
+    w = series("asset")
+    five = w.rowsBetween(-4, 0)
+    return bars.select("asset", "d", F.col("close").alias("today_close"), (F.try_divide("close", F.lag("close").over(w)) - 1).alias("dip_1d_pct"),
+                       (F.min("low").over(five) / F.max("high").over(five) - 1).alias("dip_5d_pct"))
+
+
+def run_dip_alerts(bars: DataFrame, name: str = "dip-alerts") -> DataFrame:
+    """Dips from a stream of daily bars that may come in any order and in any number of batches.
+
+    A batch's bars join those kept so far of the same assets; bars from the asset's first new date on are judged again and
+    written as a new version, so a late bar corrects what followed it. The last version of each bar counts.
+    """
+    spark, out = bars.sparkSession, scratch(bars.sparkSession, name)
+    cols = ["asset", "d", "close", "low", "high"]
+    kept_schema = bars.select(*cols).schema
+    schema = T.StructType([*dips(spark.createDataFrame([], kept_schema)).schema.fields, T.StructField("_version", T.LongType())])
+
+    def judge(batch: DataFrame, version: int) -> None:
+        batch.select(*cols).write.mode("overwrite").parquet(f"{out}/bars/batch={version}")
+        new = spark.read.schema(kept_schema).parquet(f"{out}/bars/batch={version}")
+        since = new.groupBy("asset").agg(F.min("d").alias("since"))
+        kept = spark.read.schema(kept_schema).option("recursiveFileLookup", "true").parquet(f"{out}/bars")
+        judged = dips(kept.join(since.select("asset"), "asset", "left_semi").dropDuplicates(["asset", "d"])).join(since, "asset").where("d >= since")
+        judged.drop("since").withColumn("_version", F.lit(version)).write.mode("overwrite").parquet(f"{out}/data/batch={version}")
+
+    bars.select(*cols).writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(judge).trigger(availableNow=True).start().awaitTermination()
+    last = _latest(spark, f"{out}/data", schema, ["asset", "d"])
+    return last.filter((F.col("dip_1d_pct") < DIP_1D) | (F.col("dip_5d_pct") < DIP_5D))

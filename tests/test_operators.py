@@ -248,18 +248,50 @@ def test_assert_complete_raises(spark):
         H.assert_complete(df.withColumn("b", F.lit(True)), ["b"])
 
 
-def test_dip_stream_across_batches(spark, tmp_path):
-    """State carries the last bars over micro-batches: many small batches give what one batch gives."""
+@pytest.mark.parametrize("files", [None, 1])
+def test_dip_stream_across_batches(spark, tmp_path, files):
+    """Bars in any order and any number of batches give what one batch gives."""
     pdf = bars_of(21, 80)[["asset", "d", "close", "low", "high"]]
     days = sorted(pdf.d.unique())
     src = tmp_path / "bars"
-    for i in range(0, 80, 20):
+    for i in (40, 0, 60, 20):
         spark.createDataFrame(pdf[pdf.d.isin(days[i:i + 20])]).coalesce(1).write.mode("append").parquet(str(src))
     schema = spark.read.parquet(str(src)).schema
-    out = MO.run_available(MO.dip_alert_stream(MO.stream_of(spark, str(src), schema, files_per_trigger=1)), "dips").toPandas()
+    out = MO.run_dip_alerts(MO.stream_of(spark, str(src), schema, files)).toPandas()
     want = []
     for a, g in pdf.groupby("asset"):
         one = g.close / g.close.shift(1) - 1
         five = g.low.rolling(5, min_periods=1).min() / g.high.rolling(5, min_periods=1).max() - 1
         want += [(a, d) for d in g.d[(one < MO.DIP_1D) | (five < MO.DIP_5D)]]
     assert sorted(zip(out.asset, out.d)) == sorted(want)
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_event_stream_loses_nothing(spark, tmp_path, files):
+    d0, src = dt.date(2022, 1, 1), str(tmp_path / "events")
+    rows = [(f"A{k % 3}", f"r{k}", d0 + dt.timedelta(40 * k), "spinoff", dt.datetime(2022, 1, 1) + dt.timedelta(40 * k)) for k in range(12)]
+    schema = "asset string, rcept_no string, rcept_dt date, event_category string, ts timestamp"
+    for part in (rows[8:], rows[:4], rows[4:9]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    held = spark.createDataFrame([("A0",), ("A1",), ("A2",)], "asset string")
+    out = MO.run_available(MO.event_alert_stream(MO.stream_of(spark, src, spark.read.parquet(src).schema, files), held), "events")
+    assert sorted(r.rcept_no for r in out.collect()) == sorted(r[1] for r in rows)
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_tick_bars_of_a_table_that_is_a_folder(spark, tmp_path, files):
+    t0 = dt.datetime(2022, 1, 3)
+    rows = [(f"A{k % 2}", t0 + dt.timedelta(hours=7 * ((k * 5) % 24)), float(k), k) for k in range(24)]
+    ticks = spark.createDataFrame(rows, "asset string, ts timestamp, price double, event_id int")
+    ticks.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    stream = MO.stream_of(spark, f"{tmp_path}/events.parquet*", ticks.schema, files)
+    got = MO.run_versions(MO.bars_from_ticks(stream), "bars", ["asset", "start", "end"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, MO.bars_from_ticks(ticks).collect()))
+
+
+def test_sessions_split_at_the_gap(spark):
+    t0 = dt.datetime(2022, 1, 3, 9, 59, 50)
+    at = [0, 5, 1804, 1804 + 1800, 9000, 9001]
+    ticks = spark.createDataFrame([("A", t0 + dt.timedelta(seconds=s), 1.0) for s in at], "asset string, ts timestamp, price double")
+    got = [(r.start, r.ticks) for r in MO.sessions(ticks).orderBy("start").collect()]
+    assert got == [(t0, 3), (t0 + dt.timedelta(seconds=3604), 1), (t0 + dt.timedelta(seconds=9000), 2)]

@@ -79,3 +79,16 @@ def test_topk_is_limited_before_the_shuffle(spark, frame):
 def test_robust_z_small_group_is_null(spark):
     df = spark.createDataFrame([("d", f"a{i}", float(i)) for i in range(4)], "rd string, asset string, x double")
     assert XS.robust_z(df, ["rd"], ["asset"], ["x"]).filter(F.col("x_z").isNotNull()).count() == 0
+
+
+def test_many_distinct_values_and_many_ties(spark):
+    """A million distinct values next to 99 % ties of one value, with few values per range."""
+    from panelspark.operators.ordered import value_positions
+
+    wide = spark.range(1_000_000).select(F.lit("w").alias("g"), ((F.col("id") * 7919) % 1_000_003).cast("double").alias("v"))
+    tied = spark.range(100_000).select(F.lit("t").alias("g"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(0).cast("double").alias("v"))
+    pos = value_positions(wide.unionByName(tied), ["g"], "v", every=64, per_range=4)
+    w = pos.filter("g = 'w'").agg(F.count("*").alias("n"), F.max("lt").alias("m"), F.count_distinct("lt").alias("d")).first()
+    assert (w.n, w.m, w.d) == (1_000_000, 999_999, 1_000_000)
+    t = {r.v: (r.lt, r.eq, r.n) for r in pos.filter("g = 't'").collect()}
+    assert t[0.0] == (0, 99_001, 100_000) and t[100.0] == (99_001, 1, 100_000) and len(t) == 1000

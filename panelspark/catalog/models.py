@@ -9,7 +9,7 @@ from panelspark.operators import evaluation as EV, labels as LB, models as M, th
 from panelspark.sources.files import scratch
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "ret_12m", "ret_12_1m"]
-FAST = dict(n_folds=3, trees=5)
+FAST = dict(n_folds=5, trees=5)
 
 
 def panel(s):
@@ -78,14 +78,16 @@ def _(s):
     return M.Ensemble.fit(p.filter(cut), FEATURES, "is_pre_surge", trees=5).predict(p.filter(~cut))
 
 
-DIP_FEATURES = ["f_dip_magnitude_pct", "f_dist_from_50_ma", "f_bollinger_band_position", "f_rsi_14_at_dip", "f_atr_14_pct", "f_vol_dip_day_z60", "f_foreign_net_dip_day_z", "f_kospi_drawdown_at_dip", "f_dart_event_severity_score"]
+def _dips(s):
+    return dip_panel(s).filter(F.col("label").isNotNull())
 
 
-def _dips(s):
-    return dip_panel(s).withColumn("label", F.when(F.col("days_to_label").isNotNull(), (F.col("days_to_label") <= 3).cast("int")))
+def dip_columns(dips):
+    """All dip features of the panel."""
+    return [c for c in dips.columns if c.startswith("f_")]
 
 
-query("train_dip_classifier", "asset dip_date:d fold:i label:i p:6")(lambda s: M.dip_classifier_scores(_dips(s), DIP_FEATURES, trees=5))
+query("train_dip_classifier", "asset dip_date:d fold:i label:i p:6")(lambda s: M.dip_classifier_scores(d := _dips(s), dip_columns(d), n_folds=5, trees=5))
 
 
 @query("score_batch", "asset rd:d p:6")
@@ -95,3 +97,11 @@ def _(s):
     p, path = materialize(panel(s), "binding"), scratch(s.spark, "model")
     M.save_bound(M.fit_tree(M.assemble(p, FEATURES), "is_pre_surge", 5), path, FEATURES, "1")
     return M.score_batch(path, p, FEATURES, "1")
+
+
+@query("entry_model_job", "asset rd:d p:6 rank_in_month:i")
+def _(s):
+    from panelspark.catalog.plans import ALL, CFG, PL, inputs
+
+    p = PL.scored_panel(inputs(s), CFG, ALL).join(LB.label_windows(s.keys(), episodes(s)).select("asset", "rd", "is_pre_surge"), ["asset", "rd"])
+    return M.entry_model_job(p, "is_pre_surge", scratch(s.spark, "entry-model"), {"asset", "rd", "market_cap"}, k=10, **FAST)[0]

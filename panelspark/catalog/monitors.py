@@ -78,7 +78,8 @@ query("sessions", "asset start_ts end_ts ticks:i amount:2", "ticks", f"""
 
 @query("dip_alerts_scored", "asset dip_date:d p:6 verdict")
 def _(s):
-    from panelspark.catalog.models import DIP_FEATURES, _dips
+    from panelspark.catalog.models import _dips, dip_columns
     from panelspark.operators import models as M
 
-    return M.dip_classifier_scores(_dips(s), DIP_FEATURES, trees=5, n_folds=2).withColumn("verdict", MO.scored_verdict(F.col("p")))
+    dips = _dips(s)
+    return M.dip_classifier_scores(dips, dip_columns(dips), trees=5, n_folds=5).withColumn("verdict", MO.scored_verdict(F.col("p")))

@@ -84,6 +84,20 @@ def feature_importance(panel: DataFrame, features: list[str], label: str, trees:
     return panel.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def entry_model_job(panel: DataFrame, label: str, path: str, exclude: set[str], max_null_rate: float = 0.5, k: int = 30, engine_version: str = "1", **kw) -> tuple[DataFrame, DataFrame]:
+    """(picks, fold metrics): choose the feature columns by null rate, run the purged folds, fit on all rows, store
+    the model with its feature list, read it back and rank what it scores per date."""
+    from panelspark.operators.hygiene import align_features, select_feature_columns
+
+    base = materialize(panel, "job")
+    rates = select_feature_columns(base, {*exclude, label}, max_null_rate).filter("selected")
+    features = sorted(r["feature"] for r in rates.collect())  # a name per column of the panel
+    x = materialize(align_features(base, features, ["asset", "rd", label])[0], "job-features")
+    metrics = train_entry_classifier(x, features, label, **kw)
+    save_bound(fit_tree(assemble(x, features), label, kw.get("trees", 10)), path, features, engine_version)
+    return rank_in_date(score_batch(path, base, features, engine_version), "p", k, out="rank_in_month"), metrics
+
+
 def oos_picks(panel: DataFrame, features: list[str], label: str, k: int = 30, **kw) -> DataFrame:
     return rank_in_date(scored_folds(panel, features, label, **kw), "p", k, out="rank_in_month")
 
@@ -104,7 +118,7 @@ def picks_in_sample(panel: DataFrame, features: list[str], label: str, k: int =
     base = materialize(panel.select("asset", "rd", label, *features), "insample")
     n_pos = base.agg(F.sum(label)).first()[0] or 0
     if n_pos < min_positives:
-        return base.select("asset", "rd", F.lit(0.0).alias("p"), F.lit(0).alias("rank_in_month")).limit(0)
+        raise ValueError(f"{n_pos} positive rows of {label}; at least {min_positives} are needed")
     x = assemble(base, features)
     return rank_in_date(predict(fit_tree(x, label, trees), x, "p"), "p", k, out="rank_in_month")
 
@@ -154,7 +168,7 @@ def adversarial_validation(panel: DataFrame, in_test: Column, features: list[str
     base = materialize(panel.select("asset", "rd", in_test.cast("int").alias("y"), *features), "adversarial")
     n1, n = base.agg(F.sum("y"), F.count(F.lit(1))).first()
     if (n1 or 0) < min_rows or n - (n1 or 0) < min_rows:
-        return base.sparkSession.createDataFrame([], "feature string, importance double, auc double")
+        raise ValueError(f"{n1} test and {n - (n1 or 0)} train rows; at least {min_rows} of each are needed")
     x = assemble(base, features)
     hold = F.pmod(F.xxhash64("asset", "rd"), F.lit(10)) < 3
     m = fit_tree(x.filter(~hold), "y", trees)

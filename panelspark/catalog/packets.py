@@ -21,7 +21,7 @@ add_cte("mviol", "mev", """
       UNION ALL SELECT k, 'evidence_raw_sha256' FROM mev WHERE i = 1 AND k % 19 = 0 UNION ALL SELECT k, 'duplicate_evidence_id' FROM (SELECT k FROM mev GROUP BY k, eid HAVING count(*) > 1)
       UNION ALL SELECT k, 'evidence_source_affiliation_mismatch' FROM mev WHERE aff <> aff0 AND NOT (typ = 'OTHER_PRIMARY') UNION ALL SELECT k, 'duplicate_invalidation:' || dim FROM mev WHERE i = 3 AND k % 31 = 0
       UNION ALL SELECT k, 'assessment:' || dim FROM mev WHERE a > 1 UNION ALL SELECT k, 'independent_support_required:' || dim FROM mev WHERE j = 0 AND a > 0.5 AND aff = 'ISSUER')""")
-query("moat_violations", "packet_id code", "mviol", "SELECT CAST(packet_id AS VARCHAR) AS packet_id, code FROM mviol")(lambda s: PK.moat_violations(moat_packets(s), CUTOFF))
+query("moat_violations", "packet_id code", "mviol", "SELECT CAST(packet_id AS VARCHAR) AS packet_id, code FROM mviol")(lambda s: PK.moat_violations(materialize(moat_packets(s), "packets"), CUTOFF))
 query("explode_moat_packets", "packet_id dimension evidence_id assessment:2 confidence:2 independence_group source_type source_affiliation direction", "mev",
       "SELECT CAST(k AS VARCHAR) AS packet_id, dim AS dimension, eid AS evidence_id, a AS assessment, cf AS confidence, grp AS independence_group, typ AS source_type, aff AS source_affiliation, CASE j WHEN 0 THEN 'SUPPORT' ELSE 'CHALLENGE' END AS direction FROM mev")(
     lambda s: PK.explode_moat_packets(moat_packets(s)))
@@ -53,7 +53,7 @@ def _(s):
     arts = p.select(F.col("page_id").cast("string").alias("artifact_id"), F.encode("html", "UTF-8").alias("content"))
     refs = p.select(F.col("page_id").cast("string").alias("artifact_id"), F.when(F.contains("html", F.lit("<script")), F.sha2("url", 256)).otherwise(F.sha2("html", 256)).alias("sha256"))
     gone = s.table("labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("artifact_id"), F.sha2(F.lit("x"), 256).alias("sha256"))
-    return PK.verify_artifact_hashes(refs.unionByName(gone), arts)
+    return PK.verify_artifact_hashes(refs.unionByName(gone), arts, None)
 
 
 @query("read_artifacts", "artifact_id n_bytes_ok:b")
@@ -61,7 +61,7 @@ def _(s):
     """The table files themselves as hashed artifacts."""
     a = PK.read_artifacts(s.spark, s.path)
     refs = a.select("artifact_id", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"))
-    return PK.verify_artifact_hashes(refs, a).select("artifact_id", F.col("status").isin("verified", "bytes_invalid").alias("n_bytes_ok"))
+    return PK.verify_artifact_hashes(refs, a, None).select("artifact_id", F.col("status").isin("verified", "bytes_invalid").alias("n_bytes_ok"))
 
 
 add_cte("sbars", "daily assets", "SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS close FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INT, '0') GROUP BY 1, 2")

@@ -142,7 +142,7 @@ query("two_sleeve_select", "asset rd:d sleeve sleeve_rank:i", "picks", """
     WITH a AS (SELECT asset, rd, row_number() OVER (PARTITION BY rd ORDER BY p_pre_entry DESC, asset) AS r FROM picks QUALIFY r <= 6)
     SELECT asset, rd, 'pre_entry' AS sleeve, r AS sleeve_rank FROM a UNION ALL SELECT asset, rd, 'continuation', row_number() OVER (PARTITION BY rd ORDER BY p_continuation DESC, asset) AS r FROM picks p WHERE (asset, rd) NOT IN (SELECT asset, rd FROM a) QUALIFY r <= 4""")(
     lambda s: P.two_sleeve_select(picks(s), 10, 0.6, 0.4))
-_V = "(VALUES " + ", ".join(f"('{k}', {v[1]}, {v[2]}, {v[3]}, {v[4]})" for k, v in P.VARIANTS.items()) + ") v(strategy, guard, overlay, penalty, sleeves)"
+_V = "(VALUES " + ", ".join(f"('{k}', {v.guard}, {v.overlay}, {v.penalty}, {v.sleeves})" for k, v in P.VARIANTS.items()) + ") v(strategy, guard, overlay, penalty, sleeves)"
 add_cte("vsel", "picks", f"""
     WITH d AS (SELECT *, p_pre_entry * f AS a, p_continuation * f AS b FROM (SELECT *, CASE WHEN overlay THEN 1 - penalty * risk ELSE 1 END::DOUBLE AS f FROM picks, {_V} WHERE NOT overlay OR veto < 0.5)),
       one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, rd ORDER BY a DESC, asset) AS r FROM d) WHERE r <= CASE WHEN sleeves THEN 5 ELSE 10 END),

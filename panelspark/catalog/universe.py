@@ -114,19 +114,19 @@ query("coerce_numbers", "o_orderkey:i x:2 n:i", "", "SELECT o_orderkey, CASE o_o
     .select("o_orderkey", X.to_double(F.col("t"), -1.0).alias("x"), X.to_int(F.col("t"), 7).alias("n")))
 
 
-@query("pit_visible", "asset rd:d year:i reprt_code rcept_dt:d", "keys fund", "SELECT k.asset, rd, year, reprt_code, rcept_dt FROM keys k JOIN fund f ON k.asset = f.asset AND rcept_dt <= rd")
+@query("pit_visible", "asset rd:d n_visible:i latest:d", "keys fund", "SELECT k.asset, rd, count(rcept_dt) AS n_visible, max(rcept_dt) AS latest FROM keys k LEFT JOIN fund f ON k.asset = f.asset AND rcept_dt <= rd GROUP BY 1, 2")
 def _(s):
-    j = s.keys().join(s.fundamentals(), "asset")
-    return H.pit_visible(j, "rcept_dt", "rd")
+    """Filings known at each key: how many and the latest; keys without any keep 0."""
+    counted = H.window_counts(s.fundamentals(), s.keys(), "rcept_dt", {"n_visible": None})
+    known = H.pit_visible(A.asof(s.keys(), s.fundamentals().select("asset", "rcept_dt", F.col("rcept_dt").alias("latest")), ["asset"], "rd", "rcept_dt", ["latest"]), "latest", "rd")
+    return counted.join(known.select("asset", "rd", "latest"), ["asset", "rd"], "left")
 
 
 @query("lookback_windows", "asset rd:d n_months:i n_days:i", "keys disc", """
     SELECT k.asset, rd, count(*) FILTER (rcept_dt > CAST(rd - INTERVAL 3 MONTH AS DATE)) AS n_months, count(*) FILTER (rcept_dt >= rd - 90) AS n_days
-    FROM keys k JOIN disc d ON k.asset = d.asset AND rcept_dt <= rd AND rcept_dt > rd - 100 GROUP BY 1, 2""")
+    FROM keys k LEFT JOIN disc d ON k.asset = d.asset AND rcept_dt <= rd GROUP BY 1, 2""")
 def _(s):
-    j = s.keys().join(s.disclosures().select("asset", "rcept_dt"), "asset").filter((F.col("rcept_dt") <= F.col("rd")) & (F.col("rcept_dt") > F.date_sub("rd", 100)))
-    return j.groupBy("asset", "rd").agg(
-        F.count_if(H.in_lookback_months(F.col("rcept_dt"), F.col("rd"), 3)).alias("n_months"), F.count_if(H.in_lookback_days(F.col("rcept_dt"), F.col("rd"), 90)).alias("n_days"))
+    return H.window_counts(s.disclosures(), s.keys(), "rcept_dt", {"n_months": F.add_months("rd", -3), "n_days": F.date_sub("rd", 91)})
 
 
 _DCOLS = ["aqpln_prc_ostk", "dppln_prc_ostk", "bd_fta", "nstk_ostk_qy", "bdis_pric", "bsis_stkqy", "aft_stkqy", "trade_uv", "stkrt_irds"]

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from panelspark.functions.rolling import running, series
 from panelspark.functions.scalars import finite
+from panelspark.operators.asof import asof
 
 
 def hard_sanitize(df: DataFrame, cols: list[str], fill: float = 0.0) -> DataFrame:
@@ -28,6 +30,20 @@ def in_lookback_days(event_date: Column, as_of: Column, days: int) -> Column:
     return event_date.between(F.date_sub(as_of, days), as_of)
 
 
+def window_counts(events: DataFrame, keys: DataFrame, date: str, windows: dict[str, Column | None]) -> DataFrame:
+    """(asset, rd, one count per window) for every key: events after the window's last day before it, up to rd; None counts from the start.
+
+    Events are summed per day and looked up as running totals, so no key is paired with its events.
+    """
+    daily = events.filter(F.col(date).isNotNull()).groupBy("asset", F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = daily.withColumn("_n", F.sum("_n").over(running(series("asset", order="_d"))))
+    ends = [("_end", F.col("rd"))] + [(n, before) for n, before in windows.items() if before is not None]
+    targets = keys.select("asset", "rd", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), t.alias("t")) for n, t in ends])).alias("_e"))
+    got = asof(targets.select("asset", "rd", F.col("_e.n").alias("_w"), F.col("_e.t").alias("_t0")), totals, ["asset"], "_t0", "_d", ["_n"])
+    at = lambda n: F.coalesce(F.max(F.when(F.col("_w") == n, F.col("_n"))), F.lit(0))
+    return got.groupBy("asset", "rd").agg(*[(at("_end") - at(n) if b is not None else at("_end")).alias(n) for n, b in windows.items()])
+
+
 def numeric_columns(df: DataFrame, exclude: set[str]) -> list[str]:
     ok = (T.NumericType, T.BooleanType)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, ok) and f.name not in exclude]

@@ -6,6 +6,8 @@ over a selection stay small whatever the size of the universe behind it.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.operators.asof import asof
@@ -207,16 +209,32 @@ def trade_list(positions: DataFrame, periods: DataFrame) -> DataFrame:
         *KEY, "asset", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("shares"), notional.alias("notional"), (notional * bp / 1e4).alias("cost"))
 
 
-# Variant -> (drawdown breaker, volatility guard, governance overlay, penalty, sleeve separation).
-VARIANTS: dict[str, tuple[bool, bool, bool, float, bool]] = {
-    "B0_baseline": (True, False, False, 0.35, False), "D1_survivorship_fix": (True, False, False, 0.35, False),
-    "D2_historical_mcap": (True, False, False, 0.35, False), "D3_purged_walkforward": (True, False, False, 0.35, False),
-    "A1_pre_entry": (True, False, False, 0.35, False), "A2_pre_plus_continuation": (True, False, False, 0.35, True),
-    "A3_technical_gate": (True, False, False, 0.35, True), "A4_flow_confirmation": (True, False, False, 0.35, True),
-    "A5_with_governance": (True, False, True, 0.35, True), "A6_full_with_regime": (True, True, True, 0.35, True),
-    "G0_no_governance": (True, True, False, 0.35, False), "G1_soft_penalty": (True, True, True, 0.35, False),
-    "G2_hard_veto_only": (True, True, True, 0.0, False), "G3_weight_cap": (True, True, True, 0.35, False),
-    "G4_event_driven_combined": (True, True, True, 0.50, True),
+class Variant(NamedTuple):
+    """Switches of one variant; a drawdown breaker needs the equity path and belongs to the cash simulators, which are left out."""
+
+    guard: bool = False  # volatility guard
+    overlay: bool = False  # governance overlay
+    penalty: float = 0.35
+    sleeves: bool = False  # two sleeves
+
+
+# Variants.
+VARIANTS: dict[str, Variant] = {
+    "B0_baseline": Variant(),
+    "D1_survivorship_fix": Variant(),
+    "D2_historical_mcap": Variant(),
+    "D3_purged_walkforward": Variant(),
+    "A1_pre_entry": Variant(),
+    "A2_pre_plus_continuation": Variant(sleeves=True),
+    "A3_technical_gate": Variant(sleeves=True),
+    "A4_flow_confirmation": Variant(sleeves=True),
+    "A5_with_governance": Variant(overlay=True, sleeves=True),
+    "A6_full_with_regime": Variant(guard=True, overlay=True, sleeves=True),
+    "G0_no_governance": Variant(guard=True),
+    "G1_soft_penalty": Variant(guard=True, overlay=True),
+    "G2_hard_veto_only": Variant(guard=True, overlay=True, penalty=0.0),
+    "G3_weight_cap": Variant(guard=True, overlay=True),
+    "G4_event_driven_combined": Variant(guard=True, overlay=True, penalty=0.50, sleeves=True),
 }
 
 
@@ -229,7 +247,7 @@ def variant_selections(picks: DataFrame, n: int) -> DataFrame:
     from panelspark.operators.events import governance_weight_cap
     from panelspark.operators.xsection import rank_in_date
 
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(v[1]).alias("guard"), F.lit(v[2]).alias("overlay"), F.lit(v[3]).alias("penalty"), F.lit(v[4]).alias("sleeves")) for k, v in VARIANTS.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(v.guard).alias("guard"), F.lit(v.overlay).alias("overlay"), F.lit(v.penalty).alias("penalty"), F.lit(v.sleeves).alias("sleeves")) for k, v in VARIANTS.items()])
     picks = materialize(picks, "picks")
     df = picks.withColumn("_v", F.explode(rows)).select(*picks.columns, "_v.*")
     df = df.filter(~F.col("overlay") | (F.coalesce("governance_hard_veto_flag", F.lit(0.0)) < 0.5))

@@ -295,3 +295,16 @@ def test_sessions_split_at_the_gap(spark):
     ticks = spark.createDataFrame([("A", t0 + dt.timedelta(seconds=s), 1.0) for s in at], "asset string, ts timestamp, price double")
     got = [(r.start, r.ticks) for r in MO.sessions(ticks).orderBy("start").collect()]
     assert got == [(t0, 3), (t0 + dt.timedelta(seconds=3604), 1), (t0 + dt.timedelta(seconds=9000), 2)]
+
+
+def test_window_counts_equal_filtered_pairs(spark):
+    rng = np.random.default_rng(12)
+    day0 = dt.date(2022, 1, 1)
+    events = [(str(a), None if d > 690 else day0 + dt.timedelta(int(d))) for a, d in zip(rng.choice(["A", "B"], 200, p=[0.9, 0.1]), rng.integers(0, 700, 200))]
+    keys = [(a, day0 + dt.timedelta(k)) for a in "ABC" for k in range(0, 700, 45)]
+    e, k = spark.createDataFrame(events, "asset string, d date"), spark.createDataFrame(keys, "asset string, rd date")
+    got = H.window_counts(e, k, "d", {"m": F.add_months("rd", -3), "n": F.date_sub("rd", 91), "all": None}).collect()
+    j = k.join(e, "asset", "left")
+    want = j.groupBy("asset", "rd").agg(
+        F.count_if(H.in_lookback_months(F.col("d"), F.col("rd"), 3)), F.count_if(H.in_lookback_days(F.col("d"), F.col("rd"), 90)), F.count_if(F.col("d") <= F.col("rd"))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog.episodes import dip_panel, episodes
 from panelspark.catalog.fundamental_events import E, event_universe
 from panelspark.catalog.registry import add_cte, query
-from panelspark.operators import evaluation as EV, labels as LB, models as M, themes as TH, xsection as XS
+from panelspark.operators import evaluation as EV, labels as LB, models as M, xsection as XS
 from panelspark.sources.files import scratch
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "ret_12m", "ret_12_1m"]

@@ -2,12 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from panelspark.catalog.oracle import C, ISSUER
+from panelspark.catalog.oracle import C
 from panelspark.functions.scalars import padded
-from panelspark.catalog.registry import add_cte, query
+from panelspark.catalog.registry import query
 from panelspark.functions import scalars as X
 from panelspark.sources import calendars as K, files, normalize as N
-from panelspark.sources.star import REPORT_CODES
 
 
 @query("read_dated_snapshots", "asset snapshot_date:d market", "presence", "SELECT * FROM presence")
@@ -158,6 +157,7 @@ def _(s):
 
 
 query("trading_days", "d:d", "cal", "SELECT d FROM cal")(lambda s: K.trading_days(s.index_bars()))
+query("to_month_end", "d:d month_end:d", "cal", "SELECT d, last_day(d) AS month_end FROM cal")(lambda s: s.calendar().select("d", X.to_month_end(F.col("d")).alias("month_end")))
 query("month_end_trading_days", "rd:d", "rds", "SELECT rd FROM rds")(lambda s: K.month_end_trading_days(s.calendar()))
 
 

@@ -46,6 +46,16 @@ def land(df: DataFrame, name: str, compression: str = "snappy", by: str | None =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def land_buckets(df: DataFrame, name: str, key: str, by: str, compression: str = "snappy") -> DataFrame:
+    """Like land, in a table with one bucket of `key` for each shuffle partition: grouping by key reads it without a shuffle."""
+    spark = df.sparkSession
+    folder = fresh_folder(spark, name)
+    table = f"panelspark_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", compression).option("path", f"{folder}/rows")
+    writer.partitionBy(by).bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

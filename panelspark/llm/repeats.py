@@ -9,7 +9,8 @@ Every window of T symbols belongs to one segment, and equal windows to segments
    document and, where its key has several contents, its text: copies collapse before the shuffle, so a passage
    in a third of all documents costs a row per chunk. A shard (range of keys) takes the minimum document of each content
    and hands the contents of a key to `resolve`, which finds the windows that another content with a smaller
-   document has too. Answers go back by chunk and meet the landed texts.
+   document has too. Answers go back by chunk and meet the texts,
+   which landed in buckets by chunk and are not shuffled.
 
 Filters only spare work: their false positives resolve to nothing and they have no false negatives. A key with more
 than `hot_contents` contents is cut into its single windows, each its own key, so no list in a task grows with the corpus.
@@ -17,6 +18,8 @@ than `hot_contents` contents is cut into its single windows, each its own key, s
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,9 +38,14 @@ _BYTE_SYMBOL = words.mix(np.arange(1, 257, dtype=np.uint64) * words.MIX_A)
 class Bytes:
     """Symbols are UTF-8 bytes; what stays is concatenated."""
 
+    block = 1 << 19  # bytes of text whose 64-bit symbols and sums are in memory at once
+
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.buf, self.bounds = buf, offsets
-        self.symbols = _BYTE_SYMBOL[buf]
+
+    @property
+    def symbols(self) -> np.ndarray:
+        return _BYTE_SYMBOL[self.buf]
 
     def text(self, a: int, b: int) -> bytes:
         return self.buf[a:b].tobytes()
@@ -49,6 +57,8 @@ class Bytes:
 class Words:
     """Symbols are words between ASCII white space; what stays is joined by one space."""
 
+    block = 1 << 21
+
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.bounds = words.spans(buf, offsets)
         self.symbols = words.word_hashes(buf, self.starts, self.ends)
@@ -86,30 +96,48 @@ def _passes(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _packed(shards: int, columns: dict[str, np.ndarray], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per shard with the raw bytes of each column's part; keys are sorted."""
+def _packed(shards: int, keys: np.ndarray, contents: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row per shard with its part of the ascending keys, 32 bits each, and of the contents, 48 bits each."""
     cut = _split(keys, shards)
-    full = np.flatnonzero(np.diff(cut))
-    if len(full):
-        cols = [pa.array(full.astype(np.int32))]
-        cols += [pa.array([v[cut[i] : cut[i + 1]].tobytes() for i in full.tolist()], pa.binary()) for v in columns.values()]
-        yield pa.RecordBatch.from_arrays(cols, ["shard", *columns])
+    full = np.flatnonzero(np.diff(cut)).tolist()
+    if full:
+        part = [slice(cut[i], cut[i + 1]) for i in full]
+        columns = {"shard": pa.array(full, pa.int32()), "keys": pa.array([_press(_gaps(_short(keys[s], shards))) for s in part], pa.binary())}
+        if contents is not None:
+            columns["contents"] = pa.array([_press(contents[s] >> np.uint64(16)) for s in part], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _unpacked(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _press(data) -> bytes:
-    return zstandard.compress(data.tobytes() if isinstance(data, np.ndarray) else data, 3)
+def _press(data: np.ndarray) -> bytes:
+    """Compressed byte planes: the high bytes of small numbers cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(data).view(np.uint8).reshape(len(data), -1).T.tobytes() if len(data) else b"", 3)
 
 
 def _release(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
 
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    out = ascending.copy()
+    out[1:] -= ascending[:-1]
+    return out
 
-def _released(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
-    return [_release(x, dtype) for x in column.to_pylist()]
+
+def _released(column: pa.ChunkedArray, dtype, gaps: bool = False) -> list[np.ndarray]:
+    out = [_release(x, dtype) for x in column.to_pylist()]
+    return [np.cumsum(x, dtype=dtype) for x in out] if gaps else out
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Finder:
@@ -121,7 +149,7 @@ class Finder:
         """(source batch rows, document ids, symbol view, key, start, windows, content, document index) per block of text."""
         for batch in batches:
             ids = _ids(batch)
-            for a, b, buf, offsets in words.text_blocks(batch, "body"):
+            for a, b, buf, offsets in words.text_blocks(batch, "body", self.kind.block):
                 view = self.kind(buf, offsets)
                 key, start, count, content = segments(view.symbols, view.bounds, self.window, self.gram)
                 of = np.searchsorted(view.bounds, start, side="right") - 1
@@ -143,12 +171,12 @@ class Finder:
                     two = np.minimum.reduceat(doc, opens) != np.maximum.reduceat(doc, opens) if len(key) else np.zeros(0, bool)
                     key = key[opens]
                     twice = np.repeat(key, 1 + two)  # a key in two documents of the task is sent twice
-                    yield from _packed(shards, {"keys": _short(twice, shards)}, twice)
+                    yield from _packed(shards, twice)
                     held, size = [], 0
 
     @staticmethod
     def shared(table: pa.Table) -> pa.Table:
-        key = np.sort(np.concatenate(_unpacked(table.column("keys"), np.uint32)))
+        key = np.sort(np.concatenate(_released(table.column("keys"), np.uint32, gaps=True)))
         key = np.unique(key[1:][key[1:] == key[:-1]])
         return pa.table({"shard": table.column("shard").slice(0, 1), "n": [len(key)], "keys": pa.array([key.tobytes()], pa.binary())})
 
@@ -167,12 +195,12 @@ class Finder:
                     key, content = key[order], content[order]
                     new = np.ones(len(key), bool)
                     new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-                    yield from _packed(shards, {"keys": _short(key[new], shards), "contents": content[new]}, key[new])
+                    yield from _packed(shards, key[new], content[new])
                     held, size = [], 0
 
     def several(self, table: pa.Table) -> pa.Table:
-        key = np.concatenate(_unpacked(table.column("keys"), np.uint32))
-        content = np.concatenate(_unpacked(table.column("contents"), np.uint64))
+        key = np.concatenate(_released(table.column("keys"), np.uint32, gaps=True))
+        content = np.concatenate(_released(table.column("contents"), np.uint64))
         order = np.lexsort((content, key))
         key, content = key[order], content[order]
         new = np.ones(len(key), bool)
@@ -186,26 +214,25 @@ class Finder:
     # 3: chunks of documents and what they ask of the shards
     def chunks(self, batches: Iterator[pa.RecordBatch], shards: int, shared, several, hot) -> Iterator[pa.RecordBatch]:
         held, size, made = [], 0, 0
-        for block in self._scan(batches):
-            held.append(block)
-            size += len(block[2][1])
+        for rows, ids, (view, buf, offsets), *found in self._scan(batches):
+            ok = np.flatnonzero(_passes(found[0], shared.value))
+            held.append((rows.select(["doc", "part"]), ids, (view, buf, offsets), *(x[ok] for x in found)))
+            size += len(buf)
             if size >= self.chunk_bytes:
-                yield from self._chunk(held, made, shards, shared.value, several.value, hot.value)
+                yield from self._chunk(held, made, shards, several.value, hot.value)
                 held, size, made = [], 0, made + 1
         if held:
-            yield from self._chunk(held, made, shards, shared.value, several.value, hot.value)
+            yield from self._chunk(held, made, shards, several.value, hot.value)
 
-    def _chunk(self, held: list, made: int, shards: int, shared: np.ndarray, several: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _chunk(self, held: list, made: int, shards: int, several: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = []
-        for i, (_, ids, view, key, start, count, content, of) in enumerate(held):
-            ok = np.flatnonzero(_passes(key, shared))
-            key, start, count, content, of = key[ok], start[ok], count[ok], content[ok], of[ok]
+        for i, (_, ids, (view, _, _), key, start, count, content, of) in enumerate(held):
             many = _passes(key, several)
             cut = np.isin(key >> np.uint64(32 - shards), hot)
             if cut.any():
                 each = np.repeat(np.flatnonzero(cut), count[cut])
                 first = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[cut]) - count[cut], count[cut])
-                single = Prefix(view[0].symbols).runs(first, first + self.window)
+                single = Prefix(view.symbols).runs(first, first + self.window)
                 rest = ~cut
                 key = np.concatenate([key[rest], words.mix(single)])
                 content = np.concatenate([content[rest], single])
@@ -229,10 +256,10 @@ class Finder:
         sizes = np.array([len(t) for t in texts], np.int32)
         asks = {
             "shard": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "base": pa.array([int(cut[i]) for i in full], pa.int64()),
-            "keys": pa.array([_press(key[lead][s]) for s in span], pa.binary()),
+            "keys": pa.array([_press(_gaps(key[lead][s])) for s in span], pa.binary()),
             "contents": pa.array([_press(np.where(many[lead][s], content[lead][s], np.uint64(0))) for s in span], pa.binary()),
             "firsts": pa.array([_press(doc[lead][s]) for s in span], pa.binary()), "sizes": pa.array([_press(sizes[s]) for s in span], pa.binary()),
-            "texts": pa.array([_press(b"".join(texts[s])) for s in span], pa.binary()),
+            "texts": pa.array([_press(np.frombuffer(b"".join(texts[s]), np.uint8)) for s in span], pa.binary()),
         }
         yield _row(asks, len(full), 0)
         for i, (rows, ids, (view, buf, offsets), *_) in enumerate(held):
@@ -244,10 +271,11 @@ class Finder:
                 "numbers": number[mine].astype(np.int32), "starts": (start[mine] - view.bounds[of[mine]]).astype(np.int32), "counts": count[mine].astype(np.int32),
             }
             yield _row({"chunk": pa.array([chunk], pa.int64())} | {k: pa.array([_press(v)], pa.binary()) for k, v in parts.items()}, 1, 1)
+        _give_back()
 
     # A shard's answer: for each content of a chunk its first document, and the windows of it that an earlier one has
     def answer(self, table: pa.Table) -> pa.Table:
-        keys = _released(table.column("keys"), np.uint64)
+        keys = _released(table.column("keys"), np.uint64, gaps=True)
         rows, key = np.array([len(k) for k in keys]), np.concatenate(keys)
         content = np.concatenate(_released(table.column("contents"), np.uint64))
         first = np.concatenate(_released(table.column("firsts"), np.int64))
@@ -272,9 +300,10 @@ class Finder:
             out["ats"].append(_press(np.repeat(np.arange(b - a), n).astype(np.int32)))
             out["froms"].append(_press(from_of[pick].astype(np.int32)))
             out["tos"].append(_press(to_of[pick].astype(np.int32)))
+        _give_back()
         return pa.table({k: v if k in ("chunk", "base") else pa.array(v, pa.binary()) for k, v in out.items()})
 
-    def _runs(self, texts: list[bytes], rows: np.ndarray, key: np.ndarray, lead: np.ndarray, sizes: np.ndarray, low: np.ndarray, most: int = 1 << 18) -> tuple:
+    def _runs(self, texts: list[bytes], rows: np.ndarray, key: np.ndarray, lead: np.ndarray, sizes: np.ndarray, low: np.ndarray, most: int = 1 << 17) -> tuple:
         """(content, from, to) runs of windows that another content has in an earlier document, by groups of whole keys."""
         rows = np.repeat(np.arange(len(texts)), rows)
         total = np.cumsum(sizes) - sizes
@@ -318,7 +347,7 @@ class Finder:
             view = self.kind(_release(row["body"], np.uint8), offsets)
             of = np.repeat(np.arange(len(docs)), np.diff(cuts))
             start = start + view.bounds[of]
-            edge = np.zeros(len(view.symbols) + 1, np.int32)
+            edge = np.zeros(int(view.bounds[-1]) + 1, np.int32)
             if len(number):
                 whole = first[number] < np.where(missing, LAST, docs)[of]
                 np.add.at(edge, start[whole], 1)
@@ -403,11 +432,11 @@ def repeated_windows(
     several = spark.sparkContext.broadcast(_bit_table(found, shards, most_bits))
     hot = [(np.uint64(r["shard"]) << np.uint64(32)) | np.frombuffer(r["hot"], np.uint32).astype(np.uint64) for r in found.where("length(hot) > 0").select("shard", "hot").toLocalIterator()]
     hot = spark.sparkContext.broadcast(np.concatenate(hot) if hot else np.zeros(0, np.uint64))
-    landed = common.land(d.mapInArrow(lambda it: finder.chunks(it, shards, shared, several, hot), _SCHEMA), "chunks", compression="uncompressed", by="kind")
-    asks = landed.where("kind = 0").select("shard", "chunk", "base", *_ASKS)
+    made = d.mapInArrow(lambda it: finder.chunks(it, shards, shared, several, hot), _SCHEMA)
+    landed = common.land_buckets(made, "chunks", "chunk", by="kind", compression="uncompressed")
+    asks = landed.where("kind = 0").select("shard", F.col("chunk").alias("chunk"), "base", *_ASKS)
     answers = asks.groupBy("shard").applyInArrow(lambda t: finder.answer(t), "chunk long, base long, firsts binary, ats binary, froms binary, tos binary")
-    texts = landed.where("kind = 1").select(F.col("chunk").alias("chunk"), *_TEXTS)
-    both = texts.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    both = landed.where("kind = 1").select("chunk", *_TEXTS).groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return both.applyInArrow(lambda rows, got: pa.Table.from_batches(list(finder.finish(rows, got)), schema=_out_schema()), _OUT)
 
 

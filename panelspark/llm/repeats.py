@@ -425,17 +425,19 @@ def repeated_windows(
     finder = Finder(kind, window, gram, resolve, hot_contents, chunk_bytes)
     shards = max(4, min(16, (common.shuffle_partitions(spark) - 1).bit_length()))
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"), F.spark_partition_id().cast("long").alias("part"))
-    found = d.mapInArrow(lambda it: finder.keys(it, shards), "shard int, keys binary").groupBy("shard").applyInArrow(lambda t: finder.shared(t), "shard int, n long, keys binary")
+    # A number given here keeps small shards from being merged into one task.
+    n = common.shuffle_partitions(spark)
+    found = d.mapInArrow(lambda it: finder.keys(it, shards), "shard int, keys binary").repartition(n, "shard").groupBy("shard").applyInArrow(lambda t: finder.shared(t), "shard int, n long, keys binary")
     shared = spark.sparkContext.broadcast(_bit_table(common.land(found, "shared"), shards, most_bits))
     found = d.mapInArrow(lambda it: finder.contents(it, shards, shared), "shard int, keys binary, contents binary")
-    found = common.land(found.groupBy("shard").applyInArrow(lambda t: finder.several(t), "shard int, n long, keys binary, hot binary"), "several")
+    found = common.land(found.repartition(n, "shard").groupBy("shard").applyInArrow(lambda t: finder.several(t), "shard int, n long, keys binary, hot binary"), "several")
     several = spark.sparkContext.broadcast(_bit_table(found, shards, most_bits))
     hot = [(np.uint64(r["shard"]) << np.uint64(32)) | np.frombuffer(r["hot"], np.uint32).astype(np.uint64) for r in found.where("length(hot) > 0").select("shard", "hot").toLocalIterator()]
     hot = spark.sparkContext.broadcast(np.concatenate(hot) if hot else np.zeros(0, np.uint64))
     made = d.mapInArrow(lambda it: finder.chunks(it, shards, shared, several, hot), _SCHEMA)
     landed = common.land_buckets(made, "chunks", "chunk", by="kind", compression="uncompressed")
     asks = landed.where("kind = 0").select("shard", F.col("chunk").alias("chunk"), "base", *_ASKS)
-    answers = asks.groupBy("shard").applyInArrow(lambda t: finder.answer(t), "chunk long, base long, firsts binary, ats binary, froms binary, tos binary")
+    answers = asks.repartition(n, "shard").groupBy("shard").applyInArrow(lambda t: finder.answer(t), "chunk long, base long, firsts binary, ats binary, froms binary, tos binary")
     both = landed.where("kind = 1").select("chunk", *_TEXTS).groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return both.applyInArrow(lambda rows, got: pa.Table.from_batches(list(finder.finish(rows, got)), schema=_out_schema()), _OUT)
 

@@ -42,7 +42,7 @@ def slide_min(values: np.ndarray, width: int) -> np.ndarray:
 def segments(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, start, windows, content hash) of the segments of documents bounds[i]:bounds[i + 1].
 
-    A segment is a longest run of consecutive windows of one document with the same smallest gram hash, its key;
+    A segment is a longest run of consecutive windows of one document with the same smallest gram hash, which names its key;
     it covers windows + window - 1 symbols. Equal windows have equal keys wherever they stand.
     """
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -59,4 +59,5 @@ def segments(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
     opens = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (of[1:] != of[:-1])]))
     count = np.diff(np.append(opens, len(at)))
     start = at[opens]
-    return low[opens], start, count, prefix.runs(start, start + count + window - 1)
+    # Minima crowd at low values; scrambled they spread evenly over shards and bit tables.
+    return mix(low[opens]), start, count, prefix.runs(start, start + count + window - 1)

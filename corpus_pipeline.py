@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import common, lines, mixing, packing, quality, simhash
+from panelspark.llm import common, lines, mixing, packing, quality, similar
 
 #: No stage of a fitted model can be stated in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -37,10 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, once.
 
-    Five-word shingles; fingerprints link within seven of 64 bits if 256 bits agree as shingle sets of similarity 0.8 do.
+    Five-word shingles; sets link at a Jaccard similarity of 0.8 or more, compared in full among fingerprints that connect within seven of 64 bits.
     """
-    found = simhash.near_duplicates(docs, shingle=5, limit=7, wide=3, similarity=0.8)
-    kept = found.where(F.col("doc").eqNullSafe(F.col("component")))
+    found = similar.similar_documents(docs, shingle=5, similarity=0.8, limit=7)
+    kept = found.groupBy("root").agg(F.min("doc").alias("doc"))
     return _kept(docs, kept).dropDuplicates(["doc_id"])
 
 

@@ -16,26 +16,22 @@ SEED = 42
 _ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int, wide: int = 0) -> tuple[int, bytes]:
-    """64-bit SimHash of the word shingles, and `wide` further 64-bit words of it for checks of similarity."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words; of the whole where there are fewer, none without words."""
     tokens = text.lower().split()
     if not tokens:
-        return 0, bytes(8 * wide)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - shingle + 1)
     starts = np.zeros(len(tokens), np.int64)
     starts[1:] = np.cumsum([len(w) + 1 for w in tokens[:-1]])
     ends = np.append(starts[1:] - 1, len(joined))[min(shingle, len(tokens)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], dtype=np.uint64)
-    more, h = [], hashes
-    for _ in range(wide):
-        h = words.mix(h + words.MIX_A)
-        more.append(_majority(h))
-    return _majority(hashes), np.array(more, dtype=np.uint64).tobytes()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends.tolist())], dtype=np.uint64)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -43,24 +39,23 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, wide: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offsets in words.text_blocks(batch, "body"):
             whole = buf.tobytes()
-            made = [fingerprint(whole[i:j], shingle, wide) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            fp = np.array([m[0] for m in made], dtype=np.uint64).view(np.int64)
+            fp = np.array([majority(shingle_hashes(whole[i:j], shingle)) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint64).view(np.int64)
             cols = [batch.column(c).slice(a, b - a) for c in batch.schema.names if c != "body"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fp), pa.array([m[1] for m in made], pa.binary())], [*(c for c in batch.schema.names if c != "body"), "fp", "wide"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fp)], [*(c for c in batch.schema.names if c != "body"), "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, wide: int = 0) -> DataFrame:
-    """Per row: doc, fp (64 bits as a signed long) and wide (8 * wide bytes).
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Per row: doc and fp (64 bits as a signed long).
 
     A-Z are lower-cased, words split at ASCII white space, and a bit is set if more than half of the
     shingles' XXH64 have it. Repeats count. A text with fewer words than a shingle is one shingle; without words all bits are 0.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
-    return d.mapInArrow(lambda it: _fingerprints(it, shingle, wide), "doc long, fp long, wide binary")
+    return d.mapInArrow(lambda it: _fingerprints(it, shingle), "doc long, fp long")
 
 
 def _turn(bits: np.ndarray, right: np.uint64) -> np.ndarray:
@@ -184,38 +179,20 @@ def hamming_forest(fps: DataFrame, limit: int = 3, part_rows: int = 4096) -> Dat
     return dealt.mapInArrow(lambda it: _verify(it, boxes, limit), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3, wide: int = 0, similarity: float = 0.0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
     """Per row: doc, fp, component (smallest doc reachable over links of at most `limit` bits, itself included).
 
     Rows with one fingerprint are one node, so copies never pair; texts without words share fingerprint 0 and link
-    like any other. With wide > 0, links must also agree on 64 * wide further SimHash bits as often as texts whose shingle
-    sets have that Jaccard similarity do. A row without an id joins its component and does not name it.
+    like any other. A row without an id joins its component and does not name it.
     """
-    made = common.land(fingerprints(docs, id_col, text_col, shingle, wide), "simhash")
-    nodes = common.land(made.groupBy("fp").agg(F.min("doc").alias("rep"), F.min("wide").alias("wide")), "simhash-nodes")
-    edges = hamming_forest(nodes, limit)
-    if wide:
-        cosine = 2 * similarity / (1 + similarity)
-        most = int(64 * (wide + 1) * np.arccos(cosine) / np.pi)
-        ends = edges.distinct().join(nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
-        edges = ends.mapInArrow(lambda it: _agree(it, most), "a long, b long")
-    roots = common.components(edges)
+    made = common.land(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    nodes = common.land(made.groupBy("fp").agg(F.min("doc").alias("rep")), "simhash-nodes")
+    roots = common.components(hamming_forest(nodes, limit))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
     return made.select("doc", "fp").join(named, "fp").select("doc", "fp", "component")
 
 
-def _agree(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    bits = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1)
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (batch.column(c).to_numpy() for c in "ab")
-            apart = np.bitwise_count(a ^ b) + np.bitwise_count(bits(batch.column("wa")) ^ bits(batch.column("wb"))).sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
-
-
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import plain
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,3 +55,37 @@ def test_run_on_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_drifting_copies_go_link_by_link(spark, tmp_path):
+    """Each text is near the next, in fingerprint too; the ends of a chain are far apart. All but the first go."""
+    rng, rows = random.Random(5), []
+    far = lambda a, b: bin(plain.simhash(a, 5) ^ plain.simhash(b, 5)).count("1")
+    for chain in range(4):
+        w = words(rng, 400).split()
+        for step in range(12):
+            rows.append((100 * chain + step, " ".join(w)))
+            while True:
+                n = w[: 33 * step] + words(rng, 12).split() + w[33 * step + 12 :]
+                if far(" ".join(w), " ".join(n)) <= 7:
+                    break
+            w = n
+    rng.shuffle(rows)
+    text = dict(rows)
+    assert all(jaccard(shingles(text[100 * c]), shingles(text[100 * c + 11])) < 0.6 for c in range(4))
+    assert all(jaccard(shingles(text[100 * c + k]), shingles(text[100 * c + k + 1])) >= 0.9 for c in range(4) for k in range(11))
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 100, 200, 300]

@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, once.
 
-    Five-word shingles; sets link at a Jaccard similarity of 0.8 or more, compared in full among fingerprints that connect within seven of 64 bits.
+    Five-word shingles; sets link at a Jaccard similarity of 0.8 or more, compared in full among those that fingerprints within seven of 64 bits or a shared band of min-hashes connect.
     """
     found = similar.similar_documents(docs, shingle=5, similarity=0.8, limit=7)
     kept = found.groupBy("root").agg(F.min("doc").alias("doc"))

@@ -89,3 +89,18 @@ def test_drifting_copies_go_link_by_link(spark, tmp_path):
     assert all(jaccard(shingles(text[100 * c + k]), shingles(text[100 * c + k + 1])) >= 0.9 for c in range(4) for k in range(11))
     kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in kept) == [0, 100, 200, 300]
+
+
+def test_near_dedup_follows_brute_force_from_0_8(spark, tmp_path):
+    """Pairs on both sides of the bar: what goes is what shingle sets of 0.8 or more connect, no less and no more."""
+    rng, rows = random.Random(8), []
+    for k in range(200):
+        w = words(rng, 300).split()
+        n = w[:]
+        for at in rng.sample(range(30), rng.randrange(2, 12)):
+            n[10 * at] += "z"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(n))]
+    near = [jaccard(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) for k in range(200)]
+    assert sum(0.8 <= x < 0.85 for x in near) >= 30 and sum(0.7 <= x < 0.8 for x in near) >= 30
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert kept == {2 * k for k in range(200)} | {2 * k + 1 for k, x in enumerate(near) if x < 0.8}

@@ -16,12 +16,14 @@ ORACLE_SQL = None
 
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in keys(doc), a missing id included."""
-    return docs.join(keys.select(F.col("doc").alias("__doc")), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    """Rows of docs whose id, a missing one included, and text are in keys(doc, digest)."""
+    keys = keys.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (common.digest(F.col("text")) == F.col("__digest"))
+    return docs.join(keys, same, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood-ratio threshold. Rows that share an id stay if one of them passes."""
+    """Documents that pass the base rules and the likelihood-ratio threshold. Rows without an id, or that share one, stay or go each by its own text."""
     verdicts = quality.quality_verdicts(docs, common.table(spark, sf_dir, "labels"))
     return _kept(docs, verdicts.where("kept"))
 
@@ -35,13 +37,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, once.
+    """One document of each group stays: the one with the smallest id, once. Groups are of texts, so rows of different groups stay whatever their ids.
 
     Five-word shingles; sets link at a Jaccard similarity of 0.8 or more, compared in full among those that fingerprints within seven of 64 bits or a shared band of min-hashes connect.
     """
     found = similar.similar_documents(docs, shingle=5, similarity=0.8, limit=7)
-    kept = found.groupBy("root").agg(F.min("doc").alias("doc"))
-    return _kept(docs, kept).dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc").isNull().alias("missing"), "doc", "digest")).alias("first")
+    kept = found.groupBy("root").agg(first).select("first.doc", "first.digest")
+    once = _kept(docs, kept).withColumn("__digest", common.digest(F.col("text")))
+    return once.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

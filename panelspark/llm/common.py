@@ -70,6 +70,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def digest(text: Column) -> Column:
+    """64 bits of a text, by which rows without an id, or that share one, are told apart; a missing text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, component = smallest node reachable).
 

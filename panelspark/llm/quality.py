@@ -96,18 +96,20 @@ def _features(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordB
             if weights.value is not None:
                 bucket, of = _buckets(hashes, first)
                 score = np.bincount(of, weights.value[bucket], b - a) / np.maximum(np.bincount(of, minlength=b - a), 1)
-            cols = [batch.column("doc").slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in figures), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", *names, "score"])
+            own = [c for c in batch.schema.names if c != "body"]
+            cols = [*(batch.column(c).slice(a, b - a) for c in own), *(pa.array(x.astype(np.int64)) for x in figures), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, [*own, *names, "score"])
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc, the text's counts and score, the mean weight of its words and word pairs (0 without any).
+    """Per row: doc, digest (common.digest of the text), the text's counts and score, the mean weight of its words and word pairs (0 without any).
 
     A null text has no words. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = "doc long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body")).mapInArrow(lambda it: _features(it, shared), schema)
+    schema = "doc long, digest long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), common.digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("body"))
+    return d.mapInArrow(lambda it: _features(it, shared), schema)
 
 
 def base_failed() -> F.Column:
@@ -137,7 +139,7 @@ def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = 20_000) -> DataFrame:
-    """Counts, score, base_failed and kept for every row of docs.
+    """Id, text digest, counts, score, base_failed and kept for every row of docs.
 
     labels(doc_id, quality, toxic): half of the documents with quality 1 that are not marked toxic, by hash and at most
     max_trusted, are the trusted target; the raw model is the whole corpus. The other labels, a bounded sample
@@ -157,4 +159,4 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return quality_verdicts(docs, common.table(spark, sf_dir, "labels")).withColumnRenamed("doc", "doc_id")
+    return quality_verdicts(docs, common.table(spark, sf_dir, "labels")).drop("digest").withColumnRenamed("doc", "doc_id")

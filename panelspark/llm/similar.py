@@ -129,15 +129,14 @@ def _candidates(nodes: DataFrame, limit: int) -> DataFrame:
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, limit: int = 7, block_rows: int = 256, block_shingles: int = 1 << 20
 ) -> DataFrame:
-    """Per row: doc, digest (xxhash64 of the text, a missing one as empty), node (its shingle set) and root, the group's smallest node.
+    """Per row: doc, digest (common.digest of the text), node (its shingle set) and root, the group's smallest node.
 
     Sketches only say which documents are compared: SimHash and min-hash bands give candidate components, and inside one every two shingle sets are
     compared in full. A link is a Jaccard similarity of at least `similarity`, and groups are what links connect. Equal sets are one
     node. A component of more than block_rows sets (or block_shingles shingles) is dealt in blocks, each two of which
     meet in a group of rows of its own, so no task holds more than two blocks at a time.
     """
-    digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), digest.alias("digest"), F.col(text_col).alias("body"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), common.digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("body"))
     made = d.mapInArrow(lambda it: _sketches(it, shingle), "doc long, digest long, node long, fp long, size long, bands binary")
     made = common.land(made, "similar")
     nodes = common.land(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("digest").alias("digest"), F.max("size").alias("size"), F.min("bands").alias("bands")), "similar-nodes")

@@ -104,3 +104,16 @@ def test_near_dedup_follows_brute_force_from_0_8(spark, tmp_path):
     assert sum(0.8 <= x < 0.85 for x in near) >= 30 and sum(0.7 <= x < 0.8 for x in near) >= 30
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path)).collect()}
     assert kept == {2 * k for k in range(200)} | {2 * k + 1 for k, x in enumerate(near) if x < 0.8}
+
+
+def test_rows_without_an_id_or_sharing_one_go_by_their_own_text(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d, e = (words(rng, 90) for _ in range(5))
+    junk = "### $$$ %%% " * 40 + words(rng, 30)
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, e), (8, d), (3, d), (9, e), (9, junk), (None, junk)]
+    docs = frame(spark, rows)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    passed = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in passed.collect()) == sorted(t for _, t in rows if t != junk)
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows[:-2]), str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, a), (-1, b), (7, c), (3, d), (8, e)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelspark.llm.bwt import op8_suffix_array_dedup
 from panelspark.llm.fmindex import op2_substring_dedup
+from panelspark.llm.infill import OP12_SQL, op12_fill_in_middle
 from panelspark.llm.licenses import op4_license_scan
 from panelspark.llm.lines import OP5_SQL, op5_line_dedup
 from panelspark.llm.mixing import OP9_SQL, op9_mix_sources
@@ -13,5 +14,9 @@ from panelspark.llm.rans import op6_token_files
 from panelspark.llm.simhash import op1_simhash
 from panelspark.llm.vectors import op3_embedding_near_dups
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_embedding_near_dups, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules, op8_suffix_array_dedup, op9_mix_sources, op10_best_fit_packing)}
-SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL}
+_ALL = (
+    op1_simhash, op2_substring_dedup, op3_embedding_near_dups, op4_license_scan, op5_line_dedup, op6_token_files, op7_quality_rules,
+    op8_suffix_array_dedup, op9_mix_sources, op10_best_fit_packing, op12_fill_in_middle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op5_line_dedup": OP5_SQL, "op9_mix_sources": OP9_SQL, "op12_fill_in_middle": OP12_SQL}

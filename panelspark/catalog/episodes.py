@@ -99,7 +99,7 @@ add_cte("dpf", "bars", """
           list(close) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS l30, list(close) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS past, list(close) OVER (PARTITION BY asset ORDER BY d ROWS 61 PRECEDING) AS c62
         FROM bars WINDOW w20 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WINDOW w14 AS (PARTITION BY asset ORDER BY d ROWS 13 PRECEDING))""")
 _PF = "f_dip_duration_days:0 f_pre_dip_uptrend_30d:7 f_pre_dip_consolidation_days:0 f_dist_from_52w_high:7 f_dist_from_50_ma:7 f_dist_from_200_ma:7 f_bollinger_band_position:6 f_rsi_14_at_dip:6 f_atr_14_pct:7"
-query("dip_price_features", f"asset d:d {_PF}", "dpf", "SELECT * FROM dpf")(lambda s: D.price_features(s.bars()))
+query("dip_price_features", f"asset d:d {_PF}", "dpf dipc", "SELECT p.* FROM dpf p JOIN dipc c ON c.asset = p.asset AND c.dip_date = p.d")(lambda s: D.price_features(s.bars(), EP.dip_candidates(s.bars())))
 _Z60 = lambda c: f"CASE WHEN t >= 60 AND stddev_samp({c}) OVER p60 > 0 THEN ({c} - avg({c}) OVER p60) / stddev_samp({c}) OVER p60 END"
 add_cte("dvf", "bars", f"""
     SELECT *, CASE WHEN t >= 30 THEN (sum(ov) OVER w30 - first_value(ov) OVER w30) / greatest(1, abs(first_value(ov) OVER w30) + 1e-9) END AS f_obv_slope_30d, CASE WHEN t >= 30 AND first_value(ad) OVER w30 <> 0 THEN (sum(ad) OVER w30 - first_value(ad) OVER w30) / greatest(1, abs(first_value(ad) OVER w30) + 1e-9) END AS f_ad_slope_30d FROM (
@@ -110,7 +110,7 @@ add_cte("dvf", "bars", f"""
     "len(list_filter(list(volume) OVER p30, lambda x: x < list_avg(list(volume) OVER p30) * 0.7::DOUBLE)) / 30.0", "dry / 30.0").replace("FROM bars WINDOW w AS", """FROM (SELECT *, len(list_filter(v30, lambda x: x < list_avg(v30) * 0.7::DOUBLE)) AS dry FROM
         (SELECT *, list(volume) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS v30 FROM bars)) WINDOW w AS""").replace(", p30 AS (PARTITION BY asset ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))", ")"))
 _VF = "f_vol_dip_day_z60:6 f_vol_5d_avg_vs_60d:7 f_vol_dryup_pct_pre_dip:6 f_obv_slope_30d:4 f_ad_slope_30d:4 f_vol_post_dip_5d_vs_dip_day:7 f_intraday_close_position:7 f_dip_day_value_zscore_60d:6"
-query("dip_volume_features", f"asset d:d {_VF}", "dvf", "SELECT * FROM dvf")(lambda s: D.volume_features(s.bars()))
+query("dip_volume_features", f"asset d:d {_VF}", "dvf dipc", "SELECT v.* FROM dvf v JOIN dipc c ON c.asset = v.asset AND c.dip_date = v.d")(lambda s: D.volume_features(s.bars(), EP.dip_candidates(s.bars())))
 _FZ = lambda k: f"CASE WHEN count(*) OVER pre >= 20 AND stddev_samp({k}_net) OVER pre > 0 THEN ({k}_net - avg({k}_net) OVER pre) / stddev_samp({k}_net) OVER pre END AS f_{k}_net_dip_day_z"
 _STK = lambda l: f"coalesce(nullif(list_position(list_transform({l}, lambda x: x <= 0), true), 0) - 1, len({l}), 0)"
 add_cte("dff", "dips flow", f"""

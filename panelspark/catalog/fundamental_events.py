@@ -6,21 +6,21 @@ from panelspark.catalog.registry import add_cte, query
 from panelspark.catalog.xsection import z_sql
 from panelspark.operators import events as E, fundamental as FU
 
-add_cte("vis", "keys fund", "SELECT k.rd, f.*, CASE reprt_code WHEN '11013' THEN 4.0 WHEN '11012' THEN 2.0 WHEN '11014' THEN 4.0::DOUBLE / 3 ELSE 1.0 END::DOUBLE AS fct FROM keys k JOIN fund f ON k.asset = f.asset AND f.rcept_dt <= k.rd")
+add_cte("vis", "keys funda", "SELECT k.rd, f.*, CASE reprt_code WHEN '11013' THEN 4.0 WHEN '11012' THEN 2.0 WHEN '11014' THEN 4.0::DOUBLE / 3 ELSE 1.0 END::DOUBLE AS fct FROM keys k JOIN funda f ON k.asset = f.asset AND f.rcept_dt <= k.rd")
 add_cte("ttm", "keys vis", """
     SELECT k.asset, k.rd, l.total_assets, l.total_equity, l.total_liabilities, l.revenue * l.fct AS revenue_ttm, l.operating_income * l.fct AS operating_income_ttm, l.net_income * l.fct AS net_income_ttm,
       l.period_end AS fundamentals_period_end, l.rcept_dt AS fundamentals_rcept_dt, l.reprt_code AS fundamentals_reprt_code,
       CASE WHEN abs(p.revenue) > 1e-3 THEN (l.revenue - p.revenue) / abs(p.revenue) END AS revenue_growth_yoy, CASE WHEN abs(p.operating_income) > 1e-3 THEN (l.operating_income - p.operating_income) / abs(p.operating_income) END AS operating_income_growth_yoy,
       CASE WHEN abs(p.net_income) > 1e-3 THEN (l.net_income - p.net_income) / abs(p.net_income) END AS net_income_growth_yoy
-    FROM keys k LEFT JOIN (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY asset, rd ORDER BY period_end DESC) = 1) l ON l.asset = k.asset AND l.rd = k.rd
-    LEFT JOIN vis p ON p.asset = l.asset AND p.rd = l.rd AND p.year = l.year - 1 AND p.reprt_code = l.reprt_code""")
+    FROM keys k LEFT JOIN (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY asset, rd ORDER BY period_end DESC, rcept_dt DESC) = 1) l ON l.asset = k.asset AND l.rd = k.rd
+    LEFT JOIN (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY asset, rd, year, reprt_code ORDER BY rcept_dt DESC) = 1) p ON p.asset = l.asset AND p.rd = l.rd AND p.year = l.year - 1 AND p.reprt_code = l.reprt_code""")
 _TTM = "total_assets:2 total_equity:2 total_liabilities:2 revenue_ttm:4 operating_income_ttm:4 net_income_ttm:4 fundamentals_period_end:d fundamentals_rcept_dt:d fundamentals_reprt_code revenue_growth_yoy:6 operating_income_growth_yoy:6 net_income_growth_yoy:6"
-query("ttm_features", f"asset rd:d {_TTM}", "ttm", "SELECT * FROM ttm")(lambda s: FU.ttm_features(s.fundamentals(), s.keys()))
-query("yoy_growth", "asset rd:d revenue_growth_yoy:6 net_income_growth_yoy:6", "ttm", "SELECT * FROM ttm")(lambda s: FU.ttm_features(s.fundamentals(), s.keys()))
+query("ttm_features", f"asset rd:d {_TTM}", "ttm", "SELECT * FROM ttm")(lambda s: FU.ttm_features(s.fundamentals(amended=True), s.keys()))
+query("yoy_growth", "asset rd:d revenue_growth_yoy:6 net_income_growth_yoy:6", "ttm", "SELECT * FROM ttm")(lambda s: FU.ttm_features(s.fundamentals(amended=True), s.keys()))
 query("ttm_legacy_order", "asset rd:d fundamentals_bsns_year:0 fundamentals_reprt_code revenue_ttm:4", "keys vis", """
     SELECT k.asset, k.rd, l.year AS fundamentals_bsns_year, l.reprt_code AS fundamentals_reprt_code, l.revenue * l.fct AS revenue_ttm
-    FROM keys k LEFT JOIN (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY asset, rd ORDER BY year DESC, reprt_code DESC) = 1) l ON l.asset = k.asset AND l.rd = k.rd""")(
-    lambda s: FU.ttm_features(s.fundamentals(), s.keys(), legacy_order=True))
+    FROM keys k LEFT JOIN (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY asset, rd ORDER BY year DESC, reprt_code DESC, rcept_dt DESC) = 1) l ON l.asset = k.asset AND l.rd = k.rd""")(
+    lambda s: FU.ttm_features(s.fundamentals(amended=True), s.keys(), legacy_order=True))
 
 SCALE = 100000.0  # filings of the fixture are small against market capitalisation
 add_cte("val", "mcap ttm", f"""
@@ -29,7 +29,7 @@ add_cte("val", "mcap ttm", f"""
 
 
 def valuations(s):
-    t = FU.ttm_features(s.fundamentals(), s.keys())
+    t = FU.ttm_features(s.fundamentals(amended=True), s.keys())
     m = s.mcap().withColumnRenamed("snapshot_date", "rd").join(t, ["asset", "rd"])
     c = F.col
     zero_null = lambda x: F.nullif(x * SCALE, F.lit(0.0))
@@ -57,7 +57,7 @@ add_cte("ff", "fin", """
 
 
 def features(s):
-    return FU.fundamental_features(FU.valuation_snapshot(s.keys(), valuations(s)), s.fundamentals())
+    return FU.fundamental_features(FU.valuation_snapshot(s.keys(), valuations(s)), s.fundamentals(amended=True))
 
 
 query("fundamental_features", "asset rd:d roe:6 roa:6 operating_margin:6 net_margin:6 debt_to_equity:6", "ff", "SELECT * FROM ff")(features)

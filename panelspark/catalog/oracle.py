@@ -84,6 +84,16 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM (SELECT {ISSUER} AS asset, year(o_orderdate) AS year, quarter(o_orderdate) AS qtr,
                            o_orderstatus AS st, {C.format(c='o_totalprice')} AS c FROM orders) GROUP BY 1, 2, 3)
         WINDOW y AS (PARTITION BY asset, year ORDER BY qtr), l AS (PARTITION BY asset ORDER BY year, qtr)"""),
+    "funda": (["fund"], f"""
+        SELECT * FROM fund UNION ALL
+        SELECT asset, year, reprt_code, period_end, rcept_dt + CAST(20 + CAST(asset AS INT) % 10 * 50 AS INT), (round(revenue * 100) - py) / 100, (round(operating_income * 100) - py) / 100, net_income,
+               (round(total_assets * 100) - pl) / 100, (round(total_equity * 100) - pl) / 100, total_liabilities
+        FROM fund JOIN (
+          SELECT asset AS pa, year AS y, qtr, sum(p) OVER (PARTITION BY asset, year ORDER BY qtr) AS py, sum(p) OVER (PARTITION BY asset ORDER BY year, qtr) AS pl
+          FROM (SELECT {ISSUER} AS asset, year(o_orderdate) AS year, quarter(o_orderdate) AS qtr,
+                  CAST(sum(CASE WHEN o_orderstatus = 'P' THEN {C.format(c='o_totalprice')} ELSE 0 END) AS DOUBLE) AS p FROM orders GROUP BY 1, 2, 3))
+        ON pa = asset AND y = year AND reprt_code = ['11013','11012','11014','11011'][qtr]
+        WHERE (CAST(asset AS INT) + year * 4 + qtr) % 3 = 0"""),
     "disc": ([], f"""
         SELECT asset, rcept_no, rcept_dt, cat AS event_category,
                CASE WHEN cat = 'treasury_buyback' THEN cents * 100 END AS aqpln_prc_ostk,

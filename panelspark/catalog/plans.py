@@ -18,7 +18,7 @@ CFG = U.Eligibility(min_trading_value=1e5, min_market_cap=5e11, min_listed_month
 
 def inputs(s):
     return PL.Inputs(
-        bars=s.bars(), index_bars=s.index_bars(), market=s.market(), snapshots=materialize(s.listed(), "snapshots"), names=s.assets(), dates=s.month_ends().select("rd"), fundamentals=s.fundamentals(),
+        bars=s.bars(), index_bars=s.index_bars(), market=s.market(), snapshots=materialize(s.listed(), "snapshots"), names=s.assets(), dates=s.month_ends().select("rd"), fundamentals=s.fundamentals(amended=True),
         valuations=valuations(s), disclosures=s.disclosures(), flow=s.flow(), market_flow=pivot_investor_classes(s.investor_flow()), macro_daily=macro_panel(s), derivatives=derivatives(s))
 
 

@@ -1,117 +1,132 @@
-"""Forty-two features of a dip, computed as windows over all bars and read off at the dip rows."""
+"""Forty-two features of a dip. Rows around each dip are looked up by position, so the cost follows the dips and not the bars."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.rolling import before, running, series, trailing
+from panelspark.functions.rolling import running, series, trailing
+from panelspark.operators.around import around
 from panelspark.operators.asof import asof
 from panelspark.sources.files import materialize
 
-def _w():
-    return series("asset")
+PRICE = ["f_dip_duration_days", "f_pre_dip_uptrend_30d", "f_pre_dip_consolidation_days", "f_dist_from_52w_high", "f_dist_from_50_ma", "f_dist_from_200_ma",
+         "f_bollinger_band_position", "f_rsi_14_at_dip", "f_atr_14_pct"]
+VOLUME = ["f_vol_dip_day_z60", "f_vol_5d_avg_vs_60d", "f_vol_dryup_pct_pre_dip", "f_obv_slope_30d", "f_ad_slope_30d", "f_vol_post_dip_5d_vs_dip_day",
+          "f_intraday_close_position", "f_dip_day_value_zscore_60d"]
 
 
-def _t(df: DataFrame) -> DataFrame:
-    return df if "t" in df.columns else df.withColumn("t", F.row_number().over(_w()) - 1)
+def _w():
+    return series("asset")
 
 
-def price_features(bars: DataFrame) -> DataFrame:
-    """Ten price-action columns; frames of `before` exclude the dip row itself. Peak of the trailing 30 rows as given by the episode."""
-    df = _t(bars)
-    at = lambda n: F.col("t") >= n
-    struct_max = lambda f: F.max(F.struct(F.col("close").alias("p"), (-F.col("t")).alias("nt"))).over(f)
-    # ties inside the 30 rows before the dip: the latest maximum counts there
-    late_max = F.max(F.struct(F.col("close").alias("p"), F.col("t").alias("t"))).over(before(_w(), 30))
-    df = df.withColumns({
-        "_hi": F.max(F.col("close")).over(_w().rowsBetween(-252, 0)), "_m50": F.avg(F.col("close")).over(before(_w(), 50)), "_m200": F.avg(F.col("close")).over(before(_w(), 200)),
-        "_pk31": struct_max(_w().rowsBetween(-30, 0)), "_late": late_max, "_mu": F.avg(F.col("close")).over(before(_w(), 20)), "_sd": F.stddev_samp(F.col("close")).over(before(_w(), 20)),
-        "_chg": F.col("close") - F.lag(F.col("close")).over(_w()), "_pc": F.lag(F.col("close")).over(_w()), "_past": F.collect_list(F.col("close")).over(before(_w(), 60)), "_run": F.sum(F.col("close")).over(running(_w())), "_c60": F.collect_list(F.col("close")).over(_w().rowsBetween(-61, 0)),
+def numbered(bars: DataFrame) -> DataFrame:
+    """Bars with their row number t and what the features need of single rows: neighbours, changes and running sums. Written once."""
+    c, v, prev = F.col("close"), F.col("volume"), F.lag("close").over(_w())
+    span = F.col("high") - F.col("low")
+    clv = F.when(span > 0, ((c - F.col("low")) - (F.col("high") - c)) / span).otherwise(0.0)
+    out = bars.select("asset", "d", "high", "low", "close", "volume", "value").withColumns({
+        "t": F.row_number().over(_w()).cast("bigint") - 1, "chg": c - prev, "tr": F.greatest(span, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
+        "ov": F.signum(c - prev) * v, "ad": clv * v, "next": F.lead("close").over(_w()), "back": F.lag("close", 29).over(_w()),
+        "run": F.sum(c).over(running(_w())), "vrun": F.sum(v).over(running(_w())),
     })
-    df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))
-    g = F.avg(F.greatest(F.col("_chg"), F.lit(0.0))).over(trailing(_w(), 14))
-    lo = F.avg(F.greatest(-F.col("_chg"), F.lit(0.0))).over(trailing(_w(), 14))
-    df = df.withColumns({"_g": g, "_l": lo, "_atr": F.avg("_tr").over(trailing(_w(), 14)), "_cs": F.collect_list("_run").over(before(_w(), 60))})
-    # position of the latest maximum, one row late, and the close 30 rows before it
-    back = F.col("t") - (F.col("_late.t") + 1)
-    peak_idx = F.col("_late.t") + 1
-    past = lambda k: F.try_element_at("_c60", (-(k + 1)).cast("int"))
-    base = past(back + 30)
-    # 20-row mean inside the 60 rows (10 rows at least) from differences of the running sum
-    origin = F.get("_cs", F.lit(0)) - F.get("_past", F.lit(0))
-    mean = lambda i: F.when(i >= 20, (F.get("_cs", i) - F.get("_cs", i - 20)) / 20).otherwise((F.get("_cs", i) - origin) / (i + 1))
-    near = F.size(F.filter(F.transform("_past", lambda x, i: (i >= 9) & (F.abs(x / mean(i) - 1) < 0.03)), lambda b: b))
-    return df.withColumns({
-        "f_dip_duration_days": F.when(at(30), (F.col("t") + F.col("_pk31.nt")).cast("double")),
-        "f_pre_dip_uptrend_30d": F.when(at(31) & (peak_idx > 30) & (base > 0), past(back) / base - 1),
-        "f_pre_dip_consolidation_days": F.when(at(60), near.cast("double")),
-        "f_dist_from_52w_high": F.when(at(252), F.col("close") / F.col("_hi") - 1),
-        "f_dist_from_50_ma": F.when(at(50), F.col("close") / F.col("_m50") - 1),
-        "f_dist_from_200_ma": F.when(at(200), F.col("close") / F.col("_m200") - 1),
-        "f_bollinger_band_position": F.when(at(20) & (F.col("_sd") > 0), (F.col("close") - F.col("_mu")) / (2 * F.col("_sd"))),
-        "f_rsi_14_at_dip": F.when(at(15), F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.col("_l"))).otherwise(100.0)),
-        "f_atr_14_pct": F.when(at(15), F.col("_atr") / F.col("close")),
-    }).drop("_hi", "_m50", "_m200", "_pk31", "_late", "_mu", "_sd", "_chg", "_pc", "_past", "_run", "_cs", "_c60", "_tr", "_g", "_l", "_atr")
-
-
-def volume_features(bars: DataFrame) -> DataFrame:
-    df = _t(bars)
-    at = lambda n: F.col("t") >= n
-    sign = F.signum(F.col("close") - F.lag(F.col("close")).over(_w()))
-    clv = F.when(F.col("high") > F.col("low"), ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    df = df.withColumns({"_ov": sign * F.col("volume"), "_ad": clv * F.col("volume"), "_m30": F.avg(F.col("volume")).over(before(_w(), 30)), "_v30": F.collect_list(F.col("volume")).over(before(_w(), 30))})
-    win = trailing(_w(), 30)
-
-    def slope(c: str, zero_ok: bool) -> Column:
-        first, total = F.first(c).over(win), F.sum(c).over(win)
-        val = (total - first) / F.greatest(F.lit(1.0), F.abs(first) + 1e-9)
-        return F.when(at(30), val) if zero_ok else F.when(at(30) & (first != 0), val)
-
-    z = lambda c: F.when(at(60) & (F.stddev_samp(c).over(before(_w(), 60)) > 0), (c - F.avg(c).over(before(_w(), 60))) / F.stddev_samp(c).over(before(_w(), 60)))
-    return df.withColumns({
-        "f_vol_dip_day_z60": z(F.col("volume")),
-        "f_vol_5d_avg_vs_60d": F.when(at(60) & (F.avg(F.col("volume")).over(before(_w(), 60)) > 0), F.avg(F.col("volume")).over(before(_w(), 5)) / F.avg(F.col("volume")).over(before(_w(), 60))),
-        "f_vol_dryup_pct_pre_dip": F.when(at(30) & (F.col("_m30") > 0), F.size(F.filter("_v30", lambda x: x < F.col("_m30") * 0.7)) / 30.0),
-        "f_obv_slope_30d": slope("_ov", True), "f_ad_slope_30d": slope("_ad", False),
-        "f_vol_post_dip_5d_vs_dip_day": F.when(F.col("volume") > 0, F.avg(F.col("volume")).over(_w().rowsBetween(1, 5)) / F.col("volume")),
-        "f_intraday_close_position": F.when(F.col("high") > F.col("low"), (F.col("close") - F.col("low")) / (F.col("high") - F.col("low"))),
-        "f_dip_day_value_zscore_60d": z(F.col("value")),
-    }).drop("_ov", "_ad", "_m30", "_v30")
+    out = out.withColumns({"run20": F.lag("run", 20, 0.0).over(_w()), "run61": F.lag("run", 61, 0.0).over(_w()), "vol30": (F.lag("vrun", 1).over(_w()) - F.lag("vrun", 31, 0.0).over(_w())) / 30})
+    return materialize(out.drop("vrun"), "numbered-bars")
+
+
+_ROW = ["t", "close", "volume", "value", "chg", "tr", "ov", "ad", "next", "back", "run", "run20"]
+
+
+def bar_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
+    """The price and volume columns of each distinct (asset, dip_date) whose date is a bar: (asset, d, t, PRICE, VOLUME)."""
+    rows = numbered(bars)
+    keys = dips.select("asset", F.col("dip_date").alias("d")).distinct().join(rows, ["asset", "d"])
+    carried = ["asset", "d", "t", "close", "high", "low", "volume", "value", "run61", "vol30"]
+    near = around(keys.select(*carried), rows, "asset", "t", -252, 5, _ROW)
+    o, x, vol = F.col("o"), F.col("_close"), F.col("_volume")
+    frame = lambda lo, hi: o.between(lo, hi)
+    within = lambda f, lo, hi, c: f(F.when(frame(lo, hi), c))
+    # mean of the last 20 rows, of those from 60 rows before the dip on where there are fewer
+    nth = o + 61
+    mean = F.when(nth >= 20, (F.col("_run") - F.col("_run20")) / 20).otherwise((F.col("_run") - F.col("run61")) / nth)
+    a = near.groupBy(*carried).agg(
+        within(F.max, -252, 0, x).alias("hi"), within(F.avg, -50, -1, x).alias("m50"), within(F.avg, -200, -1, x).alias("m200"),
+        within(F.avg, -20, -1, x).alias("mu"), within(F.stddev_samp, -20, -1, x).alias("sd"),
+        within(F.max, -30, 0, F.struct(x.alias("p"), (-F.col("_t")).alias("nt"))).alias("first_peak"),
+        within(F.max, -30, -1, F.struct(x.alias("p"), F.col("_t").alias("t"), F.col("_next").alias("next"), F.col("_back").alias("back"))).alias("last_peak"),
+        F.count_if(frame(-51, -1) & (F.abs(x / mean - 1) < 0.03)).alias("near"),
+        within(F.avg, -13, 0, F.greatest(F.col("_chg"), F.lit(0.0))).alias("gain"), within(F.avg, -13, 0, F.greatest(-F.col("_chg"), F.lit(0.0))).alias("loss"),
+        within(F.avg, -13, 0, F.col("_tr")).alias("atr"),
+        within(F.avg, -60, -1, vol).alias("v_mu"), within(F.stddev_samp, -60, -1, vol).alias("v_sd"), within(F.avg, -5, -1, vol).alias("v5"), within(F.avg, 1, 5, vol).alias("v_post"),
+        F.count_if(frame(-30, -1) & (vol < F.col("vol30") * 0.7)).alias("dry"),
+        within(F.avg, -60, -1, F.col("_value")).alias("w_mu"), within(F.stddev_samp, -60, -1, F.col("_value")).alias("w_sd"),
+        within(F.sum, -29, 0, F.col("_ov")).alias("ov"), within(F.max, -29, -29, F.col("_ov")).alias("ov0"),
+        within(F.sum, -29, 0, F.col("_ad")).alias("ad"), within(F.max, -29, -29, F.col("_ad")).alias("ad0"),
+    )
+    c, t, v, span = F.col("close"), F.col("t"), F.col("volume"), F.col("high") - F.col("low")
+    when = lambda n, value, more=F.lit(True): F.when((t >= n) & more, value)
+    slope = lambda k: (F.col(k) - F.col(f"{k}0")) / F.greatest(F.lit(1.0), F.abs(F.col(f"{k}0")) + 1e-9)
+    z = lambda value, k: when(60, (value - F.col(f"{k}_mu")) / F.col(f"{k}_sd"), F.col(f"{k}_sd") > 0)
+    # one row after the latest maximum, and the close 30 rows before that
+    rise = when(31, F.col("last_peak.next") / F.col("last_peak.back") - 1, (F.col("last_peak.t") + 1 > 30) & (F.col("last_peak.back") > 0))
+    rsi = F.when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0)
+    return a.select(
+        "asset", "d", "t",
+        when(30, (t + F.col("first_peak.nt")).cast("double")).alias("f_dip_duration_days"), rise.alias("f_pre_dip_uptrend_30d"),
+        when(60, F.col("near").cast("double")).alias("f_pre_dip_consolidation_days"), when(252, c / F.col("hi") - 1).alias("f_dist_from_52w_high"),
+        when(50, c / F.col("m50") - 1).alias("f_dist_from_50_ma"), when(200, c / F.col("m200") - 1).alias("f_dist_from_200_ma"),
+        when(20, (c - F.col("mu")) / (2 * F.col("sd")), F.col("sd") > 0).alias("f_bollinger_band_position"), when(15, rsi).alias("f_rsi_14_at_dip"),
+        when(15, F.col("atr") / c).alias("f_atr_14_pct"),
+        z(v, "v").alias("f_vol_dip_day_z60"), when(60, F.col("v5") / F.col("v_mu"), F.col("v_mu") > 0).alias("f_vol_5d_avg_vs_60d"),
+        when(30, F.col("dry") / 30.0, F.col("vol30") > 0).alias("f_vol_dryup_pct_pre_dip"), when(30, slope("ov")).alias("f_obv_slope_30d"),
+        when(30, slope("ad"), F.col("ad0") != 0).alias("f_ad_slope_30d"), F.when(v > 0, F.col("v_post") / v).alias("f_vol_post_dip_5d_vs_dip_day"),
+        F.when(span > 0, (c - F.col("low")) / span).alias("f_intraday_close_position"), z(F.col("value"), "w").alias("f_dip_day_value_zscore_60d"),
+    )
+
+
+def price_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
+    """Nine price-action columns at the dips (the tenth, its magnitude, is in the episode itself); averages exclude the dip row."""
+    return bar_features(bars, dips).select("asset", "d", *PRICE)
+
+
+def volume_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
+    return bar_features(bars, dips).select("asset", "d", *VOLUME)
 
 
 def flow_features(eps: DataFrame, flow: DataFrame) -> DataFrame:
-    """Flow around each dip; eps has (asset, dip_date, market_cap_at_dip), flow one row per (asset, d).
-
-    Day ranges are value frames over a day number, so nothing is joined pairwise.
-    """
-    missing = eps.select("asset", F.col("dip_date").alias("d")).distinct().join(flow.select("asset", "d"), ["asset", "d"], "left_anti")
-    full = flow.withColumn("_real", F.lit(True)).unionByName(missing.withColumn("_real", F.lit(False)), allowMissingColumns=True)
-    df = full.withColumn("_n", F.datediff("d", F.lit("1970-01-01").cast("date")))
-    days = Window.partitionBy("asset").orderBy("_n")
-    pre, post, m45 = days.rangeBetween(-120, 0), days.rangeBetween(1, 10), days.rangeBetween(-45, 0)
-    net = lambda k: F.when(F.col("_real"), F.coalesce(f"{k}_net", F.lit(0.0)))
-    enough = F.count(F.when(F.col("_real"), 1)).over(pre) >= 20
-    cols = {}
-    for k in ("foreign", "inst", "individual"):
-        sd = F.stddev_samp(net(k)).over(pre)
-        cols[f"f_{k}_net_dip_day_z"] = F.when(enough & (sd > 0), (net(k) - F.avg(net(k)).over(pre)) / sd)
-    for k in ("foreign", "inst"):
-        cols[f"_{k}_post"] = F.sum(net(k)).over(post)
-        cols[f"_{k}_list"] = F.collect_list(net(k)).over(post)
-    cols["_f45"] = F.sum(net("foreign")).over(m45)
-    held = F.when(F.col("_real"), F.col("holding_pct"))
-    cols["f_foreign_holding_change_30d_pct"] = F.when(enough, F.last(held, ignorenulls=True).over(pre) - F.first(held, ignorenulls=True).over(pre))
-    feat = df.withColumns(cols)
-    streak = lambda a: F.coalesce(F.nullif(F.array_position(F.transform(a, lambda x: x <= 0), F.lit(True)), F.lit(0).cast("bigint")) - 1, F.size(a)).cast("double")
-    feat = feat.withColumns({"f_foreign_buying_streak_post_dip": streak(F.col("_foreign_list")), "f_inst_buying_streak_post_dip": streak(F.col("_inst_list"))})
-    keep = ["f_foreign_net_dip_day_z", "f_inst_net_dip_day_z", "f_individual_net_dip_day_z", "f_foreign_holding_change_30d_pct", "f_foreign_buying_streak_post_dip",
-            "f_inst_buying_streak_post_dip", "_foreign_post", "_inst_post", "_f45"]
-    j = eps.join(feat.select("asset", F.col("d").alias("dip_date"), *keep), ["asset", "dip_date"], "left")
+    """Flow around each dip; eps has (asset, dip_date, market_cap_at_dip), flow one row per (asset, d). Positions are days."""
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
+    kinds = ("foreign", "inst", "individual")
+    rows = flow.select("asset", day(F.col("d")).alias("n"), *[F.coalesce(f"{k}_net", F.lit(0.0)).alias(k) for k in kinds], F.col("holding_pct").alias("held"))
+    keys = eps.select("asset", "dip_date", day(F.col("dip_date")).alias("n")).distinct()
+    near = around(keys, rows, "asset", "n", -120, 10, [*kinds, "held"])
+    o = F.col("o")
+    pre, post = o <= 0, o >= 1
+    has = pre & F.col("_held").isNotNull()
+    aggs = [F.count_if(pre).alias("n_pre"), F.max_by("_held", F.when(has, o)).alias("held_last"), F.min_by("_held", F.when(has, o)).alias("held_first"),
+            F.sum(F.when(o.between(-45, 0), F.col("_foreign"))).alias("f45")]
+    for k in kinds:
+        x = F.when(pre, F.col(f"_{k}"))
+        aggs += [F.avg(x).alias(f"{k}_mu"), F.stddev_samp(x).alias(f"{k}_sd"), F.max(F.when(o == 0, F.col(f"_{k}"))).alias(f"{k}_day")]
+    for k in kinds[:2]:
+        aggs += [F.sum(F.when(post, F.col(f"_{k}"))).alias(f"{k}_post"), F.array_sort(F.collect_list(F.when(post, F.struct("o", F.col(f"_{k}").alias("x"))))).alias(f"{k}_list")]
+    a = near.groupBy("asset", "dip_date").agg(*aggs)
+    j = eps.join(a, ["asset", "dip_date"], "left")
+    enough = F.col("n_pre") >= 20
     m = F.col("market_cap_at_dip")
     share = lambda c: F.when(m > 0, F.col(c) / m)
-    j = j.withColumns({"f_foreign_net_5d_post_dip_pct_mcap": share("_foreign_post"), "f_inst_net_5d_post_dip_pct_mcap": share("_inst_post"), "f_foreign_net_30d_pct_mcap": share("_f45")})
+    j = j.withColumns({f"f_{k}_net_dip_day_z": F.when(enough & (F.col(f"{k}_sd") > 0), (F.col(f"{k}_day") - F.col(f"{k}_mu")) / F.col(f"{k}_sd")) for k in kinds})
+    j = j.withColumn("f_foreign_holding_change_30d_pct", F.when(enough, F.col("held_last") - F.col("held_first")))
+
+    def streak(k: str) -> Column:
+        """Rows after the dip before the first that is not positive."""
+        stops = F.transform(F.coalesce(f"{k}_list", F.array()), lambda r: r["x"] <= 0)
+        return F.coalesce(F.nullif(F.array_position(stops, F.lit(True)), F.lit(0).cast("bigint")) - 1, F.size(stops)).cast("double")
+
+    j = j.withColumns({"f_foreign_buying_streak_post_dip": streak("foreign"), "f_inst_buying_streak_post_dip": streak("inst"), "f_foreign_net_5d_post_dip_pct_mcap": share("foreign_post"),
+                       "f_inst_net_5d_post_dip_pct_mcap": share("inst_post"), "f_foreign_net_30d_pct_mcap": share("f45")})
     both = F.coalesce("f_foreign_net_5d_post_dip_pct_mcap", F.lit(0.0)) + F.coalesce("f_inst_net_5d_post_dip_pct_mcap", F.lit(0.0))
-    return j.withColumn("f_smart_money_directional_score", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), both * 100))).drop("_foreign_post", "_inst_post", "_f45")
+    j = j.withColumn("f_smart_money_directional_score", F.greatest(F.lit(-10.0), F.least(F.lit(10.0), both * 100)))
+    return j.drop(*[c for c in a.columns if c not in ("asset", "dip_date")])
 
 
 def context_features(eps: DataFrame, index: DataFrame, vol: DataFrame, risk: DataFrame | None = None) -> DataFrame:
@@ -167,9 +182,8 @@ def event_features(eps: DataFrame, events: DataFrame) -> DataFrame:
 def dip_feature_panel(eps: DataFrame, bars: DataFrame, flow: DataFrame, index: DataFrame, vol: DataFrame, events: DataFrame, risk: DataFrame | None = None) -> DataFrame:
     """All 42 columns for the episodes whose date is a bar of the asset."""
     eps = materialize(eps, "episodes")
-    base = volume_features(price_features(bars))
-    feats = [c for c in base.columns if c.startswith("f_")]
-    out = eps.join(base.select("asset", F.col("d").alias("dip_date"), *feats), ["asset", "dip_date"])
+    base = bar_features(bars, eps)
+    out = eps.join(base.select("asset", F.col("d").alias("dip_date"), *PRICE, *VOLUME), ["asset", "dip_date"])
     out = out.withColumn("f_dip_magnitude_pct", F.when(F.col("peak_close") > 0, F.col("dip_low_close") / F.col("peak_close") - 1))
     out = materialize(context_features(flow_features(out, flow), index, vol, risk), "dip-features")
     return event_features(out, events)

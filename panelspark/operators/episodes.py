@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.rolling import series
+from panelspark.operators.around import around
 from panelspark.operators.asof import asof
 
 
@@ -100,18 +101,22 @@ DIP = {"dip_1d": -0.05, "dip_5d": -0.10, "lookback": 30, "window": 60, "upper":
 
 
 def dip_candidates(bars: DataFrame, dip_1d=DIP["dip_1d"], dip_5d=DIP["dip_5d"], lookback=DIP["lookback"], window=DIP["window"], upper=DIP["upper"], lower=DIP["lower"]) -> DataFrame:
-    """Every triggered bar with its frozen peak and its triple-barrier outcome over the next rows."""
+    """Every triggered bar with its frozen peak and its triple-barrier outcome over the next rows.
+
+    Bars are looked at one by one for the trigger alone; the rows around a dip are gathered for triggered bars.
+    """
     w, full = series("asset"), Window.partitionBy("asset")
     c = F.col("close")
-    df = bars.select("asset", "d", "close").withColumn("t", F.row_number().over(w) - 1)
-    df = df.withColumns({
-        "_n": F.count(F.lit(1)).over(full), "_prev": F.lag("close").over(w), "_hi5": F.max("close").over(w.rowsBetween(-4, 0)),
-        "_pk": F.max(F.struct(c.alias("p"), (-F.col("t")).alias("nt"), F.col("d").alias("d"))).over(w.rowsBetween(-lookback, -1)),
-        "_fwd": F.collect_list("close").over(w.rowsBetween(1, window)),
-    })
+    rows = bars.select("asset", "d", "close").withColumn("t", F.row_number().over(w).cast("bigint") - 1)
+    df = rows.withColumns({"_n": F.count(F.lit(1)).over(full), "_prev": F.lag("close").over(w), "_hi5": F.max("close").over(w.rowsBetween(-4, 0))})
     hit = (c / F.col("_prev") - 1 <= dip_1d) | (c / F.col("_hi5") - 1 <= dip_5d)
     ok = (F.col("_n") >= lookback + window + 5) & (F.col("t") >= lookback) & (F.col("t") < F.col("_n") - 1) & (F.col("_prev") > 0)
-    df = df.filter(ok & hit).withColumns({"peak_close": F.col("_pk.p"), "peak_date": F.col("_pk.d")})
+    near = around(df.filter(ok & hit).select("asset", "t", "d", "close"), rows, "asset", "t", -lookback, window, ["close", "d"])
+    o, x = F.col("o"), F.col("_close")
+    df = near.groupBy("asset", "t", "d", "close").agg(
+        F.max(F.when(o < 0, F.struct(x.alias("p"), (-o).alias("back"), F.col("_d").alias("d")))).alias("_pk"),
+        F.array_sort(F.collect_list(F.when(o > 0, F.struct("o", x.alias("p"))))).alias("_fwd"),
+    ).withColumns({"peak_close": F.col("_pk.p"), "peak_date": F.col("_pk.d"), "_fwd": F.transform("_fwd", lambda r: r["p"])})
     first = lambda cond: F.nullif(F.array_position(F.transform("_fwd", cond), F.lit(True)), F.lit(0).cast("bigint"))
     df = df.withColumns({
         "_up": first(lambda x: x >= F.col("peak_close") * (1 - upper)),

@@ -1,6 +1,6 @@
 """Bitemporal fundamentals: what was known about each asset at each rebalance date.
 
-Each filing is an event in knowledge time. A running maximum over the filings
+Each filing or amendment is an event in knowledge time. A running maximum over the events
 of an asset gives the state after every event, and one as-of pass carries it to
 the rebalance dates, so no (filing x date) pairs are ever formed.
 """
@@ -20,43 +20,49 @@ ANNUALISE = {"11013": 4.0, "11012": 2.0, "11014": 4.0 / 3.0, "11011": 1.0}
 
 
 def filing_states(panel: DataFrame, legacy_order: bool = False) -> DataFrame:
-    """State of knowledge after each filing: latest balance sheet, annualised flows, same-quarter growth inputs.
+    """State of knowledge after each filing: latest balance sheet, annualised flows, growth on the same quarter of the year before.
 
-    "Latest" is the greatest period end, or (year, report code) with `legacy_order`.
+    A filing with the period of an earlier one amends it. Every filing is an event twice: of its own period, and of the period a
+    year on, which is compared with it. Both streams are sorted together, so after each event a period stands with its newest version
+    and with the version of the year before that was known by then; an amendment changes growth from its own receipt on
+    and never before. "Latest" is the greatest period end, or (year, report code) with `legacy_order`; versions received on one day
+    rank by their figures. Rows are shuffled once, by asset; both windows use that.
     """
-    prev = panel.select(
-        "asset", (F.col("year") + 1).alias("year"), "reprt_code", F.col("rcept_dt").alias("_pr"), *[F.col(c).alias(f"_p_{c}") for c in FLOWS]
-    )
-    p = panel.filter(F.col("rcept_dt").isNotNull()).join(prev, ["asset", "year", "reprt_code"], "left")
-    rank = [F.col("year"), F.col("reprt_code")] if legacy_order else [F.col("period_end"), F.col("reprt_code")]
+    as_of_role = F.explode(F.array(F.lit(0), F.lit(1))).alias("_role")
+    both = panel.filter(F.col("rcept_dt").isNotNull()).select("*", as_of_role).select(
+        "asset", (F.col("year") + F.col("_role")).cast(panel.schema["year"].dataType).alias("year"), "reprt_code", "rcept_dt",
+        F.when(F.col("_role") == 0, F.struct("rcept_dt", "period_end", *STOCKS, *FLOWS)).alias("_own"),
+        F.when(F.col("_role") == 1, F.struct("rcept_dt", *FLOWS)).alias("_before"),
+    ).repartition("asset")
+    seen = Window.partitionBy("asset", "year", "reprt_code").orderBy("rcept_dt").rangeBetween(Window.unboundedPreceding, 0)
+    p = both.withColumns({"_own": F.max("_own").over(seen), "_before": F.max("_before").over(seen)}).filter("_own is not null")
+    rank = [F.col("year"), F.col("reprt_code")] if legacy_order else [F.col("_own.period_end"), F.col("reprt_code")]
     order = F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)])
     factor = F.create_map(*[F.lit(x) for kv in ANNUALISE.items() for x in kv])[F.col("reprt_code")]
     known = Window.partitionBy("asset").orderBy("rcept_dt").rangeBetween(Window.unboundedPreceding, 0)
-    latest = F.max(F.struct(order, *[F.col(c) for c in ("period_end", "rcept_dt", "year", "reprt_code", "_pr", *STOCKS, *FLOWS)], *[F.col(f"_p_{c}") for c in FLOWS])).over(known)
-    cols = {"_s": latest}
-    for c in FLOWS:
-        cols[f"_t_{c}"] = F.max(F.when(F.col(c).isNotNull(), F.struct(order, (F.col(c) * factor).alias("v")))).over(known)
-    s = p.withColumns(cols)
+    latest = F.max(F.struct(order.alias("order"), F.col("rcept_dt").alias("at"), F.col("_own").alias("own"), F.col("_before").alias("before"), "year", "reprt_code")).over(known)
+    flows = {
+        f"_t_{c}": F.max(F.when(F.col(f"_own.{c}").isNotNull(), F.struct(order.alias("order"), F.col("_own.rcept_dt").alias("at"), (F.col(f"_own.{c}") * factor).alias("v")))).over(known)
+        for c in FLOWS
+    }
+    s = p.withColumns({"_s": latest, **flows})
+
+    def growth(c: str):
+        now, was = F.col(f"_s.own.{c}"), F.col(f"_s.before.{c}")
+        return F.when(F.abs(was) > 1e-3, (now - was) / F.abs(was)).alias(f"{c}_growth_yoy")
+
     return s.select(
         "asset", F.col("rcept_dt").alias("known_at"),
-        *[F.col(f"_s.{c}").alias(c) for c in STOCKS], *[F.col(f"_t_{c}.v").alias(f"{c}_ttm") for c in FLOWS],
-        F.col("_s.period_end").alias("fundamentals_period_end"), F.col("_s.rcept_dt").alias("fundamentals_rcept_dt"),
-        F.col("_s.year").alias("fundamentals_bsns_year"), F.col("_s.reprt_code").alias("fundamentals_reprt_code"),
-        F.col("_s._pr").alias("_pr"), *[F.struct(F.col(f"_s.{c}").alias("cur"), F.col(f"_s._p_{c}").alias("prv")).alias(f"_g_{c}") for c in FLOWS],
+        *[F.col(f"_s.own.{c}").alias(c) for c in STOCKS], *[F.col(f"_t_{c}.v").alias(f"{c}_ttm") for c in FLOWS],
+        F.col("_s.own.period_end").alias("fundamentals_period_end"), F.col("_s.own.rcept_dt").alias("fundamentals_rcept_dt"),
+        F.col("_s.year").alias("fundamentals_bsns_year"), F.col("_s.reprt_code").alias("fundamentals_reprt_code"), *[growth(c) for c in FLOWS],
     ).dropDuplicates(["asset", "known_at"])
 
 
 def ttm_features(panel: DataFrame, keys: DataFrame, legacy_order: bool = False) -> DataFrame:
-    """Latest visible balance sheet, annualised flows, growth against the same quarter of the year before."""
+    """Latest visible balance sheet, annualised flows, growth against the same quarter of the year before, each as known at rd."""
     states = filing_states(panel, legacy_order)
-    carried = [c for c in states.columns if c not in ("asset", "known_at")]
-    out = asof(keys, states, ["asset"], "rd", "known_at", carried)
-    visible = F.col("_pr").isNotNull() & (F.col("_pr") <= F.col("rd"))
-    grow = {}
-    for c in FLOWS:
-        cur, prv = F.col(f"_g_{c}.cur"), F.col(f"_g_{c}.prv")
-        grow[f"{c}_growth_yoy"] = F.when(visible & (F.abs(prv) > 1e-3), (cur - prv) / F.abs(prv))
-    return out.withColumns(grow).drop("_pr", *[f"_g_{c}" for c in FLOWS])
+    return asof(keys, states, ["asset"], "rd", "known_at", [c for c in states.columns if c not in ("asset", "known_at")])
 
 
 def fundamental_ratios(df: DataFrame) -> DataFrame:

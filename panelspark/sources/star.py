@@ -227,8 +227,11 @@ class Star:
         last = self.table("supplier").agg(F.max("s_suppkey").alias("k")).scalar()
         return asset_id(F.col("o_custkey") % (last + 1))
 
-    def fundamentals(self) -> DataFrame:
-        """Quarterly filings (asset, year, reprt_code, period_end, rcept_dt, accounts); flows are year to date."""
+    def fundamentals(self, amended: bool = False) -> DataFrame:
+        """Quarterly filings (asset, year, reprt_code, period_end, rcept_dt, accounts); flows are year to date.
+
+        With `amended`, a third of them are filed once more, up to 17 months later, without the orders still pending.
+        """
         o = self.table("orders").select(
             self._issuer().alias("asset"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("qtr"),
             "o_orderstatus", _cents("o_totalprice").alias("c"),
@@ -238,21 +241,24 @@ class Star:
             F.sum("c").alias("rev"),
             F.sum(F.when(st == "F", -F.col("c")).otherwise(F.col("c"))).alias("op"),
             F.sum(F.when(st == "O", F.col("c")).when(st == "F", -F.col("c")).otherwise(0)).alias("ni"),
-            F.sum(F.when(st == "F", F.col("c")).otherwise(0)).alias("li"),
+            F.sum(F.when(st == "F", F.col("c")).otherwise(0)).alias("li"), F.sum(F.when(st == "P", F.col("c")).otherwise(0)).alias("pend"),
         )
         ytd, life = running(series("asset", "year", order="qtr")), running(series("asset", order="pos"))
-        end = F.last_day(F.make_date("year", F.col("qtr") * 3, F.lit(1)))
+        total = lambda c, w: F.sum(c).over(w)
+        pos, n, v = F.col("year") * 4 + F.col("qtr"), F.col("asset").cast("int"), F.col("version")
+        versions = F.sequence(F.lit(0), F.when((n + F.col("pos")) % 3 == 0, 1).otherwise(0) if amended else F.lit(0))
+        q = q.withColumn("pos", pos).select(
+            "asset", "year", "qtr", "pos", F.last_day(F.make_date("year", F.col("qtr") * 3, F.lit(1))).alias("period_end"),
+            total("rev", ytd).alias("rev"), total("op", ytd).alias("op"), total("ni", ytd).alias("ni"), total("pend", ytd).alias("pend"),
+            total("rev", life).alias("assets"), total("li", life).alias("li"), total("pend", life).alias("pending"),
+        ).withColumn("version", F.explode(versions))
         money = lambda c: (c / F.lit(100.0))
-        return q.withColumn("pos", F.col("year") * 4 + F.col("qtr")).select(
-            "asset", "year", F.element_at(F.array(*[F.lit(x) for x in REPORT_CODES]), F.col("qtr")).alias("reprt_code"),
-            end.alias("period_end"),
-            F.date_add(end, (F.lit(45) + F.col("asset").cast("int") % 30).cast("int")).alias("rcept_dt"),
-            money(F.sum("rev").over(ytd)).alias("revenue"),
-            money(F.sum("op").over(ytd)).alias("operating_income"),
-            money(F.sum("ni").over(ytd)).alias("net_income"),
-            money(F.sum("rev").over(life)).alias("total_assets"),
-            money(F.sum(F.col("rev") - F.col("li")).over(life)).alias("total_equity"),
-            money(F.sum("li").over(life)).alias("total_liabilities"),
+        return q.select(
+            "asset", "year", F.element_at(F.array(*[F.lit(x) for x in REPORT_CODES]), F.col("qtr")).alias("reprt_code"), "period_end",
+            F.date_add("period_end", (F.lit(45) + n % 30 + v * (20 + n % 10 * 50)).cast("int")).alias("rcept_dt"),
+            money(F.col("rev") - v * F.col("pend")).alias("revenue"), money(F.col("op") - v * F.col("pend")).alias("operating_income"), money(F.col("ni")).alias("net_income"),
+            money(F.col("assets") - v * F.col("pending")).alias("total_assets"), money(F.col("assets") - F.col("li") - v * F.col("pending")).alias("total_equity"),
+            money(F.col("li")).alias("total_liabilities"),
         )
 
     def disclosures(self) -> DataFrame:

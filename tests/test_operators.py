@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelspark.functions import scalars as X
 from panelspark.functions.ewm import add_ewm
 from panelspark.functions.feature_groups import GROUPS, with_feature_group
-from panelspark.operators import asof as A, episodes as EP, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, portfolio as P, regime as RG, technical as T, themes as TH, universe as U
+from panelspark.operators import asof as A, dip_features as D, episodes as EP, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, portfolio as P, regime as RG, technical as T, themes as TH, universe as U
+from panelspark.operators.around import around
 from panelspark.sources.star import asset_id
 from panelspark.streaming import monitors as MO
 
@@ -308,3 +309,79 @@ def test_window_counts_equal_filtered_pairs(spark):
     want = j.groupBy("asset", "rd").agg(
         F.count_if(H.in_lookback_months(F.col("d"), F.col("rd"), 3)), F.count_if(H.in_lookback_days(F.col("d"), F.col("rd"), 90)), F.count_if(F.col("d") <= F.col("rd"))).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+FILING = "asset string, year int, reprt_code string, period_end date, rcept_dt date, revenue double, operating_income double, net_income double, total_assets double, total_equity double, total_liabilities double"
+
+
+def filing(asset, year, code, end, received, revenue, income=5.0):
+    return (asset, year, code, dt.date.fromisoformat(end), dt.date.fromisoformat(received), revenue, income, income, 10 * revenue if revenue else None, 4.0, 6.0)
+
+
+def test_growth_uses_what_was_known_then(spark):
+    """The year before is amended after the current filing; a second asset files the year before late; a third amends the current year."""
+    panel = spark.createDataFrame([
+        filing("A", 2022, "11013", "2022-03-31", "2022-05-15", 100.0), filing("A", 2023, "11013", "2023-03-31", "2023-05-15", 150.0),
+        filing("A", 2022, "11013", "2022-03-31", "2023-08-01", 120.0),
+        filing("B", 2023, "11013", "2023-03-31", "2023-05-15", 30.0), filing("B", 2022, "11013", "2022-03-31", "2023-09-01", 20.0),
+        filing("C", 2022, "11013", "2022-03-31", "2022-05-15", 10.0), filing("C", 2023, "11013", "2023-03-31", "2023-05-15", 20.0),
+        filing("C", 2023, "11013", "2023-03-31", "2023-07-01", None), filing("C", 2023, "11013", "2023-03-31", "2023-10-01", 40.0),
+        filing("D", 2023, "11013", "2023-03-31", "2023-05-15", 1.0), filing("D", 2022, "11013", "2022-03-31", "2022-05-15", 0.0005),
+    ], FILING)
+    days = [dt.date.fromisoformat(d) for d in ("2022-04-30", "2022-06-30", "2023-05-31", "2023-07-31", "2023-08-31", "2023-09-30", "2023-12-31")]
+    keys = spark.createDataFrame([(a, d) for a in "ABCD" for d in days], "asset string, rd date")
+    out = {(r.asset, r.rd): r for r in FU.ttm_features(panel, keys).collect()}
+    growth = {a: [None if (g := out[a, d].revenue_growth_yoy) is None else round(g, 9) for d in days] for a in "ABCD"}
+    assert growth == {
+        "A": [None, None, 0.5, 0.5, 0.25, 0.25, 0.25], "B": [None, None, None, None, None, 0.5, 0.5],
+        "C": [None, None, 1.0, None, None, None, 3.0], "D": [None] * 7,
+    }
+    assert [out["C", d].revenue_ttm for d in days] == [None, 40.0, 80.0, 80.0, 80.0, 80.0, 160.0]
+    assert [out["C", d].total_assets for d in days] == [None, 100.0, 200.0, None, None, None, 400.0]
+    assert out["A", days[-1]].fundamentals_rcept_dt == dt.date(2023, 5, 15) and out["C", days[-1]].fundamentals_rcept_dt == dt.date(2023, 10, 1)
+
+
+def test_growth_shuffles_filings_once(spark):
+    panel = spark.createDataFrame([filing("A", 2022, "11013", "2022-03-31", "2022-05-15", 100.0)], FILING)
+    plan = FU.filing_states(panel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_rows_around_keys(spark, block):
+    rng = np.random.default_rng(2)
+    rows = [(a, int(p), float(p) * 2) for a in "AB" for p in sorted(rng.choice(np.arange(-90, 400), 200, replace=False))]
+    keys = [(a, int(k), f"{a}{k}") for a in "ABC" for k in (-95, -3, 0, 63, 64, 200, 399, 900)]
+    got = around(spark.createDataFrame(keys, "asset string, p long, name string"), spark.createDataFrame(rows, "asset string, p long, x double"), "asset", "p", -70, 5, ["x"], block)
+    want = sorted((a, k, n, p - k, x) for a, k, n in keys for b, p, x in rows if a == b and -70 <= p - k <= 5)
+    assert got.columns == ["asset", "p", "name", "o", "_x"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_bar_features_against_pandas(spark):
+    pdf = bars_of(5, 330)
+    pdf["close"] = pdf["close"].mask(pdf.index % 40 == 7, 100.0)
+    dips = [("A", 10), ("A", 15), ("A", 47), ("A", 61), ("A", 260), ("A", 329), ("B", 31), ("B", 130)]
+    per = {a: g.reset_index(drop=True) for a, g in pdf.groupby("asset")}
+    eps = spark.createDataFrame([(a, per[a].d[t]) for a, t in dips] + [("A", dt.date(1999, 1, 1)), ("Z", per["A"].d[3])], "asset string, dip_date date")
+    got = {(r.asset, r.t): r for r in D.bar_features(spark.createDataFrame(pdf), eps).collect()}
+    assert sorted(got) == sorted(dips)
+    for a, t in dips:
+        g, r = per[a], got[a, t]
+        c, v = g.close, g.volume
+        past = c[max(0, t - 60):t].to_numpy()
+        near = sum(abs(past[i] / past[max(0, i - 19):i + 1].mean() - 1) < 0.03 for i in range(9, len(past)))
+        assert r.f_pre_dip_consolidation_days == (near if t >= 60 else None)
+        assert (r.f_dist_from_52w_high is None) == (t < 252) and (r.f_dist_from_200_ma is None) == (t < 200)
+        if t >= 252:
+            assert np.isclose(r.f_dist_from_52w_high, c[t] / c[t - 252:t + 1].max() - 1)
+        if t >= 60:
+            assert np.isclose(r.f_vol_dip_day_z60, (v[t] - v[t - 60:t].mean()) / v[t - 60:t].std())
+            assert np.isclose(r.f_vol_5d_avg_vs_60d, v[t - 5:t].mean() / v[t - 60:t].mean())
+        if t >= 30:
+            assert r.f_dip_duration_days == t - c[t - 30:t + 1].idxmax()
+            assert np.isclose(r.f_vol_dryup_pct_pre_dip, (v[t - 30:t] < 0.7 * v[t - 30:t].mean()).mean())
+            ov = np.sign(c.diff()) * v
+            assert np.isclose(r.f_obv_slope_30d, ov[t - 28:t + 1].sum() / max(1, abs(ov[t - 29]) + 1e-9))
+        assert (r.f_vol_post_dip_5d_vs_dip_day is None) == (t == 329)
+        if t < 329:
+            assert np.isclose(r.f_vol_post_dip_5d_vs_dip_day, v[t + 1:t + 6].mean() / v[t])

@@ -1,5 +1,9 @@
 """A spread of registered queries against their DuckDB text on the smallest tables, and contract checks for all of them."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -40,3 +44,23 @@ def test_every_sql_text_parses(con):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_imports_without_the_corpus_package():
+    """With the corpus package gone, whether or not the pipeline file is there, the rest is registered."""
+    hide = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == {name!r} or name.startswith({name!r} + "."):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+names = set(e.queries())
+assert "pipeline" not in names and "topn_per_date" in names, names
+assert any(n.startswith("op") and n[2].isdigit() for n in names) == {kept}
+assert set(e.oracle_sql()) <= names
+"""
+    root = Path(entry.__file__).parent
+    for name, kept in (("panelspark.llm", False), ("corpus_pipeline", True)):
+        subprocess.run([sys.executable, "-c", hide.format(name=name, kept=kept)], cwd=root, check=True, timeout=120)

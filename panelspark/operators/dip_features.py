@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.rolling import running, series, trailing
+from panelspark.functions.rolling import before, running, series, trailing
 from panelspark.operators.around import around
 from panelspark.operators.asof import asof
 from panelspark.sources.files import materialize
@@ -26,21 +26,21 @@ def numbered(bars: DataFrame) -> DataFrame:
     clv = F.when(span > 0, ((c - F.col("low")) - (F.col("high") - c)) / span).otherwise(0.0)
     out = bars.select("asset", "d", "high", "low", "close", "volume", "value").withColumns({
         "t": F.row_number().over(_w()).cast("bigint") - 1, "chg": c - prev, "tr": F.greatest(span, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
-        "ov": F.signum(c - prev) * v, "ad": clv * v, "next": F.lead("close").over(_w()), "back": F.lag("close", 29).over(_w()),
+        "ov": F.signum(c - prev) * v, "ad": clv * v, "peak31": F.max("close").over(_w().rowsBetween(-30, 0)), "peak30": F.max("close").over(before(_w(), 30)),
         "run": F.sum(c).over(running(_w())), "vrun": F.sum(v).over(running(_w())),
     })
     out = out.withColumns({"run20": F.lag("run", 20, 0.0).over(_w()), "run61": F.lag("run", 61, 0.0).over(_w()), "vol30": (F.lag("vrun", 1).over(_w()) - F.lag("vrun", 31, 0.0).over(_w())) / 30})
     return materialize(out.drop("vrun"), "numbered-bars")
 
 
-_ROW = ["t", "close", "volume", "value", "chg", "tr", "ov", "ad", "next", "back", "run", "run20"]
+_ROW = ["close", "volume", "value", "chg", "tr", "ov", "ad", "run", "run20"]
 
 
 def bar_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
     """The price and volume columns of each distinct (asset, dip_date) whose date is a bar: (asset, d, t, PRICE, VOLUME)."""
     rows = numbered(bars)
     keys = dips.select("asset", F.col("dip_date").alias("d")).distinct().join(rows, ["asset", "d"])
-    carried = ["asset", "d", "t", "close", "high", "low", "volume", "value", "run61", "vol30"]
+    carried = ["asset", "d", "t", "close", "high", "low", "volume", "value", "run61", "vol30", "peak30", "peak31"]
     near = around(keys.select(*carried), rows, "asset", "t", -252, 5, _ROW)
     o, x, vol = F.col("o"), F.col("_close"), F.col("_volume")
     frame = lambda lo, hi: o.between(lo, hi)
@@ -51,8 +51,7 @@ def bar_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
     a = near.groupBy(*carried).agg(
         within(F.max, -252, 0, x).alias("hi"), within(F.avg, -50, -1, x).alias("m50"), within(F.avg, -200, -1, x).alias("m200"),
         within(F.avg, -20, -1, x).alias("mu"), within(F.stddev_samp, -20, -1, x).alias("sd"),
-        within(F.max, -30, 0, F.struct(x.alias("p"), (-F.col("_t")).alias("nt"))).alias("first_peak"),
-        within(F.max, -30, -1, F.struct(x.alias("p"), F.col("_t").alias("t"), F.col("_next").alias("next"), F.col("_back").alias("back"))).alias("last_peak"),
+        F.min(F.when(frame(-30, 0) & (x == F.col("peak31")), o)).alias("first_peak"), F.max(F.when(frame(-30, -1) & (x == F.col("peak30")), o)).alias("last_peak"),
         F.count_if(frame(-51, -1) & (F.abs(x / mean - 1) < 0.03)).alias("near"),
         within(F.avg, -13, 0, F.greatest(F.col("_chg"), F.lit(0.0))).alias("gain"), within(F.avg, -13, 0, F.greatest(-F.col("_chg"), F.lit(0.0))).alias("loss"),
         within(F.avg, -13, 0, F.col("_tr")).alias("atr"),
@@ -62,16 +61,20 @@ def bar_features(bars: DataFrame, dips: DataFrame) -> DataFrame:
         within(F.sum, -29, 0, F.col("_ov")).alias("ov"), within(F.max, -29, -29, F.col("_ov")).alias("ov0"),
         within(F.sum, -29, 0, F.col("_ad")).alias("ad"), within(F.max, -29, -29, F.col("_ad")).alias("ad0"),
     )
+    # one row after the latest maximum, and the close 30 rows before that
+    peak = F.col("t") + F.col("last_peak") + 1
+    ends = a.select("asset", F.col("t").alias("_t0"), F.explode(F.array(peak, peak - 30)).alias("t"), peak.alias("_p")).join(rows.select("asset", "t", F.col("close").alias("_c")), ["asset", "t"])
+    rise = ends.groupBy("asset", F.col("_t0").alias("t")).agg(F.max(F.when(F.col("t") == F.col("_p"), F.col("_c"))).alias("at_peak"), F.max(F.when(F.col("t") < F.col("_p"), F.col("_c"))).alias("base"))
+    a = a.join(rise, ["asset", "t"], "left")
     c, t, v, span = F.col("close"), F.col("t"), F.col("volume"), F.col("high") - F.col("low")
     when = lambda n, value, more=F.lit(True): F.when((t >= n) & more, value)
     slope = lambda k: (F.col(k) - F.col(f"{k}0")) / F.greatest(F.lit(1.0), F.abs(F.col(f"{k}0")) + 1e-9)
     z = lambda value, k: when(60, (value - F.col(f"{k}_mu")) / F.col(f"{k}_sd"), F.col(f"{k}_sd") > 0)
-    # one row after the latest maximum, and the close 30 rows before that
-    rise = when(31, F.col("last_peak.next") / F.col("last_peak.back") - 1, (F.col("last_peak.t") + 1 > 30) & (F.col("last_peak.back") > 0))
+    rise = when(31, F.col("at_peak") / F.col("base") - 1, (t + F.col("last_peak") + 1 > 30) & (F.col("base") > 0))
     rsi = F.when(F.col("loss") > 0, 100 - 100 / (1 + F.col("gain") / F.col("loss"))).otherwise(100.0)
     return a.select(
         "asset", "d", "t",
-        when(30, (t + F.col("first_peak.nt")).cast("double")).alias("f_dip_duration_days"), rise.alias("f_pre_dip_uptrend_30d"),
+        when(30, (-F.col("first_peak")).cast("double")).alias("f_dip_duration_days"), rise.alias("f_pre_dip_uptrend_30d"),
         when(60, F.col("near").cast("double")).alias("f_pre_dip_consolidation_days"), when(252, c / F.col("hi") - 1).alias("f_dist_from_52w_high"),
         when(50, c / F.col("m50") - 1).alias("f_dist_from_50_ma"), when(200, c / F.col("m200") - 1).alias("f_dist_from_200_ma"),
         when(20, (c - F.col("mu")) / (2 * F.col("sd")), F.col("sd") > 0).alias("f_bollinger_band_position"), when(15, rsi).alias("f_rsi_14_at_dip"),

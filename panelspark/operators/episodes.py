@@ -108,25 +108,24 @@ def dip_candidates(bars: DataFrame, dip_1d=DIP["dip_1d"], dip_5d=DIP["dip_5d"],
     w, full = series("asset"), Window.partitionBy("asset")
     c = F.col("close")
     rows = bars.select("asset", "d", "close").withColumn("t", F.row_number().over(w).cast("bigint") - 1)
-    df = rows.withColumns({"_n": F.count(F.lit(1)).over(full), "_prev": F.lag("close").over(w), "_hi5": F.max("close").over(w.rowsBetween(-4, 0))})
+    df = rows.withColumns({
+        "_n": F.count(F.lit(1)).over(full), "_prev": F.lag("close").over(w), "_hi5": F.max("close").over(w.rowsBetween(-4, 0)),
+        "peak_close": F.max("close").over(w.rowsBetween(-lookback, -1)),
+    })
     hit = (c / F.col("_prev") - 1 <= dip_1d) | (c / F.col("_hi5") - 1 <= dip_5d)
     ok = (F.col("_n") >= lookback + window + 5) & (F.col("t") >= lookback) & (F.col("t") < F.col("_n") - 1) & (F.col("_prev") > 0)
-    near = around(df.filter(ok & hit).select("asset", "t", "d", "close"), rows, "asset", "t", -lookback, window, ["close", "d"])
+    keys = df.filter(ok & hit).withColumn("_last", F.least(F.lit(window), F.col("_n") - 1 - F.col("t"))).select("asset", "t", "d", "close", "peak_close", "_last")
     o, x = F.col("o"), F.col("_close")
-    df = near.groupBy("asset", "t", "d", "close").agg(
-        F.max(F.when(o < 0, F.struct(x.alias("p"), (-o).alias("back"), F.col("_d").alias("d")))).alias("_pk"),
-        F.array_sort(F.collect_list(F.when(o > 0, F.struct("o", x.alias("p"))))).alias("_fwd"),
-    ).withColumns({"peak_close": F.col("_pk.p"), "peak_date": F.col("_pk.d"), "_fwd": F.transform("_fwd", lambda r: r["p"])})
-    first = lambda cond: F.nullif(F.array_position(F.transform("_fwd", cond), F.lit(True)), F.lit(0).cast("bigint"))
-    df = df.withColumns({
-        "_up": first(lambda x: x >= F.col("peak_close") * (1 - upper)),
-        "_dn": first(lambda x: x <= F.col("close") * (1 - lower)),
-    })
+    # only numbers and dates are aggregated: such buffers are updated in place
+    df = around(keys, rows, "asset", "t", -lookback, window, ["close", "d"]).groupBy(*keys.columns).agg(
+        F.min(F.when((o < 0) & (x == F.col("peak_close")), F.col("_d"))).alias("peak_date"), F.max(F.when(o == F.col("_last"), x)).alias("recovery_close"),
+        F.min(F.when((o > 0) & (x >= F.col("peak_close") * (1 - upper)), o)).alias("_up"), F.min(F.when((o > 0) & (x <= c * (1 - lower)), o)).alias("_dn"),
+    )
     won = F.col("_up").isNotNull() & (F.col("_dn").isNull() | (F.col("_up") <= F.col("_dn")))
     lost = F.col("_dn").isNotNull() & ~won
     return df.select(
         "asset", "t", F.col("d").alias("dip_date"), "peak_date", c.alias("dip_low_close"), "peak_close", (c / F.col("peak_close") - 1).alias("drawdown_pct"),
-        F.element_at("_fwd", -1).alias("recovery_close"), F.when(won, 1).when(lost, 0).alias("label"),
+        "recovery_close", F.when(won, 1).when(lost, 0).alias("label"),
         F.when(won, f"recovery_{int(upper * 100)}pct_to_peak").when(lost, f"further_drawdown_{int(lower * 100)}pct").otherwise("ambiguous").alias("label_reason"),
         F.when(won, F.col("_up")).when(lost, F.col("_dn")).alias("days_to_label"), won.alias("recovered"),
     )

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog.registry import add_cte, query
 from panelspark.operators import hygiene as H, packets as PK, xsection as XS
-from panelspark.sources import normalize as N
-from panelspark.sources.files import materialize
+from panelspark.sources import normalize as N, packet_faults as PX, packet_files as PF
+from panelspark.sources.files import materialize, scratch
 from panelspark.sources.packets import CUTOFF, methodology_packets, moat_packets
 
 _T = ", ".join(f"('{k}', '{v[0][0]}', {v[1]})" for k, v in PK.SOURCE_TYPES.items())
@@ -56,12 +56,16 @@ def _(s):
     return PK.verify_artifact_hashes(refs.unionByName(gone), arts, None)
 
 
-@query("read_artifacts", "artifact_id n_bytes_ok:b")
+@query("read_artifacts", "artifact_id status", "", """
+    SELECT CAST(page_id AS VARCHAR) AS artifact_id, CASE WHEN page_id % 11 = 5 THEN 'unavailable' WHEN strlen(html) + 1 > 30000 THEN 'bytes_invalid' WHEN page_id % 7 = 3 THEN 'hash_mismatch' ELSE 'verified' END AS status FROM pages""")
 def _(s):
-    """The table files themselves as hashed artifacts."""
-    a = PK.read_artifacts(s.spark, s.path)
-    refs = a.select("artifact_id", F.coalesce(F.sha2("content", 256), F.lit("")).alias("sha256"))
-    return PK.verify_artifact_hashes(refs, a, None).select("artifact_id", F.col("status").isin("verified", "bytes_invalid").alias("n_bytes_ok"))
+    """Pages written as files, one each, against a manifest that is wrong for some and names files that are not there."""
+    p = s.table("pages").select(F.col("page_id").cast("string").alias("artifact_id"), "page_id", "html")
+    folder = scratch(s.spark, "artifacts")
+    p.filter("page_id % 11 <> 5").select(F.col("artifact_id").alias("artifact"), "html").write.partitionBy("artifact").text(folder)
+    written = F.concat("html", F.lit("\n"))  # a text file ends in a line feed
+    refs = p.select("artifact_id", F.when(F.col("page_id") % 7 == 3, F.sha2("html", 256)).otherwise(F.sha2(written, 256)).alias("sha256"))
+    return PK.verify_artifact_hashes(refs, PK.read_artifacts(s.spark, folder, r"artifact=([^/]+)/"), 30_000)
 
 
 add_cte("sbars", "daily assets", "SELECT sector, d, CAST((2 * sum(pv) + 100 * sum(qty)) // (200 * sum(qty)) AS DOUBLE) AS close FROM daily JOIN assets ON asset = lpad(CAST(l_suppkey AS VARCHAR), greatest(6, length(CAST(l_suppkey AS VARCHAR)))::INT, '0') GROUP BY 1, 2")
@@ -76,3 +80,28 @@ def _(s):
     ret = XS.strict_session_returns(bars, s.market(), "sector")
     gaps = H.registry_gaps(ret, registry, "sector").select("sector")
     return N.frame_digest(H.assert_complete(bars, ["close"]), "sector", "d", "close").join(ret, "sector").join(gaps, "sector", "left_anti").join(bad, "sector", "left").fillna(0, ["n_violations"]).drop("n_sessions")
+
+
+def _packet_files(s, lines, kind: str):
+    """Lines written as text files and read back through the schema check; written once more so that several readers share the parse."""
+    folder = scratch(s.spark, f"{kind}-packets")
+    lines.write.text(folder)
+    return materialize(PF.read_packets(s.spark, folder, kind), f"{kind}-parsed")
+
+
+def _expected(table: dict, key: str, source: str, parts: list[str]) -> str:
+    rows = ", ".join(f"({i}, '{c}')" for i, codes in enumerate(table.values()) for c in codes)
+    names = "[" + ", ".join(f"'{p}'" for p in parts) + "]"
+    return f"SELECT CAST({key} AS VARCHAR) AS packet_id, code || CASE WHEN code LIKE '%:' THEN {names}[({key} // {PX.SLOTS}) % {len(parts)} + 1] ELSE '' END AS code FROM {source} JOIN (VALUES {rows}) f(slot, code) ON {key} % {PX.SLOTS} = slot"
+
+
+query("moat_file_violations", "packet_id code", "", _expected(PX.MOAT, "o_orderkey", "orders", PK.DIMENSIONS))(
+    lambda s: PK.moat_violations(PF.judged(_packet_files(s, PX.moat_lines(s), "moat")), CUTOFF))
+query("methodology_file_violations", "packet_id code", "", _expected(PX.METHODOLOGY, "c_custkey", "customer", PK.PILLARS))(
+    lambda s: PK.methodology_violations(PF.judged(_packet_files(s, PX.methodology_lines(s), "methodology")), *_M))
+_Q = ", ".join(f"({list(PX.MOAT).index(k)}, '{v}')" for k, v in PX.QUARANTINE.items())
+_U = list(PX.MOAT).index("unknown_field")
+query("packet_quarantine", "reason n:i shortest:i", "", f"SELECT reason, count(*) AS n, CASE reason WHEN 'not_json' THEN 200 END AS shortest FROM orders JOIN (VALUES {_Q}) f(slot, reason) ON o_orderkey % {PX.SLOTS} = slot GROUP BY 1")(
+    lambda s: PF.quarantine(_packet_files(s, PX.moat_lines(s), "moat")).groupBy("reason").agg(F.count("*").alias("n"), F.when(F.col("reason") == "not_json", F.min(F.length("raw"))).alias("shortest")))
+query("packet_unknown_fields", "packet_id fields", "", f"SELECT CAST(o_orderkey AS VARCHAR) AS packet_id, '{','.join(sorted(['note', *(f'{d}.certainty' for d in PK.DIMENSIONS)]))}' AS fields FROM orders WHERE o_orderkey % {PX.SLOTS} = {_U}")(
+    lambda s: PF.judged(_packet_files(s, PX.moat_lines(s), "moat")).filter(F.size("unknown_fields") > 0).select("packet_id", F.array_join("unknown_fields", ",").alias("fields")))

@@ -117,51 +117,54 @@ def decode_block(block: bytes, table: Table, checkpoint: int | None = None) -> t
     return out[checkpoint * CHECK_STEPS * lanes : min(n, (checkpoint + 1) * CHECK_STEPS * lanes)], lengths
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one ordered partition -> ids with the end id, and how many ids of the partition stand before them."""
-    enc, last, row, before = encoder(path, spaced, 4), struct.pack("<I", end), 0, 0
+def _tokenize(batches: Iterator[pa.RecordBatch], path: str, spaced: bool, end: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows -> their ids with the end id; a last row of the task has no document but how often each id occurred, as (id, count) pairs."""
+    enc, last, dtype = encoder(path, spaced, width), end.to_bytes(width, "little"), f"<u{width}"
+    total, names = np.zeros(0, np.int64), ["doc", "digest", "ids", "counts"]
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             rows = batch.slice(a, 512)
             made = [enc.ids(t or "") + last for t in rows.column("body").to_pylist()]
-            sizes = np.array([len(m) // 4 for m in made], np.int64)
-            pos = before + np.cumsum(sizes) - sizes
-            cols = [pa.array(np.arange(row, row + len(made))), pa.array(pos), pa.array(sizes), pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("doc"), *cols], ["part", "doc", "row", "pos", "n", "ids"])
-            row, before = row + len(made), before + int(sizes.sum())
+            seen = np.bincount(np.frombuffer(b"".join(made), dtype))
+            if len(seen) > len(total):
+                seen, total = total, seen
+            total[: len(seen)] += seen
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("digest"), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], names)
+    at = np.flatnonzero(total)
+    pairs = np.stack([at, total[at]], axis=1).astype("<i8").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([pairs], pa.binary())], names)
 
 
-def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(size, np.int64)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            ids = b"".join(batch.column("ids").slice(a, 512).to_pylist())
-            total += np.bincount(np.frombuffer(ids, "<u4"), minlength=size)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        for raw in batch.column("counts").to_pylist():
+            pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["id", "n"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch], freq, offsets, block_ids: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a partition become blocks of about block_ids ids; a longer document is a block of its own."""
+def _encode(batches: Iterator[pa.RecordBatch], freq, block_ids: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of an ordered partition become blocks of about block_ids ids; a longer document is a block of its own. pos counts the partition's ids before."""
     table = Table(freq.value)
-    schema = pa.schema([("start", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("block", pa.binary())])
-    held, size, following = [], 0, None
+    schema = pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("block", pa.binary())])
+    held, size, pos = [], 0, 0
 
-    def block() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(h[1] for h in held), "<u4")
-        lengths = np.array([len(h[1]) // 4 for h in held], np.int64)
-        return pa.RecordBatch.from_pylist([{"start": held[0][2], "n_ids": len(ids), "docs": [h[0] for h in held], "block": encode_block(ids, lengths, table)}], schema)
+    def block(part: int) -> pa.RecordBatch:
+        ids = np.frombuffer(b"".join(h[1] for h in held), f"<u{width}")
+        lengths = np.array([len(h[1]) // width for h in held], np.int64)
+        return pa.RecordBatch.from_pylist([{"part": part, "pos": pos, "n_ids": len(ids), "docs": [h[0] for h in held], "block": encode_block(ids, lengths, table)}], schema)
 
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
-            for r in batch.slice(a, 512).to_pylist():
-                if held and (following != (r["part"], r["row"]) or size + r["n"] > block_ids):
-                    yield block()
-                    held, size = [], 0
-                held.append((r["doc"], r["ids"], offsets.value[r["part"]] + r["pos"]))
-                size, following = size + r["n"], (r["part"], r["row"] + 1)
+            rows = batch.slice(a, 512)
+            part = rows.column("part")[0].as_py()
+            for doc, ids in zip(rows.column("doc").to_pylist(), rows.column("ids").to_pylist()):
+                if held and size + len(ids) // width > block_ids:
+                    yield block(part)
+                    held, size, pos = [], 0, pos + size
+                held.append((doc, ids))
+                size += len(ids) // width
     if held:
-        yield block()
+        yield block(part)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], freq) -> Iterator[pa.RecordBatch]:
@@ -179,29 +182,36 @@ def _decode(batches: Iterator[pa.RecordBatch], freq) -> Iterator[pa.RecordBatch]
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, spaced: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 18
 ) -> None:
-    """Encode every text, append end_id and write folder/table (id, n) and folder/blocks (start, n_ids, docs, block).
+    """Encode every text, append end_id and write folder/table (id, n), folder/blocks (part, pos, n_ids, docs, block) and folder/parts (part, start).
 
-    Documents stand in ascending id order (null last, ties by text); start counts the ids of all documents before.
-    A null or empty text is the end id alone. Texts are range-shuffled and tokenised once; the ids land in the shared
-    folder, since the frequency table of the whole corpus (a row per id of the vocabulary, nothing else reaches
-    the driver but one total per partition) has to be known before the first block. Blocks share the table and nothing else.
+    Documents stand in ascending id order (null last, ties by a hash of the text); a block begins start + pos ids after the first.
+    A null or empty text is the end id alone. Texts are tokenised where they are read and counted in the same pass; ids, two bytes each
+    where the vocabulary allows, land in the shared folder, since the frequency table of the whole corpus (a row per id of the
+    vocabulary; nothing else reaches the driver but one total per partition) has to be known before the first block. Then ids
+    are range-shuffled by id and text hash, so rows without an id, or that share one, spread as well. Blocks share the table and nothing else.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
-    order = [F.asc_nulls_last("doc"), F.asc_nulls_first("body")]
-    ordered = d.repartitionByRange(common.shuffle_partitions(spark), order[0]).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc", "body")
-    made = ordered.mapInArrow(lambda it: _tokenize(it, tokenizer_path, spaced, end_id), "part int, doc long, row long, pos long, n long, ids binary")
+    width = 2 if max(end_id + 1, encoder(tokenizer_path, spaced, 4).tokenizer.get_vocab_size()) <= 1 << 16 else 4
+    d = docs.select(F.col(id_col).cast("long").alias("doc"), common.digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("body"))
+    made = d.mapInArrow(lambda it: _tokenize(it, tokenizer_path, spaced, end_id, width), "doc long, digest long, ids binary, counts binary")
     made = common.land(made, "tokens", compression="zstd")
-    totals = sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offsets, before = {}, 0
-    for part, n in totals:
-        offsets[part], before = before, before + n
-    size = 1 + max(end_id, encoder(tokenizer_path, spaced, 4).tokenizer.get_vocab_size())
-    counts = made.select("ids").mapInArrow(lambda it: _count(it, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = made.where("counts is not null").select("counts").mapInArrow(_pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{folder}/table")
-    freq, starts = spark.sparkContext.broadcast(_frequencies(spark, folder)), spark.sparkContext.broadcast(offsets)
-    blocks = made.mapInArrow(lambda it: _encode(it, freq, starts, block_ids), "start long, n_ids long, docs array<long>, block binary")
+    freq = spark.sparkContext.broadcast(_frequencies(spark, folder))
+    order = [F.asc_nulls_last("doc"), F.asc("digest")]
+    rows = made.where("counts is null").select("doc", "digest", "ids")
+    ordered = rows.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc", "ids")
+    blocks = ordered.mapInArrow(lambda it: _encode(it, freq, block_ids, width), BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    sizes = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    starts, before = [], 0
+    for r in sorted(sizes):
+        starts.append((r["part"], before))
+        before += r["n"]
+    spark.createDataFrame(starts, "part int, start long").coalesce(1).write.parquet(f"{folder}/parts")
+
+
+BLOCKS = "part int, pos long, n_ids long, docs array<long>, block binary"
 
 
 def _frequencies(spark: SparkSession, folder: str) -> np.ndarray:
@@ -214,7 +224,8 @@ def _frequencies(spark: SparkSession, folder: str) -> np.ndarray:
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc, start, n_tokens, ids as little-endian unsigned 32-bit numbers) of every document; blocks decode independently."""
     freq = spark.sparkContext.broadcast(_frequencies(spark, folder))
-    blocks = spark.read.schema("start long, n_ids long, docs array<long>, block binary").parquet(f"{folder}/blocks").select("start", "docs", "block")
+    parts = F.broadcast(spark.read.schema("part int, start long").parquet(f"{folder}/parts"))  # a row per partition of the writer
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").join(parts, "part").select((F.col("start") + F.col("pos")).alias("start"), "docs", "block")
     return blocks.mapInArrow(lambda it: _decode(it, freq), "doc long, start long, n_tokens long, ids binary")
 
 

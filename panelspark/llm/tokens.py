@@ -10,8 +10,8 @@ from array import array
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
 _TIGHT = ("  ", " \n", "\n ", "\n\n")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters, each its own composed and simply cased character, then marks that no scheme ties to a letter.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Latin letters, each its own composed and simply cased character, then ASCII punctuation, which every scheme takes as one run.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,7 +40,8 @@ class Encoder:
     A single space or line feed between characters that are not white space ends a pre-token: in the byte-level scheme
     (spaced) the space opens the next one and the line feed stands alone, in the word-end scheme both are dropped.
     Pieces cut there are encoded once each and remembered, Latin words by the model itself and all else by the whole
-    tokenizer. Texts with other white space are cut at single spaces only. At most `most` pieces are remembered.
+    tokenizer. A piece's word is remembered apart from the marks after it and, where the scheme lower-cases, from its case.
+    Texts with other white space are cut at single spaces only. At most `most` pieces and words are remembered.
     """
 
     def __init__(self, path: str, spaced: bool, width: int = 4, most: int = 800_000):
@@ -52,6 +53,7 @@ class Encoder:
             raise ValueError("the vocabulary does not fit the width")
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.marks = _Pieces(self._whole, 10_000)
+        self.words = _Pieces(self._word, most)
         self.inner = _Pieces(lambda p: self._piece(p, " " if spaced else ""), most)
         self.first = _Pieces(lambda p: self._piece(p, ""), most // 8)
         self.newline = self._whole("\n")
@@ -59,18 +61,16 @@ class Encoder:
     def _whole(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _piece(self, piece: str, lead: str) -> bytes:
-        word, marks = piece, ""
-        if not (piece.isascii() and piece.isalpha()):
-            plain = _PLAIN.fullmatch(piece)
-            if plain is None:
-                return self._whole(lead + piece)
-            word, marks = plain.groups()
-        if not self.spaced:
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.code, [t.id for t in self.model.tokenize(self.letters[32] + word if lead else word)]).tobytes()
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None:
+            return self._whole(lead + piece)
+        word, marks = plain.groups()
+        ids = self.words[lead + word if self.spaced else word.lower()]
         return ids + self.marks[marks] if marks else ids
 
     def _line(self, pieces: list[str]) -> bytes:

@@ -70,6 +70,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of df (case aside) has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def digest(text: Column) -> Column:
     """64 bits of a text, by which rows without an id, or that share one, are told apart; a missing text counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

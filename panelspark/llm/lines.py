@@ -57,21 +57,27 @@ def repeated_line_bitmaps(
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cut to the lines its bitmap keeps, plus n_lines and n_dropped (both long)."""
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.col("n_dropped").alias("__n"), F.col("keep_words").alias("__keep"))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text_col cut to the lines its bitmap keeps, plus two long columns: lines before, and lines dropped.
+
+    They are named by `counts`; columns of docs with these names would be lost, so they raise.
+    """
+    if {c.lower() for c in docs.columns} & {c.lower() for c in counts}:
+        raise ValueError(f"docs has a column named like one of {counts}")
+    key, mark, n, keep = common.spare(docs, "doc", "digest", "n", "keep")
+    body = F.coalesce(common.named(text_col), F.lit(""))
+    marks = bitmaps.select(F.col("doc").alias(key), F.col("digest").alias(mark), F.col("n_dropped").alias(n), F.col("keep_words").alias(keep))
     lines = F.split(body, "\n", -1)
-    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(body) == F.col("__digest")), "left")
-    keep = F.map_from_entries("__keep")
+    joined = docs.join(marks, common.named(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(body) == F.col(mark)), "left")
+    words = F.map_from_entries(keep)
 
     def stays(_line, i):
-        word = F.try_element_at(keep, F.floor(i / 64).cast("int"))
+        word = F.try_element_at(words, F.floor(i / 64).cast("int"))
         return word.isNull() | (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) != 0)
 
-    cut = F.when(F.col("__keep").isNull(), body).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    out = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(*out, cut.alias(text_col), F.size(lines).cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_dropped"))
+    cut = F.when(F.col(keep).isNull(), body).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    out = [cut.alias(c) if c == text_col else common.named(c) for c in docs.columns]
+    return joined.select(*out, F.size(lines).cast("long").alias(counts[0]), F.coalesce(n, F.lit(0)).cast("long").alias(counts[1]))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

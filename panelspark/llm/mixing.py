@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import common
@@ -69,9 +69,14 @@ def mix_schedule(
     return schedule.orderBy("finish", "doc", "pass", "uid"), placed.drop("start")
 
 
+def text_size(text: Column) -> Column:
+    """Words of a text; a missing one has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
+
+
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(uid, doc, source, size): size counts the words of the text, null has none. Landed, so uid is stable."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
+    size = text_size(F.col(text_col))
     return common.land(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
 
 

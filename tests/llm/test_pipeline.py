@@ -117,3 +117,33 @@ def test_rows_without_an_id_or_sharing_one_go_by_their_own_text(spark, tmp_path)
     assert sorted(r.text for r in passed.collect()) == sorted(t for _, t in rows if t != junk)
     kept = corpus_pipeline.near_dedup(spark, frame(spark, rows[:-2]), str(tmp_path)).collect()
     assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, a), (-1, b), (7, c), (3, d), (8, e)])
+
+
+def test_mixing_takes_each_row_for_itself(spark, tmp_path):
+    """Two rows share an id and two a whole text; the second source's only document is far above its target and stays all the same."""
+    rng = random.Random(6)
+    rows = [(1, words(rng, 50), "a"), (1, words(rng, 40), "a"), (2, words(rng, 30), "a"), (2, None, "a"), (3, "", "a")]
+    rows += [(3, rows[2][1], "a"), (3, rows[2][1], "a"), (None, words(rng, 20), "a"), (9, words(rng, 8000), "c"), (10, words(rng, 400), "b"), (11, words(rng, 10), None)]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    total, small = sum(sizes.values()), ("a", "b", None)
+    assert all(3 * sizes[s] < total * w / 13 for s, w in zip(small, (5, 2, 5)))  # three sources stop at three times their size
+    got = [(r.doc_id, r.text, r.source) for r in mixed]
+    want = [r for r in rows if r[1] and r[2] != "c" for _ in range(3)] + [rows[8]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stages_pass_columns_of_any_name(spark, folder):
+    names = ["n_lines", "N_dropped", "a.b", "doc", "digest", "uid", "times", "__doc", "x`y", "n", "keep"]
+    plain_docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain_docs
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, (docs["doc_id"] * 100 + k))
+    for (name, stage), in zip(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[5 + k] == (None if r.doc_id is None else r.doc_id * 100 + k) for r in rows for k in range(len(names))), name
+        assert sorted(map(str, (r[:5] for r in rows))) == sorted(map(str, (tuple(r) for r in stage(spark, plain_docs, folder).collect()))), name
+    assert corpus_pipeline.pack(spark, docs, folder).count() > 0

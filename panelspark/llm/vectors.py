@@ -21,13 +21,13 @@ def _matrix(column) -> np.ndarray:
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, others, nodes). rows: vec_id and two hashes of the vector for each usable row; others: the ids of the rest; nodes: one landed row
-    per distinct vector with rep (its smallest id), copies and vec. A row is usable if it has an id and a vector that is
-    not zero and whose components are all present and finite."""
+    per distinct vector with rep (a hash of it, so that vectors sharing an id are nodes of their own), low (its smallest id), copies and vec. A row is
+    usable if it has an id and a vector that is not zero and whose components are all present and finite."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("vec") > 0) & whole & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = v.where(usable).select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    nodes = rows.groupBy("h1", "h2").agg(F.min_by("vec", "vec_id").alias("vec"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min_by("vec", "vec_id").alias("vec"), F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.col("h1"))
     return rows.select("vec_id", "h1", "h2"), v.where(~usable).select("vec_id"), common.land(nodes, "vectors")
 
 
@@ -39,13 +39,21 @@ def _route(batches, pivots, overlap: int, probes: int):
         for dim in np.unique(dims).tolist():
             rows = batch.filter(pa.array(dims == dim))
             base, p = pivots.value[dim]
-            order = np.argsort(-(_matrix(rows.column("vec")) @ p.T), axis=1, kind="stable")[:, : max(overlap, probes)] + base
+            x, k = _matrix(rows.column("vec")), min(max(overlap, probes), len(p))
+            step = max(1, (1 << 22) // len(p))  # similarities to all pivots are held for so many rows at a time
+            order = np.concatenate([_nearest(x[a : a + step] @ p.T, k) for a in range(0, len(x), step)]) + base
             for rank in range(order.shape[1]):
                 for role in ([0] if rank == 0 else [1] if rank < overlap else []) + [2] * (rank < probes):
                     cols = [pa.array(order[:, rank]), pa.array(np.full(len(order), role, np.int8)), *(rows.column(c) for c in ("rep", "copies", "vec"))]
                     yield pa.RecordBatch.from_arrays(cols, ["shard", "role", "rep", "copies", "vec"])
 
 
+def _nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, best first, ties by position."""
+    top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _dealt(routed: DataFrame, cap: int) -> DataFrame:
     """Bound what one task holds: shards that own over cap vectors are cut into pieces by id and those with over 16 * cap queries into blocks.
 
@@ -132,7 +140,7 @@ def _components(links: DataFrame) -> DataFrame:
 
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 1024, max_pivots: int = 65_536,
-    overlap: int = 2, probes: int = 3, beam: int = 16, audit_rows: int = 512, recall: float = 0.95, tries: int = 3,
+    overlap: int = 2, probes: int = 3, beam: int = 16, audit_rows: int = 512, recall: float = 0.95, tries: int = 3, least: float = 0.9,
 ) -> DataFrame:
     """Per row: vec_id, n_links, component (smallest id reachable), audit_recall.
 
@@ -144,7 +152,7 @@ def near_duplicate_vectors(
     since only the shard that owns a vector reports it, and leave a task as counts and a spanning forest, never as all pairs.
 
     Recall is audited on hash-chosen nodes against all rows by brute force; while it is below `recall`, beam and probes double, at most `tries`
-    times. Rows with a null, zero or non-finite vector, or no id, have no links and are their own component; vectors of
+    times; what stays below `least` raises and is not returned. Rows that share an id are vectors of their own, also if the vectors are equal. Rows with a null, zero or non-finite vector, or no id, have no links and are their own component; vectors of
     different dimension never link.
     """
     spark = vectors.sparkSession
@@ -178,8 +186,12 @@ def near_duplicate_vectors(
         if reached >= recall or not left:
             break
         beam, probes = 2 * beam, 2 * probes
-    named = nodes.select("h1", "h2", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
-    named = named.select("h1", "h2", (F.coalesce("met", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    if reached < least:
+        raise RuntimeError(f"audited recall {reached:.3f} is below {least}: widen overlap, probes or beam")
+    lows = groups.join(nodes.select("rep", "low"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("low").alias("smallest"))
+    groups = groups.join(lows, "component").select("node", "smallest")
+    named = nodes.select("h1", "h2", "rep", "low", "copies").join(counts, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
+    named = named.select("h1", "h2", (F.coalesce("met", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "low").alias("component"))
     linked = rows.join(named, ["h1", "h2"]).select("vec_id", "n_links", "component")
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
     return linked.unionByName(alone).withColumn("audit_recall", F.lit(float(reached)))

@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelspark.llm import bwt, fmindex, graph, licenses, lines, mixing, packing, quality, rans, segments, simhash, tokens, vectors, words
@@ -235,7 +237,7 @@ def test_range_coding_round_trip():
 def test_piecewise_ids_equal_whole_texts(rows, name, spaced):
     e = tokens.Encoder(public.path(name), spaced, 4, most=50)
     odd = ["", " ", "a  b", " a", "a ", "a \nb\n\n\nc", "x<|endoftext|> y <|startoftext|>z", "don't  we'll IT'S", "é é ́x", "a\x1cb \x1c c\x85 d  e", "\t\t a", "ΣΑΣ Σ",
-           "a　b 　c", "É é. ÀÇß,, x!?", "İi", "a\nb c\n", "\na", "ÿ. Ÿ ª µ", "日本 語 🙂 x"]
+           "a　b 　c", "É é. ÀÇß,, x!?", "İi", "a\nb c\n", "\na", "ÿ. Ÿ ª µ", "日本 語 🙂 x", "a### b*** c_ d__ e-- f' g'' h'. i(j) k{ l| m~ n@ o% p\\ q^ r` Über!?*** x<| y</w>"]
     for t in odd + [t or "" for _, t, _ in rows]:
         assert np.frombuffer(e.ids(t), np.uint32).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
@@ -244,7 +246,8 @@ def test_token_files(spark, docs, none, rows, tmp_path):
     path = public.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
     want, before = [], 0
-    for d, text, _ in sorted(rows, key=lambda r: (plain.later(r[0]), r[1] or "")):
+    digest = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)
+    for d, text, _ in sorted(rows, key=lambda r: (plain.later(r[0]), digest(r[1]))):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         want.append((d, before, len(ids), plain.crc(ids)))
         before += len(ids)
@@ -412,3 +415,23 @@ def test_graph_reaches_every_node_and_finds_ranges():
     q, n = graph.range_search(x, graph.padded(near), medoid, x, np.full(len(x), -1), 0.95, 16)
     truth = x @ x.T >= 0.95
     assert truth[q, n].all() and len(set(zip(q.tolist(), n.tolist()))) == len(q) >= 0.9 * truth.sum()
+
+
+def test_vectors_that_share_an_id_are_nodes_of_their_own(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.001]), (7, [0.0, 1.0]), (7, [1.0, 0.0, 0.0]), (3, [0.001, 1.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (2, [-1.0, 0.0]), (2, [-1.0, 0.0005])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.n_links, r.component) for r in vectors.near_duplicate_vectors(v).collect()]
+    same(got, [(5, 3, 5), (5, 3, 5), (7, 1, 3), (7, 0, 7), (3, 1, 3), (9, 3, 5), (9, 3, 5), (2, 1, 2), (2, 1, 2)])
+
+
+def test_recall_below_the_bar_is_not_returned(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "_exact", lambda batches, audited, floor: iter([pa.RecordBatch.from_pydict({"rep": pa.array([1], pa.int64()), "n": pa.array([1000], pa.int64())})]))
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_duplicate_vectors(v, tries=1)
+
+
+def test_nearest_pivots():
+    near = np.random.default_rng(1).normal(size=(50, 9)).round(1)
+    assert (vectors._nearest(near, 4) == np.argsort(-near, axis=1, kind="stable")[:, :4]).mean() > 0.95
+    assert (vectors._nearest(near, 9) == np.argsort(-near, axis=1, kind="stable")).all()

@@ -16,9 +16,10 @@ ORACLE_SQL = None
 
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose id, a missing one included, and text are in keys(doc, digest)."""
-    keys = keys.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (common.digest(F.col("text")) == F.col("__digest"))
+    """Rows of docs whose id, a missing one included, and text are in keys(doc, digest). Any other columns pass, whatever their names."""
+    doc, digest = common.spare(docs, "doc", "digest")
+    keys = keys.select(F.col("doc").alias(doc), F.col("digest").alias(digest))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (common.digest(F.col("text")) == F.col(digest))
     return docs.join(keys, same, "left_semi")
 
 
@@ -30,10 +31,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a line in ten or more documents the first occurrence stays. Documents left without a word go, n_chars is counted anew."""
-    cut = lines.apply_bitmaps(docs, lines.repeated_line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True))
+    n_lines, n_dropped = common.spare(docs, "n_lines", "n_dropped")
+    cut = lines.apply_bitmaps(docs, lines.repeated_line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True), counts=(n_lines, n_dropped))
     left = cut.where(F.length(common.strip(F.col("text"))) > 0)
-    counted = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return left.select(*(counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns))
+
+    def column(c: str):
+        if c != "n_chars":
+            return common.named(c)
+        return F.when(F.col(n_dropped) > 0, F.char_length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+
+    return left.select(*map(column, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,17 +51,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = similar.similar_documents(docs, shingle=5, similarity=0.8, limit=7)
     first = F.min(F.struct(F.col("doc").isNull().alias("missing"), "doc", "digest")).alias("first")
     kept = found.groupBy("root").agg(first).select("first.doc", "first.digest")
-    once = _kept(docs, kept).withColumn("__digest", common.digest(F.col("text")))
-    return once.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    (digest,) = common.spare(docs, "digest")
+    once = _kept(docs, kept).withColumn(digest, common.digest(F.col("text")))
+    return once.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, as often as it takes them: words taken over size, rounded, so only the document at its source's target is rounded."""
-    sizes = mixing.document_sizes(docs)
-    taken = mixing.taken_words(sizes).select("doc", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
-    times = taken.groupBy("doc").agg(F.max("times").alias("__times")).where("__times > 0").withColumnRenamed("doc", "__doc")
-    mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Documents in the mix, as often as it takes them: words taken over size, rounded, so only the document at its source's target is rounded.
+
+    A source's first document in the mix is taken once at least, so no source with a target vanishes because one large document crosses it.
+    Every row has a number of its own, so rows that share an id or a text are taken each for itself.
+    """
+    uid, times = common.spare(docs, "uid", "times")
+    rows = common.land(docs.withColumn(uid, F.monotonically_increasing_id()), "mix")
+    size = mixing.text_size(F.col("text"))
+    sizes = rows.select(F.col(uid).alias("uid"), F.col("doc_id").alias("doc"), F.col("source"), size.alias("size"))
+    schedule, placed = mixing.mix_schedule(common.land(sizes, "sizes"))
+    taken = schedule.groupBy("uid").agg(F.sum("taken").alias("taken"), F.min("start").alias("first")).join(placed.select("uid", "size"), "uid")
+    often = F.greatest(F.round(F.col("taken") / F.col("size")), F.when(F.col("first") == 0, 1).otherwise(0)).cast("int")
+    mixed = rows.join(taken.select(F.col("uid").alias(uid), often.alias(times)).where(F.col(times) > 0), uid)
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return mixed.withColumn(times, copies).select(*map(common.named, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

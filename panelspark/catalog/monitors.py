@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.scalars import padded
 from panelspark.catalog.registry import add_cte, query
+from panelspark.sources import files
 from panelspark.sources.files import scratch
 from panelspark.streaming import monitors as MO
 
@@ -41,18 +42,18 @@ add_cte("dipal", "raw5", """
     FROM (SELECT *, coalesce(f5, 0) AS f, coalesce(i5, 0) AS i, greatest(coalesce(market_cap, 0) * 1e-6, 2e6) AS th FROM raw5) WHERE d1 < -0.05 OR d5 < -0.1""")
 query("dip_alerts", "asset d:d today_close:2 dip_1d_pct:8 dip_5d_pct:8 flow_threshold:1 verdict confidence severity", "dipal", "SELECT * FROM dipal")(
     lambda s: MO.dip_alerts(s.bars(), s.flow(), s.mcap(), portfolio(s), flow_share=1e-6, flow_min=2e6))
-query("dip_alert_summary", "verdict severity n:i", "dipal", "SELECT verdict, severity, count(*) AS n FROM dipal GROUP BY 1, 2")(
-    lambda s: MO.alert_summary(MO.dip_alerts(s.bars(), s.flow(), s.mcap(), portfolio(s), flow_share=1e-6, flow_min=2e6), ["verdict", "severity"]))
+_SET = {"dip_1d": MO.DIP_1D, "dip_5d": MO.DIP_5D, "flow_share": 1e-6, "flow_min": 2e6}
+query("dip_alert_summary", "verdict severity n:i dip_1d:4 dip_5d:4 flow_share:9 flow_min:1", "dipal", "SELECT verdict, severity, count(*) AS n, -0.05 AS dip_1d, -0.1 AS dip_5d, 1e-6 AS flow_share, 2e6 AS flow_min FROM dipal GROUP BY 1, 2")(
+    lambda s: MO.alert_summary(MO.dip_alerts(s.bars(), s.flow(), s.mcap(), portfolio(s), **_SET), ["verdict", "severity"], _SET))
 
 
-@query("dip_alert_stream", "asset d:d today_close:2 dip_1d_pct:8 dip_5d_pct:8", "bars", """
-    SELECT * FROM (SELECT asset, d, close AS today_close, close / lag(close) OVER w - 1 AS dip_1d_pct, min(low) OVER v / max(high) OVER v - 1 AS dip_5d_pct FROM bars WINDOW w AS (PARTITION BY asset ORDER BY d), v AS (PARTITION BY asset ORDER BY d ROWS 4 PRECEDING))
-    WHERE dip_1d_pct < -0.05 OR dip_5d_pct < -0.1""")
+@query("dip_alert_stream", "asset d:d today_close:2 dip_1d_pct:8 dip_5d_pct:8 flow_threshold:1 verdict confidence severity", "dipal", "SELECT * FROM dipal")
 def _(s):
-    src = scratch(s.spark, "bars")
-    b = s.bars().select("asset", "d", "close", "low", "high")
-    b.write.parquet(src)
-    return MO.run_dip_alerts(MO.stream_of(s.spark, src, b.schema))
+    """Bars and flows land as files, which a stream takes as three batches or more; the last days of each third come late."""
+    src = scratch(s.spark, "days")
+    days = s.bars().select("asset", "d", "close", "low", "high").join(s.flow().select("asset", "d", "foreign_net", "inst_net"), ["asset", "d"], "full_outer")
+    files.materialize(days, "all-days").repartition(3).write.parquet(src)
+    return MO.dip_alert_stream(MO.stream_of(s.spark, src, days.schema, 1), s.mcap(), portfolio(s), **_SET)
 
 
 _TICK = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -78,8 +79,9 @@ query("sessions", "asset start_ts end_ts ticks:i amount:2", "ticks", f"""
 
 @query("dip_alerts_scored", "asset dip_date:d p:6 verdict")
 def _(s):
-    from panelspark.catalog.models import _dips, dip_columns
+    """Every dip, judged by the model another job has published."""
+    from panelspark.catalog.episodes import dip_panel
+    from panelspark.catalog.models import dip_store
     from panelspark.operators import models as M
 
-    dips = _dips(s)
-    return M.dip_classifier_scores(dips, dip_columns(dips), trees=5, n_folds=5).withColumn("verdict", MO.scored_verdict(F.col("p")))
+    return M.scored_dips(dip_panel(s), dip_store(s)).withColumn("verdict", MO.scored_verdict(F.col("p")))

@@ -7,6 +7,7 @@ from panelspark.functions.scalars import padded
 from panelspark.catalog.registry import query
 from panelspark.functions import scalars as X
 from panelspark.sources import calendars as K, files, normalize as N
+from panelspark.sources.star import MACRO_SERIES
 
 
 @query("read_dated_snapshots", "asset snapshot_date:d market", "presence", "SELECT * FROM presence")
@@ -145,7 +146,7 @@ def _(s):
     return o.withColumn("back", X.format_period(F.col("obs"), F.col("cycle")))
 
 
-_WIDE = ["usd_krw", "kr_pmi", "vix"]
+_WIDE = [n for n, _ in MACRO_SERIES]
 
 
 @query("series_to_daily_wide", "d:d " + " ".join(f"{n}:9" for n in _WIDE), "macro",
@@ -179,12 +180,18 @@ def _(s):
     return last.select("session", X.previous_month_end(F.col("session")).alias("previous_month_end"), X.previous_business_day(F.col("session")).alias("previous_business_day"))
 
 
-@query("union_events", "asset rcept_no event_category aqpln_prc_ostk:0 div_mth stkrt_irds:2", "disc",
-       "SELECT asset, rcept_no, event_category, aqpln_prc_ostk, div_mth, stkrt_irds FROM disc WHERE event_category IN ('treasury_buyback', 'spinoff', 'major_holders')")
+_FIELDS = {  # what each category reports beyond its receipt
+    "treasury_buyback": ["aqpln_prc_ostk"], "capital_increase": ["nstk_ostk_qy", "bdis_pric", "ic_mthn"], "bonus_issue": [], "treasury_sell": ["dppln_prc_ostk"], "convertible_bond": ["bd_fta"], "warrant_bond": ["bd_fta"],
+    "insider_holdings": ["bsis_stkqy", "aft_stkqy", "trade_uv"], "major_holders": ["stkrt_irds"], "merger": [], "spinoff": ["div_mth"], "capital_reduction": [],
+}
+_EVENT = "asset rcept_no rcept_dt:d event_category aqpln_prc_ostk:0 dppln_prc_ostk:0 bd_fta:0 nstk_ostk_qy:0 bdis_pric:2 ic_mthn div_mth bsis_stkqy:0 aft_stkqy:0 trade_uv:2 stkrt_irds:2"
+
+
+@query("union_events", _EVENT, "disc", "SELECT * FROM disc")
 def _(s):
-    d = s.disclosures()
-    pick = lambda c, col: d.filter(F.col("event_category") == c).select("asset", "rcept_no", col)
-    return N.union_events({"treasury_buyback": pick("treasury_buyback", "aqpln_prc_ostk"), "spinoff": pick("spinoff", "div_mth"), "major_holders": pick("major_holders", "stkrt_irds")})
+    """One table per category, each with its own columns, stacked again."""
+    d = files.materialize(s.disclosures(), "disclosures")
+    return N.union_events({c: d.filter(F.col("event_category") == c).select("asset", "rcept_no", "rcept_dt", *cols) for c, cols in _FIELDS.items()})
 
 
 @query("receipt_date", "rcept_no known:d", "disc", "SELECT rcept_no, rcept_dt AS known FROM disc")
@@ -233,14 +240,21 @@ def _(s):
     return N.enrich_name(s.keys(), _corp_map(s))
 
 
-@query("append_dedup", "asset rcept_dt:d rcept_no", "disc", """
-    SELECT asset, rcept_dt, max(rcept_no) AS rcept_no FROM disc d WHERE event_category = 'merger' GROUP BY 1, 2 UNION ALL
-    SELECT asset, rcept_dt, max(rcept_no) FROM disc d WHERE event_category IN ('spinoff', 'bonus_issue') AND
-      NOT EXISTS (SELECT 1 FROM disc e WHERE e.event_category = 'merger' AND e.asset = d.asset AND e.rcept_dt = d.rcept_dt) GROUP BY 1, 2""")
+@query("append_dedup", "asset rcept_dt:d rcept_no event_category", "disc", """
+    SELECT asset, rcept_dt, max(rcept_no) AS rcept_no, arg_max(event_category, rcept_no) AS event_category FROM disc WHERE rcept_dt < DATE '1996-07-01' GROUP BY 1, 2 UNION ALL
+    SELECT asset, rcept_dt, max(rcept_no), arg_max(event_category, rcept_no) FROM disc WHERE rcept_dt >= DATE '1996-07-01' GROUP BY 1, 2""")
 def _(s):
+    """A store of the first years, to which all events from half a year before its end on are added."""
     d, key = s.disclosures().select("asset", "rcept_dt", "rcept_no", "event_category"), ["asset", "rcept_dt"]
-    old = N.keep_last(d.filter(F.col("event_category") == "merger"), key, [F.col("rcept_no")])
-    return N.append_dedup(old, d.filter(F.col("event_category").isin("spinoff", "bonus_issue")), key, [F.col("rcept_no")])
+    old = N.keep_last(d.filter("rcept_dt < date'1996-07-01'"), key, [F.col("rcept_no")])
+    return N.append_dedup(old, d.filter("rcept_dt >= date'1996-01-01'"), key, [F.col("rcept_no")])
+
+
+@query("corp_map_coverage", "n_rows:i n_mapped:i n_issuers:i n_issuers_mapped:i", "fund assets", """
+    SELECT count(*) AS n_rows, count(*) FILTER (exchange = 'KOSPI') AS n_mapped, count(DISTINCT f.asset) AS n_issuers, count(DISTINCT f.asset) FILTER (exchange = 'KOSPI') AS n_issuers_mapped FROM fund f JOIN assets a ON f.asset = a.asset""")
+def _(s):
+    panel = s.fundamentals().select(padded(F.col("asset"), 8).alias("corp_code"), "year", "reprt_code")
+    return N.corp_coverage(N.map_corp_to_asset(panel, _corp_map(s)))
 
 
 @query("frame_digest", "asset n:i digest", "bars", "SELECT asset, count(*) AS n, sha256(string_agg(CAST(d AS VARCHAR) || '=' || CAST(CAST(round(close * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY d)) AS digest FROM bars GROUP BY 1")

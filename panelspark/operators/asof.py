@@ -71,8 +71,12 @@ def asof_snapshot(snapshots: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def outer_align(panels: list[DataFrame], on: str = "d") -> DataFrame:
-    """Full outer alignment of several date-keyed panels with distinct columns."""
-    return reduce(lambda a, b: a.join(b, on, "full_outer"), panels)
+    """Full outer alignment of several date-keyed panels with distinct columns and a row a date each.
+
+    The panels are stacked and every column is taken from the one panel that has it: one shuffle, combined map-side, whatever the number of panels.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), panels)
+    return stacked.groupBy(on).agg(*[F.max(c).alias(c) for c in stacked.columns if c != on])
 
 
 def ffill_daily(panel: DataFrame, cols: list[str], on: str = "d") -> DataFrame:

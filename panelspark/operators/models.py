@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -54,6 +55,18 @@ def folds_of(panel: DataFrame, n_folds: int, embargo: int) -> list[int]:
 
 def scored_folds(panel: DataFrame, features: list[str], label: str, n_folds: int = 5, embargo: int = 9, trees: int = 10, depth: int = 3, out: str = "p", min_positives: int = 1) -> DataFrame:
     """Test rows of every usable fold scored by a model fitted on that fold's train rows."""
+    one = lambda train, test: predict(fit_tree(train, label, trees, depth), test, out)
+    return _by_fold(panel, features, label, n_folds, embargo, out, min_positives, one)
+
+
+def ensemble_folds(panel: DataFrame, features: list[str], label: str, n_folds: int = 5, embargo: int = 9, trees: int = 10, depth: int = 3, min_positives: int = 1) -> DataFrame:
+    """The same with the blend of three models, fitted anew for every fold."""
+    blend = lambda train, test: Ensemble.fit(train, features, label, trees, depth).predict(test)
+    return _by_fold(panel, features, label, n_folds, embargo, "p", min_positives, blend)
+
+
+def _by_fold(panel: DataFrame, features: list[str], label: str, n_folds: int, embargo: int, out: str, min_positives: int, score) -> DataFrame:
+    """score(train, test) of each usable fold, both with the assembled features; a fold with one class alone, or too few positives, scores 0."""
     base = materialize(panel.select("asset", "rd", label, *features), "folds")
     roles = LB.fold_dates(base, n_folds, embargo)
     parts = []
@@ -65,7 +78,7 @@ def scored_folds(panel: DataFrame, features: list[str], label: str, n_folds: int
         if not n_pos or n_pos < min_positives or n_pos == n:
             parts.append(test.withColumn(out, F.lit(0.0)))
         else:
-            parts.append(predict(fit_tree(train, label, trees, depth), test, out))
+            parts.append(score(train, test))
     keep = ["asset", "rd", "fold", label, out]
     return reduce(lambda a, b: a.unionByName(b), [p.select(*keep) for p in parts])
 
@@ -131,22 +144,44 @@ class Ensemble:
 
     @classmethod
     def fit(cls, train: DataFrame, features: list[str], label: str, trees: int = 10, depth: int = 3):
-        x = balanced(assemble(train, features), label).withColumn("_y", F.col(label).cast("double"))
+        x = balanced(train if "_x" in train.columns else assemble(train, features), label).withColumn("_y", F.col(label).cast("double"))
         tree = _tree(label, trees, depth).fit(x)
         ranker = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_wt", maxIter=trees, maxDepth=depth, seed=SEED, predictionCol="_rk").fit(x)
         logit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_wt", standardization=True, maxIter=50, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd").fit(x)
         return cls(tree, ranker, logit, features)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        x = predict(self.tree, assemble(df, self.features), "p_tree")
+        x = predict(self.tree, df if "_x" in df.columns else assemble(df, self.features), "p_tree")
         x = predict(self.logit, self.ranker.transform(x), "p_logit").drop("_x")
         r = percentile_ranks(x, ["rd"], ["asset"], ["_rk"], null_fill=None)
         return r.withColumn("p", 0.5 * F.col("p_tree") + 0.4 * F.col("_rk_rank") + 0.1 * F.col("p_logit")).drop("_rk", "_rk_rank")
 
 
-def dip_classifier_scores(panel: DataFrame, features: list[str], label: str = "label", n_folds: int = 3, embargo: int = 60, trees: int = 10) -> DataFrame:
-    """.7 boosted + .3 random forest on labelled dips, purged by event date; test rows with p."""
+def filled_columns(df: DataFrame, features: list[str], max_null: float) -> list[str]:
+    """The features with no more than max_null of their values missing; a name per column reaches the driver."""
+    from panelspark.operators.hygiene import null_rates
+
+    kept = {r["feature"] for r in null_rates(df, features).filter(F.col("null_rate") <= max_null).collect()}
+    return [f for f in features if f in kept]
+
+
+def fit_dip_model(x: DataFrame, label: str, trees: int = 10) -> dict:
+    """A boosted classifier and a random forest on assembled rows."""
+    wt = balanced(x, label)
+    rf = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_wt", numTrees=20, maxDepth=5, seed=SEED, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd").fit(wt)
+    return {"tree": _tree(label, trees, 3).fit(wt), "forest": rf}
+
+
+def score_dips(models: dict, x: DataFrame) -> DataFrame:
+    """Assembled rows with p = .7 tree + .3 forest."""
+    both = predict(models["forest"], predict(models["tree"], x, "_a"), "_b")
+    return both.withColumn("p", 0.7 * F.col("_a") + 0.3 * F.col("_b")).drop("_a", "_b")
+
+
+def dip_classifier_scores(panel: DataFrame, features: list[str], label: str = "label", n_folds: int = 3, embargo: int = 60, trees: int = 10, max_null: float = 0.70) -> DataFrame:
+    """Labelled dips, purged by event date: test rows of each fold with p. Columns with too many missing values are left out."""
     base = materialize(panel.filter(F.col(label).isNotNull()).select("asset", F.col("dip_date").alias("rd"), F.col(label).cast("int").alias(label), *features), "dips")
+    features = filled_columns(base, features, max_null)
     roles = LB.fold_dates(base, n_folds, embargo)
     parts = []
     for k in folds_of(base, n_folds, embargo):
@@ -155,14 +190,64 @@ def dip_classifier_scores(panel: DataFrame, features: list[str], label: str = "l
         n_pos, n = train.agg(F.sum(label), F.count(F.lit(1))).first()
         if not n_pos or n_pos == n:
             parts.append(test.withColumn("p", F.lit(float(bool(n_pos)))))
-            continue
-        wt = balanced(train, label)
-        rf = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_wt", numTrees=20, maxDepth=5, seed=SEED, probabilityCol="_pr", rawPredictionCol="_raw", predictionCol="_pd").fit(wt)
-        both = predict(rf, predict(_tree(label, trees, 3).fit(wt), test, "_a"), "_b")
-        parts.append(both.withColumn("p", 0.7 * F.col("_a") + 0.3 * F.col("_b")))
+        else:
+            parts.append(score_dips(fit_dip_model(train, label, trees), test))
     return reduce(lambda a, b: a.unionByName(b), [p.select("asset", F.col("rd").alias("dip_date"), "fold", label, "p") for p in parts])
 
 
+def dip_model_job(panel: DataFrame, features: list[str], store: ModelStore, engine_version: str = "1", label: str = "label", trees: int = 10, max_null: float = 0.70) -> int:
+    """Fit on every labelled dip and publish the models with what they were trained on; returns the version."""
+    base = materialize(panel.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias(label), *features), "dip-model")
+    n_pos, n = base.agg(F.sum(label), F.count(F.lit(1))).first()
+    if not n_pos or n_pos == n:
+        raise ValueError(f"{n_pos or 0} of {n} dips are positive; both classes are needed")
+    kept = filled_columns(base, features, max_null)
+    return store.publish("dip", engine_version, kept, fit_dip_model(assemble(base, kept), label, trees), n, n_pos)
+
+
+def scored_dips(panel: DataFrame, store: ModelStore, engine_version: str = "1", version: int | None = None) -> DataFrame:
+    """Dips, labelled or not, scored by a published model; refused if it was made by another engine or needs a column the panel lacks."""
+    features, models = store.load("dip", engine_version, version)
+    missing = [f for f in features if f not in panel.columns]
+    if missing:
+        raise ValueError(f"the model needs columns the panel lacks: {missing}")
+    return score_dips(models, assemble(panel, features)).drop("_x")
+
+
+class ModelStore:
+    """Published models below a folder and a table of their versions; a version counts once its row is in the table."""
+
+    SCHEMA = "name string, version int, engine_version string, feature_cols array<string>, parts array<string>, n_rows bigint, n_positive bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def versions(self) -> DataFrame:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).json(f"{self.path}/versions")
+
+    def publish(self, name: str, engine_version: str, features: list[str], models: dict, n_rows: int, n_positive: int) -> int:
+        version = 1 + (self.versions().filter(F.col("name") == name).agg(F.max("version")).first()[0] or 0)
+        for part, model in models.items():
+            PipelineModel([model]).write().save(f"{self.path}/{name}/{version}/{part}")
+        row = (name, version, engine_version, features, list(models), n_rows, n_positive)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        return version
+
+    def load(self, name: str, engine_version: str, version: int | None = None) -> tuple[list[str], dict]:
+        """(features, models) of a version, the newest unless one is named."""
+        found = self.versions().filter(F.col("name") == name)
+        rows = (found.filter(F.col("version") == version) if version is not None else found.orderBy(F.desc("version"))).limit(1).collect()
+        if not rows:
+            raise ValueError(f"no published model {name!r}")
+        row = rows[0]
+        if row.engine_version != engine_version:
+            raise ValueError(f"model {name!r} version {row.version} was made by engine {row.engine_version}, not {engine_version}")
+        return list(row.feature_cols), {p: PipelineModel.load(f"{self.path}/{name}/{row.version}/{p}").stages[0] for p in row.parts}
+
+
 def adversarial_validation(panel: DataFrame, in_test: Column, features: list[str], trees: int = 10, min_rows: int = 50) -> DataFrame:
     """How well a classifier tells test from train rows: area under the curve and the drifting features."""
     base = materialize(panel.select("asset", "rd", in_test.cast("int").alias("y"), *features), "adversarial")
@@ -218,6 +303,18 @@ def return_vectors(bars: DataFrame, sessions: DataFrame, lookback: int = 180, ma
     return a.select("asset", "return_60d", "return_20d", array_to_vector(F.transform("_v", lambda v: (v - F.col("_mu")) / F.col("_sd"))).alias("x"))
 
 
-def discover_clusters(vectors: DataFrame, k: int) -> DataFrame:
+def discover_clusters(vectors: DataFrame, k: int, noise: float | None = None) -> DataFrame:
+    """vectors with `cluster`; with `noise`, members farther from their centre than `noise` times the root mean square of the cluster have none."""
+    from pyspark.ml.functions import vector_to_array
+
     v = materialize(vectors, "vectors")
-    return KMeans(k=k, seed=SEED, featuresCol="x", predictionCol="cluster", maxIter=20).fit(v).transform(v).drop("x")
+    model = KMeans(k=k, seed=SEED, featuresCol="x", predictionCol="cluster", maxIter=20).fit(v)
+    out = model.transform(v)
+    if noise is None:
+        return out.drop("x")
+    centres = v.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, _c array<double>")  # k rows
+    square = F.aggregate(F.zip_with(vector_to_array("x"), "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    out = materialize(out.join(centres, "cluster").withColumn("_d", square).drop("x", "_c"), "clusters")
+    spread = out.groupBy("cluster").agg(F.avg("_d").alias("_m"))
+    far = F.col("_d") > F.col("_m") * noise * noise
+    return out.join(spread, "cluster").withColumn("cluster", F.when(~far, F.col("cluster"))).drop("_d", "_m")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.sources.files import materialize
+
 SAMPLE_EVERY = 4096  # one distinct value in this many is sampled to place the cuts
 VALUES_PER_RANGE = 16  # sampled values per range: about 65,000 distinct values are ordered together
 
@@ -80,11 +82,25 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Add `out` = average-tie rank / non-null count; NULL values get NULL."""
-    pos = value_positions(df, keys, value).select(
-        *_nn(keys), value, ((F.col("lt") + (F.col("eq") + 1) / 2.0) / F.col("n")).alias(out)
-    )
-    return df.join(pos, [*keys, value], "left")
+    """Add `out` = average-tie rank / non-null count; NULL values get NULL.
+
+    Heavy values, those with more than a quarter of a partition's share of all rows, are found by count; there can be no more than
+    four a partition, so their ranks are broadcast and their rows stay where they are. The other rows meet their rank by
+    value, and no value among them has enough rows to fill a task; rows of heavy values and NULLs pass that shuffle spread by their content.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rank = ((F.col("lt") + (F.col("eq") + 1) / 2.0) / F.col("n")).alias(out)
+    # the constant is written with the rest: as a literal it would be folded out of the join's keys
+    pos = materialize(value_positions(df, keys, value).select(*_nn(keys), value, "eq", F.lit(0).alias("_spread"), rank), "positions")
+    total = pos.agg(F.sum("eq")).first()[0] or 0
+    often = F.col("eq") > max(1, total // (4 * n))
+    heavy = F.broadcast(pos.filter(often).select(*_nn(keys), value, F.col(out).alias("_heavy")))
+    light = pos.filter(~often).select(*_nn(keys), value, "_spread", F.col(out).alias("_light"))
+    found = df.join(heavy, [*keys, value], "left")
+    spread = F.when(F.col(value).isNotNull() & F.col("_heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(4 * n)).cast("int"))
+    found = found.withColumn("_spread", spread).join(light, [*keys, value, "_spread"], "left")
+    return found.select(*[F.col(c) for c in df.columns], F.coalesce("_heavy", "_light").alias(out))
 
 
 def unpivot(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -28,6 +30,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_state(spark: SparkSession, *paths: str) -> str:
+    """A digest of names, sizes and times of the files below the paths: it changes when anything is added, replaced or taken away."""
+    found = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+#: Folders of landed tables by application, name and state of the input.
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, name: str, state: str, build: Callable[[str], None]) -> str:
+    """The folder build(folder) filled for this name and input state; built anew in each application and for each state."""
+    key = (spark.sparkContext.applicationId, name, state)
+    if key not in _LANDED:
+        folder = scratch(spark, name)
+        build(folder)
+        _LANDED[key] = folder
+    return _LANDED[key]
+
+
 def read_dated_snapshots(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Stack per-date snapshot files; the date is the eight digits before `.parquet` in the path.
 

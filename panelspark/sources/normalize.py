@@ -80,6 +80,12 @@ def map_corp_to_asset(panel: DataFrame, corp_map: DataFrame) -> DataFrame:
     return panel.join(corp_map.select("corp_code", "asset"), "corp_code", "left")
 
 
+def corp_coverage(mapped: DataFrame) -> DataFrame:
+    """How many rows and issuers of a mapped panel found an asset."""
+    issuers = mapped.groupBy("corp_code").agg(F.count(F.lit(1)).alias("n"), F.count("asset").alias("m"))
+    return issuers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_mapped"), F.count(F.lit(1)).alias("n_issuers"), F.count_if(F.col("m") > 0).alias("n_issuers_mapped"))
+
+
 def enrich_name(df: DataFrame, corp_map: DataFrame) -> DataFrame:
     names = corp_map.select("asset", F.col("name").alias("_n"))
     base = df.drop("name")

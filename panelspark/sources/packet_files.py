@@ -21,7 +21,7 @@ def read_packets(spark: SparkSession, path: str, kind: str, whole_files: bool =
     schema, part = KINDS[kind]
     parsed_type = spark.createDataFrame([], schema).schema
     known = parsed_type[part].dataType.valueType.fieldNames()
-    lines = spark.read.option("wholetext", whole_files).option("recursiveFileLookup", "true").text(path)
+    lines = spark.read.text(path, wholetext=whole_files, recursiveFileLookup=True)
     lines = lines.select(F.trim("value").alias("raw")).filter(F.col("raw") != "")
     corrupt = T.StructType([*parsed_type.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}

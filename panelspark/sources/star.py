@@ -7,12 +7,14 @@ integer cents and are therefore independent of the order of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.rolling import running, series
 from panelspark.functions.scalars import padded
 from panelspark.operators.asof import asof
-from panelspark.sources.files import scratch
+from panelspark.sources.files import input_state, landed
 
 # Event categories in catalog order.
 EVENT_CATEGORIES = [
@@ -52,13 +54,9 @@ def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
 
-#: Folder of the landed (supplier, day) table by application and input path.
-_DAILY: dict[tuple[str, str], str] = {}
-
-
 class Star:
-    """Accessors; each call returns a plan. Line items are read once per session and path: the (supplier, day)
-    table lands in the shared folder and every accessor of bars, calendars and keys reads that."""
+    """Accessors; each call returns a plan. Line items are read once for each state of the input: the (supplier, day)
+    table lands in the shared folder and every accessor of bars, calendars, keys and flows reads that."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -66,29 +64,32 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def landed(self, name: str, tables: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+        """build() written once for each state of the tables it reads."""
+        state = input_state(self.spark, *[f"{self.path}/{t}.parquet" for t in tables])
+        return self.spark.read.parquet(landed(self.spark, name, state, lambda folder: build().write.parquet(folder)))
+
     def _daily(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.path)
-        if key not in _DAILY:
-            folder = scratch(self.spark, "daily")
-            self._line_items_by_day().write.parquet(folder)
-            _DAILY[key] = folder
-        return self.spark.read.parquet(_DAILY[key])
+        return self.landed("daily", ["lineitem", "part"], self._line_items_by_day)
 
     def _line_items_by_day(self) -> DataFrame:
         li = self.table("lineitem").select(
-            "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag",
-            F.to_date("l_shipdate").alias("d"),
+            "l_partkey", "l_suppkey", "l_returnflag",
+            F.to_date("l_shipdate").alias("d"), _cents("l_extendedprice").alias("amt"),
+            F.when(F.col("l_linestatus") == "O", 1).when(F.col("l_linestatus") == "F", -1).alias("sgn"),
             (100 - _cents("l_discount")).alias("keep"),
             _cents("l_tax").alias("tax"),
             F.col("l_quantity").cast("bigint").alias("qty"),
         )
         part = self.table("part").select("p_partkey", _cents("p_retailprice").alias("rp"))
         px = li.join(part, li.l_partkey == part.p_partkey).withColumn("px4", F.col("rp") * F.col("keep"))
+        signed = lambda flag, c: F.sum(F.when(F.col("l_returnflag") == flag, F.col("sgn") * F.col(c)).otherwise(0))
         return px.groupBy("l_suppkey", "d").agg(
             F.sum(F.col("px4") * F.col("qty")).alias("pv"),
             F.sum("qty").alias("qty"),
             F.max(F.col("px4") * (200 + F.col("tax"))).alias("hi"),
             F.min(F.col("px4") * (200 - F.col("tax"))).alias("lo"),
+            F.count("sgn").alias("n_flow"), signed("A", "amt").alias("f"), signed("R", "amt").alias("i"), signed("A", "qty").alias("fq"), F.sum(F.col("sgn") * F.col("qty") * F.col("sgn")).alias("q"),
         )
 
     def bars(self) -> DataFrame:
@@ -193,15 +194,7 @@ class Star:
 
     def flow(self) -> DataFrame:
         """(asset, d, foreign_net, inst_net, individual_net, holding_pct)."""
-        li = self.table("lineitem").filter(F.col("l_linestatus").isin("O", "F")).select(
-            "l_suppkey", F.to_date("l_shipdate").alias("d"), "l_returnflag",
-            F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("sgn"),
-            _cents("l_extendedprice").alias("amt"), F.col("l_quantity").cast("bigint").alias("qty"),
-        )
-        pick = lambda flag, c: F.sum(F.when(F.col("l_returnflag") == flag, F.col("sgn") * F.col(c)).otherwise(0))
-        day = li.groupBy("l_suppkey", "d").agg(
-            pick("A", "amt").alias("f"), pick("R", "amt").alias("i"), pick("A", "qty").alias("fq"), F.sum("qty").alias("q")
-        )
+        day = self._daily().filter("n_flow > 0")
         w = running(series("l_suppkey"))
         return day.select(
             asset_id(F.col("l_suppkey")).alias("asset"), "d",

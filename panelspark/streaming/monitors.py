@@ -64,8 +64,9 @@ def scored_verdict(p: Column, hold: float = 0.65, sell: float = 0.40) -> Column:
     return F.when(p >= hold, "HOLD").when(p < sell, "SELL").otherwise("REDUCE_50")
 
 
-def alert_summary(alerts: DataFrame, by: list[str]) -> DataFrame:
-    return alerts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+def alert_summary(alerts: DataFrame, by: list[str], thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Counts by the given columns; the thresholds the alerts were raised under are told beside them."""
+    return alerts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumns({k: F.lit(float(v)) for k, v in (thresholds or {}).items()})
 
 
 # ticks -----------------------------------------------------------------------------------------
@@ -152,25 +153,65 @@ def dips(bars: DataFrame) -> DataFrame:
                        (F.min("low").over(five) / F.max("high").over(five) - 1).alias("dip_5d_pct"))
 
 
-def run_dip_alerts(bars: DataFrame, name: str = "dip-alerts") -> DataFrame:
-    """Dips from a stream of daily bars that may come in any order and in any number of batches.
+BUCKETS = 64
+_ROW = ["asset", "d", "close", "low", "high", "foreign_net", "inst_net"]
 
-    A batch's bars join those kept so far of the same assets; bars from the asset's first new date on are judged again and
-    written as a new version, so a late bar corrects what followed it. The last version of each bar counts.
+
+def judged_days(days: DataFrame) -> DataFrame:
+    """Days (a bar, a flow, or both of an asset and date) -> each bar with its falls and the sums of the last five flows."""
+    w = series("asset")
+    bar, five = F.col("close").isNotNull(), w.rowsBetween(-4, 0)
+    b = dips(days.filter(bar))
+    flow = days.filter(F.col("foreign_net").isNotNull() | F.col("inst_net").isNotNull())
+    sums = flow.select("asset", "d", *[F.when(F.count(f"{k}_net").over(five) >= 1, F.sum(f"{k}_net").over(five)).alias(f"{k}_net_5d") for k in ("foreign", "inst")])
+    return b.join(sums, ["asset", "d"], "left")
+
+
+def run_dip_alerts(days: DataFrame, name: str = "dip-alerts") -> DataFrame:
+    """Dips from a stream of daily bars and flows that may come in any order and in any number of batches.
+
+    days has (asset, d, close, low, high, foreign_net, inst_net), bars or flows missing where there are none; rows of one asset and date count as one.
+    State is the tail of each asset: its last five bars and five flows. A batch is judged against the tails alone. Only assets
+    for which a day comes late are judged anew from their first late day on, from the history kept in one of 64 buckets, of which only
+    those with late assets are read. Each batch writes the bars it judged as a version; the last version of each bar counts.
     """
-    spark, out = bars.sparkSession, scratch(bars.sparkSession, name)
-    cols = ["asset", "d", "close", "low", "high"]
-    kept_schema = bars.select(*cols).schema
-    schema = T.StructType([*dips(spark.createDataFrame([], kept_schema)).schema.fields, T.StructField("_version", T.LongType())])
+    spark, out = days.sparkSession, scratch(days.sparkSession, name)
+    kept = T.StructType([days.schema[c] for c in _ROW])
+    schema = T.StructType([*judged_days(spark.createDataFrame([], kept)).schema.fields, T.StructField("_version", T.LongType())])
+    one = lambda df: df.groupBy("asset", "d").agg(*[F.max(c).alias(c) for c in _ROW[2:]])
+
+    def tails(df: DataFrame) -> DataFrame:
+        """The last five bars and the last five flows of each asset."""
+        nth = lambda cond: F.sum(cond.cast("int")).over(Window.partitionBy("asset").orderBy(F.desc("d")))
+        bar, flow = F.col("close").isNotNull(), F.col("foreign_net").isNotNull() | F.col("inst_net").isNotNull()
+        return df.withColumns({"_b": nth(bar), "_f": nth(flow)}).filter((bar & (F.col("_b") <= 5)) | (flow & (F.col("_f") <= 5))).select(*_ROW)
 
     def judge(batch: DataFrame, version: int) -> None:
-        batch.select(*cols).write.mode("overwrite").parquet(f"{out}/bars/batch={version}")
-        new = spark.read.schema(kept_schema).parquet(f"{out}/bars/batch={version}")
-        since = new.groupBy("asset").agg(F.min("d").alias("since"))
-        kept = spark.read.schema(kept_schema).option("recursiveFileLookup", "true").parquet(f"{out}/bars")
-        judged = dips(kept.join(since.select("asset"), "asset", "left_semi").dropDuplicates(["asset", "d"])).join(since, "asset").where("d >= since")
-        judged.drop("since").withColumn("_version", F.lit(version)).write.mode("overwrite").parquet(f"{out}/data/batch={version}")
-
-    bars.select(*cols).writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(judge).trigger(availableNow=True).start().awaitTermination()
-    last = _latest(spark, f"{out}/data", schema, ["asset", "d"])
-    return last.filter((F.col("dip_1d_pct") < DIP_1D) | (F.col("dip_5d_pct") < DIP_5D))
+        folder = f"{out}/days/batch={version}"
+        one(batch.select(*_ROW)).withColumn("bucket", F.pmod(F.xxhash64("asset"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        new = spark.read.schema(kept).parquet(folder).select(*_ROW)
+        state = spark.read.schema(kept).parquet(f"{out}/tail/version={version - 1}") if version else spark.createDataFrame([], kept)
+        last = state.groupBy("asset").agg(F.max("d").alias("last"))
+        since = new.groupBy("asset").agg(F.min("d").alias("since")).join(last, "asset", "left").withColumn("late", F.coalesce(F.col("since") <= F.col("last"), F.lit(False)))
+        since.write.mode("overwrite").parquet(f"{out}/since/version={version}")
+        since = spark.read.parquet(f"{out}/since/version={version}")
+        late = since.filter("late").select("asset")
+        buckets = [r[0] for r in late.select(F.pmod(F.xxhash64("asset"), F.lit(BUCKETS))).distinct().collect()]  # 64 numbers at most
+        on_time = state.join(since.filter("not late").select("asset"), "asset", "left_semi").unionByName(new.join(late, "asset", "left_anti"))
+        if buckets:
+            history = spark.read.schema(T.StructType([*kept.fields, T.StructField("bucket", T.LongType())])).option("basePath", f"{out}/days").parquet(f"{out}/days")
+            again = one(history.filter(F.col("bucket").isin(buckets) & (F.col("batch") <= version)).select(*_ROW).join(late, "asset", "left_semi"))
+            on_time = on_time.unionByName(again)
+        judged = judged_days(on_time).join(since.select("asset", "since"), "asset").filter("d >= since").drop("since")
+        judged.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{out}/data/batch={version}")
+        untouched = state.join(since.select("asset"), "asset", "left_anti")
+        tails(on_time).unionByName(untouched).write.mode("overwrite").parquet(f"{out}/tail/version={version}")
+
+    days.select(*_ROW).writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(judge).trigger(availableNow=True).start().awaitTermination()
+    return _latest(spark, f"{out}/data", schema, ["asset", "d"])
+
+
+def dip_alert_stream(days: DataFrame, mcap: DataFrame, portfolio: DataFrame, name: str = "dip-alerts", **thresholds) -> DataFrame:
+    """The verdicts of dip_alerts from a stream of days; sizes and holdings are the static side."""
+    held = run_dip_alerts(days.join(portfolio.select("asset"), "asset", "left_semi"), name)
+    return dip_verdict(asof(held, mcap, ["asset"], "d", "snapshot_date", ["market_cap"]), **thresholds)

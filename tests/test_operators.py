@@ -5,14 +5,16 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from panelspark.functions import scalars as X
 from panelspark.functions.ewm import add_ewm
 from panelspark.functions.feature_groups import GROUPS, with_feature_group
-from panelspark.operators import asof as A, dip_features as D, episodes as EP, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, portfolio as P, regime as RG, technical as T, themes as TH, universe as U
+from panelspark.operators import asof as A, dip_features as D, episodes as EP, evaluation as EV, events as E, flow as FL, fundamental as FU, hygiene as H, labels as LB, models as M, packets as PK, portfolio as P, regime as RG, technical as T, themes as TH, universe as U
 from panelspark.operators.around import around
-from panelspark.sources.star import asset_id
+from panelspark.sources import packet_faults as PX, packet_files as PF
+from panelspark.sources.star import Star, asset_id
 from panelspark.streaming import monitors as MO
 
 
@@ -251,20 +253,31 @@ def test_assert_complete_raises(spark):
 
 @pytest.mark.parametrize("files", [None, 1])
 def test_dip_stream_across_batches(spark, tmp_path, files):
-    """Bars in any order and any number of batches give what one batch gives."""
-    pdf = bars_of(21, 80)[["asset", "d", "close", "low", "high"]]
-    days = sorted(pdf.d.unique())
-    src = tmp_path / "bars"
-    for i in (40, 0, 60, 20):
-        spark.createDataFrame(pdf[pdf.d.isin(days[i:i + 20])]).coalesce(1).write.mode("append").parquet(str(src))
-    schema = spark.read.parquet(str(src)).schema
-    out = MO.run_dip_alerts(MO.stream_of(spark, str(src), schema, files)).toPandas()
-    want = []
-    for a, g in pdf.groupby("asset"):
-        one = g.close / g.close.shift(1) - 1
-        five = g.low.rolling(5, min_periods=1).min() / g.high.rolling(5, min_periods=1).max() - 1
-        want += [(a, d) for d in g.d[(one < MO.DIP_1D) | (five < MO.DIP_5D)]]
-    assert sorted(zip(out.asset, out.d)) == sorted(want)
+    """Bars and flows in any order and any number of batches give the verdicts that all of them at once give."""
+    pdf = bars_of(21, 80, ("A", "B", "C"))
+    rng = np.random.default_rng(4)
+    pdf["foreign_net"], pdf["inst_net"] = rng.normal(0, 4e8, len(pdf)).round(), rng.normal(0, 4e8, len(pdf)).round()
+    pdf.loc[pdf.index % 7 == 3, ["foreign_net", "inst_net"]] = np.nan
+    pdf["part"] = rng.permutation(len(pdf)) % 3 if files else 0
+    late = pdf[(pdf.asset == "A") & (pdf.index % 80 >= 30) & (pdf.index % 80 < 35)].index
+    pdf["part"] = pdf["part"].where(pdf.asset == "C", (pdf.index % 80) // 20)
+    pdf.loc[late, "part"] = 4
+    schema = "asset string, d date, close double, low double, high double, foreign_net double, inst_net double"
+    cols = [c.split()[0] for c in schema.split(", ")]
+    rows = lambda g: spark.createDataFrame([tuple(None if v != v else v for v in r) for r in g[cols].itertuples(index=False)], schema)
+    src = tmp_path / "days"
+    for k in sorted(pdf.part.unique()):
+        rows(pdf[pdf.part == k]).coalesce(1).write.mode("append").parquet(str(src))
+    mcap = spark.createDataFrame([(a, dt.date(2019, 12, 31), 3e11) for a in "AC"] + [("A", dt.date(2020, 3, 1), 9e11)], "asset string, snapshot_date date, market_cap double")
+    held = spark.createDataFrame([("A",), ("C",)], "asset string")
+    out = ["asset", "d", "dip_1d_pct", "dip_5d_pct", "foreign_net_5d", "inst_net_5d", "flow_threshold", "verdict", "confidence", "severity"]
+    got = MO.dip_alert_stream(MO.stream_of(spark, str(src), schema, files), mcap, held).select(*out).collect()
+    whole = rows(pdf)
+    flow = whole.filter("foreign_net is not null").withColumn("individual_net", F.lit(0.0))
+    want = MO.dip_alerts(whole, flow, mcap, held).select(*out).collect()
+    plain = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert len(want) > 5 and len({r.verdict for r in want}) == 3
+    assert sorted(map(plain, got), key=str) == sorted(map(plain, want), key=str)
 
 
 @pytest.mark.parametrize("files", [None, 1])
@@ -385,3 +398,89 @@ def test_bar_features_against_pandas(spark):
         assert (r.f_vol_post_dip_5d_vs_dip_day is None) == (t == 329)
         if t < 329:
             assert np.isclose(r.f_vol_post_dip_5d_vs_dip_day, v[t + 1:t + 6].mean() / v[t])
+
+
+def test_outer_align_shuffles_once(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, None)], "d int, x double")
+    b = spark.createDataFrame([(2, "b"), (3, "c")], "d int, y string")
+    c = spark.createDataFrame([(1, 5), (4, 6)], "d int, z int")
+    out = A.outer_align([a, b, c])
+    assert sorted(map(tuple, out.collect())) == [(1, 1.0, None, 5), (2, None, "b", None), (3, None, "c", None), (4, None, None, 6)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_landed_tables_follow_their_input(spark, tmp_path):
+    days = lambda n, at: spark.createDataFrame([(at + k, k % 3, "A", "O", dt.date(2020, 1, 1 + at + k), 0.05, 0.02, 10.0, 100.0) for k in range(n)],
+        "l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate date, l_discount double, l_tax double, l_quantity double, l_extendedprice double")
+    spark.createDataFrame([(k, 100.0) for k in range(20)], "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    days(6, 0).write.parquet(f"{tmp_path}/lineitem.parquet")
+    star = Star(spark, str(tmp_path))
+    assert star.bars().count() == 6 and star.flow().count() == 6
+    days(4, 6).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    assert star.bars().count() == 10 and Star(spark, str(tmp_path)).flow().count() == 10
+
+
+def test_cluster_summary_lists_themes_and_leaves_noise_out(spark):
+    assets = spark.createDataFrame([("a", 1, 0.5, 0.1, 10.0), ("b", 1, 0.7, None, 30.0), ("c", 1, None, 0.3, None), ("d", 2, 0.1, 0.1, 5.0), ("e", None, 9.0, 9.0, 9.0)],
+                                   "asset string, cluster int, return_60d double, return_20d double, mcap double")
+    themes = spark.createDataFrame([("T1", "a"), ("T2", "a"), ("T2", "b"), ("T2", "b"), ("T1", "c"), ("T0", "e")], "theme string, asset string")
+    out = {r.cluster: r for r in EV.cluster_summary(assets, themes, top=2).collect()}
+    assert sorted(out) == [1, 2]
+    assert (out[1].n_members, out[1].primary_theme, out[1].themes, out[1].leaders, out[1].median_mcap) == (3, "T1", "T1:2,T2:2", "b,a", 20.0)
+    assert (out[2].primary_theme, out[2].themes) == ("unnamed", None)
+
+
+def test_far_members_of_a_cluster_are_noise(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"a{k}", [float(v) for v in rng.normal(0 if k < 40 else 50, 1, 4)]) for k in range(80)] + [("far", [30.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "asset string, x array<double>").select("asset", array_to_vector("x").alias("x"))
+    out = {r.asset: r.cluster for r in M.discover_clusters(v, 2, noise=3.0).collect()}
+    assert out["far"] is None and len({out[f"a{k}"] for k in range(40)}) == 1 and len({out[f"a{k}"] for k in range(80)}) == 2
+    assert {r.cluster for r in M.discover_clusters(v, 2).collect()} == {0, 1}
+
+
+def test_published_models_are_read_back_or_refused(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"a{k}", int(k % 2), float(k % 2 + rng.normal(0, 0.3)), float(rng.normal()), None) for k in range(200)]
+    dips = spark.createDataFrame(rows, "asset string, label int, f_x double, f_y double, f_empty double")
+    store = M.ModelStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="no published model"):
+        M.scored_dips(dips, store)
+    assert M.dip_model_job(dips, ["f_x", "f_y", "f_empty"], store, trees=3) == 1
+    assert M.dip_model_job(dips.filter("label is not null"), ["f_x"], store, "2", trees=3) == 2
+    assert [(r.version, r.engine_version, list(r.feature_cols), r.n_rows, r.n_positive) for r in store.versions().orderBy("version").collect()] == [(1, "1", ["f_x", "f_y"], 200, 100), (2, "2", ["f_x"], 200, 100)]
+    got = M.scored_dips(dips.withColumn("label", F.lit(None).cast("int")), store, version=1).collect()
+    side = {int(r.asset[1:]) % 2: [] for r in got}
+    for r in got:
+        side[int(r.asset[1:]) % 2].append(r.p)
+    assert np.mean(side[1]) > 0.8 and np.mean(side[0]) < 0.2
+    with pytest.raises(ValueError, match="made by engine 2"):
+        M.scored_dips(dips, store)
+    with pytest.raises(ValueError, match="lacks: .'f_x'"):
+        M.scored_dips(dips.drop("f_x"), store, "2")
+    with pytest.raises(ValueError, match="both classes"):
+        M.dip_model_job(dips.filter("label = 1"), ["f_x"], store)
+
+
+def test_packets_from_files(spark, tmp_path):
+    good = '{"packet_id": "p1", "schema": "moat-quality-v2", "extra": {"a": 1}, "dimensions": {"pricing_power": {"assessment": 0.4, "mood": 1, "evidence": [{"evidence_id": "e"}]}}}'
+    lines = [good, '{"packet_id": "p2", "dimensions": {"pricing_power": {"assessment": "much"}}}', '{"packet_id": "p3", "dim', "[1, 2]", "7", '{"schema": "x"}', '{"packet_id": " "}', "", "  "]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text("\n".join(lines))
+    got = PF.read_packets(spark, str(tmp_path / "lines"), "moat")
+    ok = {r.packet_id: r for r in PF.judged(got).collect()}
+    assert sorted(ok) == ["p1", "p2"] and ok["p1"].unknown_fields == ["extra", "pricing_power.mood"] and ok["p2"].unknown_fields == []
+    assert ok["p1"].dimensions["pricing_power"].assessment == 0.4 and ok["p2"].dimensions["pricing_power"].assessment is None
+    assert sorted((r.reason, r.raw) for r in PF.quarantine(got).collect()) == sorted([("not_json", lines[2]), ("packet_object", "[1, 2]"), ("packet_object", "7"), ("packet_id", lines[5]), ("packet_id", lines[6])])
+    for k, text in enumerate(["{\n" + good[1:], good[:40]]):
+        (tmp_path / f"whole{k}.json").write_text(text)
+    whole = PF.read_packets(spark, f"{tmp_path}/whole*.json", "moat", whole_files=True)
+    assert sorted((r.packet_id or "", r.reason or "") for r in whole.collect()) == [("", "not_json"), ("p1", "")]
+    codes = {(r.packet_id, r.code) for r in PK.moat_violations(PF.judged(got), "2030-01-01T00:00:00Z").collect()}
+    assert {("p2", "assessment:pricing_power"), ("p2", "evidence_required:pricing_power"), ("p1", "dimension_set"), ("p1", "evidence_direction")} <= codes
+
+
+def test_every_rule_has_a_fault(spark):
+    plain = lambda table: {c.split(":")[0] for codes in table.values() for c in codes}
+    assert len(plain(PX.MOAT)) == 42 and len(plain(PX.METHODOLOGY)) == 39
+    assert max(len(PX.MOAT), len(PX.METHODOLOGY)) < PX.SLOTS

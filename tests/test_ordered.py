@@ -92,3 +92,23 @@ def test_many_distinct_values_and_many_ties(spark):
     assert (w.n, w.m, w.d) == (1_000_000, 999_999, 1_000_000)
     t = {r.v: (r.lt, r.eq, r.n) for r in pos.filter("g = 't'").collect()}
     assert t[0.0] == (0, 99_001, 100_000) and t[100.0] == (99_001, 1, 100_000) and len(t) == 1000
+
+
+def test_ties_stay_spread_over_tasks(spark):
+    """One value holds nearly all rows of its group, nulls as many again: ranks are right and no task gets them all."""
+    rows = [(f"a{k}", "g", 7.0 if k % 100 else float(k)) for k in range(8000)] + [(f"n{k}", "g", None) for k in range(8000)]
+    pdf = pd.DataFrame(rows, columns=["asset", "rd", "x"])
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = O.average_rank(spark.createDataFrame(rows, "asset string, rd string, x double").repartition(4), ["rd"], "x", "r")
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().toPandas()
+        got = out.toPandas().set_index("asset")["r"].astype(float)
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert sizes["count"].max() < 0.4 * len(rows)
+    want = pdf["x"].rank(pct=True)
+    want.index = pdf["asset"]
+    assert np.allclose(got.sort_index(), want.sort_index(), equal_nan=True)

@@ -196,22 +196,26 @@ def dip_classifier_scores(panel: DataFrame, features: list[str], label: str = "l
 
 
 def dip_model_job(panel: DataFrame, features: list[str], store: ModelStore, engine_version: str = "1", label: str = "label", trees: int = 10, max_null: float = 0.70) -> int:
-    """Fit on every labelled dip and publish the models with what they were trained on; returns the version."""
+    """Fit on every labelled dip and publish the models with what they were trained on; returns the version.
+
+    Where all dips have one label there is nothing to tell apart: the version has no parts and scores that label.
+    """
     base = materialize(panel.filter(F.col(label).isNotNull()).select(F.col(label).cast("int").alias(label), *features), "dip-model")
     n_pos, n = base.agg(F.sum(label), F.count(F.lit(1))).first()
-    if not n_pos or n_pos == n:
-        raise ValueError(f"{n_pos or 0} of {n} dips are positive; both classes are needed")
+    if not n:
+        raise ValueError("no dip has a label")
     kept = filled_columns(base, features, max_null)
-    return store.publish("dip", engine_version, kept, fit_dip_model(assemble(base, kept), label, trees), n, n_pos)
+    models = fit_dip_model(assemble(base, kept), label, trees) if 0 < n_pos < n else {}
+    return store.publish("dip", engine_version, kept, models, n, n_pos)
 
 
 def scored_dips(panel: DataFrame, store: ModelStore, engine_version: str = "1", version: int | None = None) -> DataFrame:
     """Dips, labelled or not, scored by a published model; refused if it was made by another engine or needs a column the panel lacks."""
-    features, models = store.load("dip", engine_version, version)
+    features, models, positive = store.load("dip", engine_version, version)
     missing = [f for f in features if f not in panel.columns]
     if missing:
         raise ValueError(f"the model needs columns the panel lacks: {missing}")
-    return score_dips(models, assemble(panel, features)).drop("_x")
+    return score_dips(models, assemble(panel, features)).drop("_x") if models else panel.withColumn("p", F.lit(float(positive)))
 
 
 class ModelStore:
@@ -236,8 +240,8 @@ class ModelStore:
         self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").json(f"{self.path}/versions")
         return version
 
-    def load(self, name: str, engine_version: str, version: int | None = None) -> tuple[list[str], dict]:
-        """(features, models) of a version, the newest unless one is named."""
+    def load(self, name: str, engine_version: str, version: int | None = None) -> tuple[list[str], dict, bool]:
+        """(features, models, whether any row it was fitted on was positive) of a version, the newest unless one is named."""
         found = self.versions().filter(F.col("name") == name)
         rows = (found.filter(F.col("version") == version) if version is not None else found.orderBy(F.desc("version"))).limit(1).collect()
         if not rows:
@@ -245,7 +249,7 @@ class ModelStore:
         row = rows[0]
         if row.engine_version != engine_version:
             raise ValueError(f"model {name!r} version {row.version} was made by engine {row.engine_version}, not {engine_version}")
-        return list(row.feature_cols), {p: PipelineModel.load(f"{self.path}/{name}/{row.version}/{p}").stages[0] for p in row.parts}
+        return list(row.feature_cols), {p: PipelineModel.load(f"{self.path}/{name}/{row.version}/{p}").stages[0] for p in row.parts}, row.n_positive > 0
 
 
 def adversarial_validation(panel: DataFrame, in_test: Column, features: list[str], trees: int = 10, min_rows: int = 50) -> DataFrame:

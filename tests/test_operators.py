@@ -458,8 +458,10 @@ def test_published_models_are_read_back_or_refused(spark, tmp_path):
         M.scored_dips(dips, store)
     with pytest.raises(ValueError, match="lacks: .'f_x'"):
         M.scored_dips(dips.drop("f_x"), store, "2")
-    with pytest.raises(ValueError, match="both classes"):
-        M.dip_model_job(dips.filter("label = 1"), ["f_x"], store)
+    with pytest.raises(ValueError, match="no dip has a label"):
+        M.dip_model_job(dips.filter("label > 1"), ["f_x"], store)
+    assert M.dip_model_job(dips.filter("label = 1"), ["f_x"], store) == 3
+    assert {r.p for r in M.scored_dips(dips, store).collect()} == {1.0}
 
 
 def test_packets_from_files(spark, tmp_path):

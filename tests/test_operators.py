@@ -486,3 +486,19 @@ def test_every_rule_has_a_fault(spark):
     plain = lambda table: {c.split(":")[0] for codes in table.values() for c in codes}
     assert len(plain(PX.MOAT)) == 42 and len(plain(PX.METHODOLOGY)) == 39
     assert max(len(PX.MOAT), len(PX.METHODOLOGY)) < PX.SLOTS
+
+
+def test_packet_files_are_compressed_and_parsed_in_place(spark, tmp_path, monkeypatch):
+    from panelspark.catalog import packets as C
+
+    rows = spark.range(130).select((F.col("id") + 1).alias("o_orderkey"), F.lit(7).cast("bigint").alias("o_custkey"), F.lit("1996-01-02").cast("date").alias("o_orderdate"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(C, "scratch", lambda spark, name: str(tmp_path / name))
+    s = Star(spark, str(tmp_path))
+    lines = PX.moat_lines(s)
+    got = C._packet_files(s, lines, "moat")
+    files = got.inputFiles()
+    assert files and all("moat-packets" in f and f.endswith(".gz") for f in files)
+    assert got.count() == 130
+    written = sum(p.stat().st_size for p in (tmp_path / "moat-packets").glob("*.gz"))
+    assert written * 4 < lines.agg(F.sum(F.length("value"))).first()[0]

@@ -502,3 +502,11 @@ def test_packet_files_are_compressed_and_parsed_in_place(spark, tmp_path, monkey
     assert got.count() == 130
     written = sum(p.stat().st_size for p in (tmp_path / "moat-packets").glob("*.gz"))
     assert written * 4 < lines.agg(F.sum(F.length("value"))).first()[0]
+
+
+def test_risk_on_the_edge_of_a_tier(spark):
+    """A physical spin-off counts 0.2 x 0.7 = 0.14; the product of the two doubles is less."""
+    day = dt.date(2020, 1, 10)
+    events = spark.createDataFrame([("A", day, "spinoff", "물적분할", None)], "asset string, rcept_dt date, event_category string, div_mth string, dppln_prc_ostk long")
+    uni = spark.createDataFrame([("A", dt.date(2020, 1, 31), 1e9, False)], "asset string, rd date, market_cap double, group_flag boolean")
+    assert E.governance_scores(events, uni).first().governance_risk_score == 0.14

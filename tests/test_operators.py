@@ -510,3 +510,8 @@ def test_risk_on_the_edge_of_a_tier(spark):
     events = spark.createDataFrame([("A", day, "spinoff", "물적분할", None)], "asset string, rcept_dt date, event_category string, div_mth string, dppln_prc_ostk long")
     uni = spark.createDataFrame([("A", dt.date(2020, 1, 31), 1e9, False)], "asset string, rd date, market_cap double, group_flag boolean")
     assert E.governance_scores(events, uni).first().governance_risk_score == 0.14
+
+
+def test_receipt_numbers_of_more_digits(spark):
+    df = spark.createDataFrame([("19950102000007",), ("199501021234567",), ("1995010212345",), ("1995010200000x",), ("19951302000007",)], "s string")
+    assert [r[0] for r in df.select(X.receipt_date(F.col("s"))).collect()] == [dt.date(1995, 1, 2), dt.date(1995, 1, 2), None, None, None]

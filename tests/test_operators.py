@@ -515,3 +515,10 @@ def test_risk_on_the_edge_of_a_tier(spark):
 def test_receipt_numbers_of_more_digits(spark):
     df = spark.createDataFrame([("19950102000007",), ("199501021234567",), ("1995010212345",), ("1995010200000x",), ("19951302000007",)], "s string")
     assert [r[0] for r in df.select(X.receipt_date(F.col("s"))).collect()] == [dt.date(1995, 1, 2), dt.date(1995, 1, 2), None, None, None]
+
+
+def test_yield_alone_is_no_valuation(spark):
+    keys = spark.createDataFrame([("A", 1), ("B", 1), ("C", 1)], "asset string, rd int")
+    v = spark.createDataFrame([("A", 1, None, None, 0.0), ("B", 1, None, 2.0, 0.0)], "asset string, rd int, per double, pbr double, dividend_yield double")
+    got = {r.asset: (r.pbr, r.dividend_yield) for r in FU.valuation_snapshot(keys, v).collect()}
+    assert got == {"A": (None, None), "B": (2.0, 0.0), "C": (None, None)}

@@ -522,3 +522,17 @@ def test_yield_alone_is_no_valuation(spark):
     v = spark.createDataFrame([("A", 1, None, None, 0.0), ("B", 1, None, 2.0, 0.0)], "asset string, rd int, per double, pbr double, dividend_yield double")
     got = {r.asset: (r.pbr, r.dividend_yield) for r in FU.valuation_snapshot(keys, v).collect()}
     assert got == {"A": (None, None), "B": (2.0, 0.0), "C": (None, None)}
+
+
+def test_features_of_every_bar_equal_those_at_dips(spark):
+    pdf = bars_of(7, 300)
+    pdf["close"] = pdf["close"].mask(pdf.index % 40 == 7, 100.0)
+    bars = spark.createDataFrame(pdf)
+    at = {(r.asset, r.d): r for r in D.bar_features(bars, bars.select("asset", F.col("d").alias("dip_date"))).collect()}
+    for every, names in [(D.price_features(bars), D.PRICE), (D.volume_features(bars), D.VOLUME)]:
+        rows = every.collect()
+        assert len(rows) == len(at) == 600
+        for r in rows:
+            for n in names:
+                x, y = r[n], at[r.asset, r.d][n]
+                assert (x is None) == (y is None) and (x is None or np.isclose(x, y, rtol=1e-6, atol=1e-6)), (n, r)

@@ -536,3 +536,26 @@ def test_features_of_every_bar_equal_those_at_dips(spark):
             for n in names:
                 x, y = r[n], at[r.asset, r.d][n]
                 assert (x is None) == (y is None) and (x is None or np.isclose(x, y, rtol=1e-6, atol=1e-6)), (n, r)
+
+
+def test_dip_panel_is_built_once_for_a_state_of_the_input(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from panelspark.catalog import load
+
+    load()
+    from panelspark.catalog import episodes as C
+
+    class Tables(Star):
+        bars = flow = market = disclosures = lambda self: None
+
+    for t in ("lineitem", "part", "orders", "supplier"):
+        spark.range(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    built = []
+    monkeypatch.setattr(C, "D", SimpleNamespace(dip_feature_panel=lambda *a: built.append(1) or spark.range(3)))
+    monkeypatch.setattr(C, "T", SimpleNamespace(realized_vol=lambda m: None))
+    for name in ("dips", "_risk"):
+        monkeypatch.setattr(C, name, lambda s: None)
+    assert [C.dip_panel(Tables(spark, str(tmp_path))).count() for _ in range(2)] == [3, 3] and len(built) == 1
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    assert C.dip_panel(Tables(spark, str(tmp_path))).count() == 3 and len(built) == 2

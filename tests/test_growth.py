@@ -61,6 +61,15 @@ def test_rolling_by_rungs(spark):
     np.testing.assert_array_equal(m.n, g.count().values)
 
 
+def test_no_long_frames(spark):
+    """No moving frame of more than seven rows is gone through row by row."""
+    s = Star(spark, SF)
+    keys = s.keys()
+    for df in (FL.ticker_flow_signals(s.flow()), T.bollinger(s.bars()), T.volume_stats(s.bars()), T.extremes_52w(s.bars()), U.avg_trading_value(s.bars(), keys)):
+        for n in (20, 50, 60, 252):
+            assert f"RowFrame, -{n - 1}, currentrow" not in plan(df)
+
+
 def test_facts_are_thinned_before_an_asof(spark):
     p = frame(300)
     facts = spark.createDataFrame(p[["asset", "d", "y"]])
@@ -73,3 +82,10 @@ def test_facts_are_thinned_before_an_asof(spark):
     gaps = facts.filter("day(d) > 20")
     want = A.asof(keys, gaps, ["asset"], "rd", "d", ["y"]).orderBy("asset", "rd").collect()
     assert A.asof(keys, A.newest_at(gaps, keys, ["asset"], "d"), ["asset"], "rd", "d", ["y"]).orderBy("asset", "rd").collect() == want
+
+
+def test_technical_rows_stay_with_their_asset(spark):
+    s = Star(spark, SF)
+    text = T.technical_features(s.bars(), s.market())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+    assert "_next_fact" in plan(T.technical_at(s.bars(), s.market(), s.keys()))

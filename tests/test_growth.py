@@ -89,3 +89,15 @@ def test_technical_rows_stay_with_their_asset(spark):
     text = T.technical_features(s.bars(), s.market())._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
     assert "_next_fact" in plan(T.technical_at(s.bars(), s.market(), s.keys()))
+
+
+def test_regime_reads_averages_alone(spark):
+    load()
+    from panelspark.catalog import flow_macro as FM
+
+    s = Star(spark, SF)
+    text = plan(FM.regimes(s))
+    assert "atr" not in text and "high_52w" not in text
+    keys = s.keys()
+    want = T.technical_at(s.bars(), s.market(), keys).select("asset", "rd", "ma_stack_aligned").orderBy("asset", "rd").collect()
+    assert T.aligned_at(s.bars(), keys).orderBy("asset", "rd").collect() == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.operators.packets import DIMENSIONS, PILLARS, SOURCE_TYPES
+from panelspark.sources.files import spread
 from panelspark.sources.star import Star
 
 CUTOFF = "2002-06-30T00:00:00+00:00"
@@ -19,7 +20,7 @@ def _pick(values: list[str], i: Column) -> Column:
 
 
 def moat_packets(s: Star) -> DataFrame:
-    """One packet per order; two pieces of evidence per dimension."""
+    """One packet per order; two pieces of evidence per dimension. Orders are dealt out first: a packet is hundreds of times the size of its order."""
     k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
     first = [v[0][0] for v in SOURCE_TYPES.values()]
 
@@ -47,14 +48,15 @@ def moat_packets(s: Star) -> DataFrame:
 
     names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(DIMENSIONS)])
     dims = F.map_from_entries(F.transform(names, dimension))
-    return s.table("orders").select(
+    orders = spread(s.table("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    return orders.select(
         k.cast("string").alias("packet_id"), F.lit("moat-quality-v2").alias("schema"), F.concat(F.lit("A"), c.cast("string")).alias("asset_id"), F.concat(F.lit("I"), c.cast("string")).alias("issuer_id"),
         _iso(d).alias("as_of"), _iso(F.date_add(d, 1)).alias("reviewed_at"), F.when(F.col("o_orderstatus") == "P", "DRAFT").otherwise("RESEARCH_REVIEWED").alias("review_status"), dims.alias("dimensions"),
     )
 
 
 def methodology_packets(s: Star) -> DataFrame:
-    """One packet per customer."""
+    """One packet per customer. Customers are dealt out first, as orders are."""
     k = F.col("c_custkey")
     d = F.lit("2000-01-31").cast("date")
 
@@ -75,7 +77,7 @@ def methodology_packets(s: Star) -> DataFrame:
 
     names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(PILLARS)])
     pillars = F.map_from_entries(F.transform(names, pillar))
-    return s.table("customer").select(
+    return spread(s.table("customer").select("c_custkey", "c_mktsegment")).select(
         k.cast("string").alias("packet_id"), F.lit("methodology-v1").alias("schema"), F.lit("anchor-v1").alias("assessment_anchor_version"), F.concat(F.lit("A"), k.cast("string")).alias("asset_id"), F.concat(F.lit("I"), k.cast("string")).alias("issuer_id"),
         F.lit("KR").alias("country"), F.lit("EQUITY").alias("asset_class"), F.when(F.col("c_mktsegment") == "MACHINERY", "WIDGETS").otherwise("GENERAL").alias("sector_profile"), _iso(d).alias("as_of"), _iso(F.date_add(d, 2)).alias("reviewed_at"),
         F.lit("RESEARCH_REVIEWED").alias("review_status"), pillars.alias("pillars"),

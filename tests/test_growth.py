@@ -101,3 +101,8 @@ def test_regime_reads_averages_alone(spark):
     keys = s.keys()
     want = T.technical_at(s.bars(), s.market(), keys).select("asset", "rd", "ma_stack_aligned").orderBy("asset", "rd").collect()
     assert T.aligned_at(s.bars(), keys).orderBy("asset", "rd").collect() == want
+
+
+def test_packets_are_dealt_out(spark):
+    s = Star(spark, SF)
+    assert "Repartition" in plan(PS.moat_packets(s)) and "Repartition" in plan(PS.methodology_packets(s))

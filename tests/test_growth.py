@@ -106,3 +106,12 @@ def test_regime_reads_averages_alone(spark):
 def test_packets_are_dealt_out(spark):
     s = Star(spark, SF)
     assert "Repartition" in plan(PS.moat_packets(s)) and "Repartition" in plan(PS.methodology_packets(s))
+
+
+def test_first_source_in_parts_of_bounded_size(spark, monkeypatch):
+    a = spark.createDataFrame([(k, k * 1.0) for k in range(0, 40, 2)], "k int, v double")
+    b = spark.createDataFrame([(k, -k * 1.0) for k in range(40)], "k int, v double")
+    monkeypatch.setattr(N, "ROWS_PER_TASK", 10)
+    got = N.first_available_source([("a", a), ("b", b)], ["k"])
+    assert "RepartitionByExpression [k" in plan(got) and ", 7" in plan(got)
+    assert {r.k: (r.v, r.source_identity) for r in got.collect()} == {k: (k * 1.0, "a") if k % 2 == 0 else (-k * 1.0, "b") for k in range(40)}

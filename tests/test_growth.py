@@ -115,3 +115,10 @@ def test_first_source_in_parts_of_bounded_size(spark, monkeypatch):
     got = N.first_available_source([("a", a), ("b", b)], ["k"])
     assert "RepartitionByExpression [k" in plan(got) and ", 7" in plan(got)
     assert {r.k: (r.v, r.source_identity) for r in got.collect()} == {k: (k * 1.0, "a") if k % 2 == 0 else (-k * 1.0, "b") for k in range(40)}
+
+
+def test_class_weights_move_no_rows(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (1, 4.0), (None, 5.0)], "y int, x double")
+    got = M.balanced(df, "y")
+    assert "Join" not in plan(got)
+    assert sorted((r.y, r.x, r._wt) for r in got.collect()) == [(0, 1.0, 5 / 6), (0, 2.0, 5 / 6), (0, 3.0, 5 / 6), (1, 4.0, 2.5)]

@@ -1,6 +1,7 @@
 """What keeps time, shuffles and memory from growing faster than the tables: plans, and results against plain ones."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 from panelspark.catalog import load
 from panelspark.functions import rolling as R
-from panelspark.operators import asof as A, flow as FL, models as M, technical as T, universe as U
+from panelspark.operators import asof as A, dip_features as D, episodes as EP, flow as FL, models as M, technical as T, universe as U
+from panelspark.operators.ordered import value_positions
 from panelspark.sources import normalize as N, packets as PS
 from panelspark.sources.star import Star
+from panelspark.streaming import monitors as MO
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,3 +125,12 @@ def test_class_weights_move_no_rows(spark):
     got = M.balanced(df, "y")
     assert "Join" not in plan(got)
     assert sorted((r.y, r.x, r._wt) for r in got.collect()) == [(0, 1.0, 5 / 6), (0, 2.0, 5 / 6), (0, 3.0, 5 / 6), (1, 4.0, 2.5)]
+
+
+def test_keys_and_month_closes_land_once(spark):
+    s = Star(spark, SF)
+    for df in (s.keys(), s.month_closes()):
+        assert "Aggregate" not in plan(df) and "Window" not in plan(df)
+    again = Star(spark, SF)
+    assert again.month_closes().inputFiles() == s.month_closes().inputFiles()
+    assert s.month_closes().count() == s.keys().count()

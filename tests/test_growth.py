@@ -134,3 +134,13 @@ def test_keys_and_month_closes_land_once(spark):
     again = Star(spark, SF)
     assert again.month_closes().inputFiles() == s.month_closes().inputFiles()
     assert s.month_closes().count() == s.keys().count()
+
+
+def test_sizes_of_groups_are_read_in_both_branches(spark):
+    """The ranges of a value and their offsets are worked out from one aggregation."""
+    df = spark.createDataFrame([(k % 3, float(k % 50)) for k in range(300)], "g int, v double")
+    stats = [line for line in plan(value_positions(df, ["g"], "v")).splitlines() if "collect_list" in line]
+    assert len(stats) == 2 and all("sum(eq" in line for line in stats)
+    got = {(r.g, r.v): (r.lt, r.eq, r.n) for r in value_positions(df, ["g"], "v").collect()}
+    vals = [float(k % 50) for k in range(300) if k % 3 == 1]
+    assert got[1, 7.0] == (sum(v < 7 for v in vals), vals.count(7.0), 100)

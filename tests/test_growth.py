@@ -144,3 +144,9 @@ def test_sizes_of_groups_are_read_in_both_branches(spark):
     got = {(r.g, r.v): (r.lt, r.eq, r.n) for r in value_positions(df, ["g"], "v").collect()}
     vals = [float(k % 50) for k in range(300) if k % 3 == 1]
     assert got[1, 7.0] == (sum(v < 7 for v in vals), vals.count(7.0), 100)
+
+
+def test_peaks_of_dips_without_long_frames(spark):
+    s = Star(spark, SF)
+    for df in (D.numbered(s.bars()), EP.dip_candidates(s.bars())):
+        assert "RowFrame, -30, " not in plan(df)

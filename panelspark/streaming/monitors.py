@@ -170,6 +170,8 @@ def judged_days(days: DataFrame) -> DataFrame:
 def run_dip_alerts(days: DataFrame, name: str = "dip-alerts") -> DataFrame:
     """Dips from a stream of daily bars and flows that may come in any order and in any number of batches.
 
+    A batch has one file a bucket.
+
     days has (asset, d, close, low, high, foreign_net, inst_net), bars or flows missing where there are none; rows of one asset and date count as one.
     State is the tail of each asset: its last five bars and five flows. A batch is judged against the tails alone. Only assets
     for which a day comes late are judged anew from their first late day on, from the history kept in one of 64 buckets, of which only
@@ -188,7 +190,7 @@ def run_dip_alerts(days: DataFrame, name: str = "dip-alerts") -> DataFrame:
 
     def judge(batch: DataFrame, version: int) -> None:
         folder = f"{out}/days/batch={version}"
-        one(batch.select(*_ROW)).withColumn("bucket", F.pmod(F.xxhash64("asset"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        one(batch.select(*_ROW)).withColumn("bucket", F.pmod(F.xxhash64("asset"), F.lit(BUCKETS))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         new = spark.read.schema(kept).parquet(folder).select(*_ROW)
         state = spark.read.schema(kept).parquet(f"{out}/tail/version={version - 1}") if version else spark.createDataFrame([], kept)
         last = state.groupBy("asset").agg(F.max("d").alias("last"))

@@ -150,3 +150,14 @@ def test_peaks_of_dips_without_long_frames(spark):
     s = Star(spark, SF)
     for df in (D.numbered(s.bars()), EP.dip_candidates(s.bars())):
         assert "RowFrame, -30, " not in plan(df)
+
+
+def test_days_land_in_one_file_a_bucket(spark, tmp_path):
+    rows = [(f"{a:06d}", dt.date(2020, 1, d), 100.0, 99.0, 101.0, 1.0, 1.0) for a in range(400) for d in (1, 2)]
+    days_in = spark.createDataFrame(rows, "asset string, d date, close double, low double, high double, foreign_net double, inst_net double")
+    days_in.repartition(1).write.parquet(str(tmp_path / "in"))
+    out = MO.run_dip_alerts(MO.stream_of(spark, str(tmp_path / "in"), days_in.schema), "one-file")
+    assert out.count() == 800
+    folder = Path(next(p for p in out.inputFiles()).removeprefix("file:").replace("%3D", "=").split("/data/")[0])
+    for bucket in folder.glob("days/batch=0/bucket=*"):
+        assert len(list(bucket.glob("*.parquet"))) == 1

@@ -161,3 +161,9 @@ def test_days_land_in_one_file_a_bucket(spark, tmp_path):
     folder = Path(next(p for p in out.inputFiles()).removeprefix("file:").replace("%3D", "=").split("/data/")[0])
     for bucket in folder.glob("days/batch=0/bucket=*"):
         assert len(list(bucket.glob("*.parquet"))) == 1
+
+
+def test_smoothing_sorts_narrow_rows(spark):
+    s = Star(spark, SF)
+    text = plan(T.technical_features(s.bars(), s.market()))
+    assert text.rindex("_b#") > text.rindex("high_52w")  # printed last is done first

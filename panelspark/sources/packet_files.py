@@ -25,15 +25,17 @@ def read_packets(spark: SparkSession, path: str, kind: str, whole_files: bool =
     lines = lines.select(F.trim("value").alias("raw")).filter(F.col("raw") != "")
     corrupt = T.StructType([*parsed_type.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    p = lines.select("raw", F.from_json("raw", corrupt, options).alias("p"), F.from_json("raw", f"{part} map<string, map<string, string>>").alias("_names"))
+    # the id is parsed on its own, without what else is in the text: where only ids and reasons are asked for, the rest is never parsed
+    p = lines.select("raw", F.from_json("raw", "packet_id string, _corrupt string", options).alias("_id"), F.from_json("raw", corrupt, options).alias("p"), F.from_json("raw", f"{part} map<string, map<string, string>>").alias("_names"))
     # a wrong type leaves the record whole; what cannot be read at all has no top-level names
     top = F.json_object_keys("raw")
     is_json = F.expr("try_parse_json(raw) is not null")
-    reason = F.when(~is_json, "not_json").when(top.isNull(), "packet_object").when(F.coalesce(F.trim("p.packet_id"), F.lit("")) == "", "packet_id")
+    reason = F.when(~is_json, "not_json").when(top.isNull(), "packet_object").when(F.coalesce(F.trim("_id.packet_id"), F.lit("")) == "", "packet_id")
     outside = F.array_except(F.coalesce(top, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in parsed_type.fieldNames()]))
     inside = F.flatten(F.transform(F.map_entries(F.coalesce(f"_names.{part}", F.create_map().cast("map<string, map<string, string>>"))), lambda e: F.transform(
         F.array_except(F.coalesce(F.map_keys(e["value"]), F.array().cast("array<string>")), F.array(*[F.lit(n) for n in known])), lambda f: F.concat(e["key"], F.lit("."), f))))
-    return p.select(*[F.col(f"p.{n}").alias(n) for n in parsed_type.fieldNames()], F.array_sort(F.concat(outside, inside)).alias("unknown_fields"), reason.alias("reason"), "raw")
+    columns = [F.col("_id.packet_id" if n == "packet_id" else f"p.{n}").alias(n) for n in parsed_type.fieldNames()]
+    return p.select(*columns, F.array_sort(F.concat(outside, inside)).alias("unknown_fields"), reason.alias("reason"), "raw")
 
 
 def judged(packets: DataFrame) -> DataFrame:

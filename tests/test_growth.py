@@ -11,7 +11,8 @@ from panelspark.catalog import load
 from panelspark.functions import rolling as R
 from panelspark.operators import asof as A, dip_features as D, episodes as EP, flow as FL, models as M, technical as T, universe as U
 from panelspark.operators.ordered import value_positions
-from panelspark.sources import normalize as N, packets as PS
+from panelspark.operators import packets as PK
+from panelspark.sources import normalize as N, packet_files as PF, packets as PS
 from panelspark.sources.star import Star
 from panelspark.streaming import monitors as MO
 
@@ -111,6 +112,33 @@ def test_packets_are_dealt_out(spark):
     assert "Repartition" in plan(PS.moat_packets(s)) and "Repartition" in plan(PS.methodology_packets(s))
 
 
+def test_packets_are_not_written_or_joined_whole(spark):
+    """Rules and scores read packets as they are made, and only rows of scores meet the violations."""
+    registry = load()
+    for name in ("moat_violations", "moat_scores"):
+        assert "o_orderkey" in plan(registry[name].run(spark, SF))
+    text = plan(PK.moat_scores(PS.moat_packets(Star(spark, SF)), PS.CUTOFF))
+    assert text.startswith("Join LeftAnti")
+    # packets that share an id are judged together, each has its scores; one without an id is never struck out
+    good = PS.moat_packets(Star(spark, SF)).join(PK.moat_scores(PS.moat_packets(Star(spark, SF)), PS.CUTOFF).limit(1).select("packet_id"), "packet_id", "left_semi")
+    late = good.withColumn("review_status", F.lit("DRAFT"))
+    assert PK.moat_scores(good.unionByName(good), PS.CUTOFF).count() == 2
+    assert PK.moat_scores(good.unionByName(late), PS.CUTOFF).count() == 0
+    assert PK.moat_scores(late.withColumn("packet_id", F.lit(None).cast("string")), PS.CUTOFF).count() == 1
+
+
+def test_reasons_are_found_without_the_whole_parse(spark, tmp_path):
+    lines = ['{"packet_id": 7, "dimensions": 5}', '{"packet_id": {"a": 1}, "x": 1}', '{"packet_id": " ", "asset_id": "A"}', '{"asset_id": "A"}', '{"packet_id": "p", "dimensions": {"d": {"assessment": "many", "confidence": 0.5, "z": 1}}}', '{"packet_id": "p", "asset', "[1]", '{"packet_id": null}']
+    (tmp_path / "p.txt").write_text("\n".join(lines))
+    p = PF.read_packets(spark, str(tmp_path), "moat")
+    assert sorted((r.raw, r.reason) for r in PF.quarantine(p).collect()) == sorted([(lines[2], "packet_id"), (lines[3], "packet_id"), (lines[5], "not_json"), ("[1]", "packet_object"), (lines[7], "packet_id")])
+    got = {r.packet_id: r for r in PF.judged(p).collect()}
+    assert set(got) == {"7", '{"a":1}', "p"} and got["7"].dimensions is None and got["p"].dimensions["d"].assessment is None and got["p"].dimensions["d"].confidence == 0.5
+    assert got["p"].unknown_fields == ["d.z"] and got['{"a":1}'].unknown_fields == ["x"]
+    assert "assessment" not in plan(PF.quarantine(p).select("reason"))
+    assert "reconciliation" not in plan(PF.judged(p).select("packet_id"))
+
+
 def test_first_source_in_parts_of_bounded_size(spark, monkeypatch):
     a = spark.createDataFrame([(k, k * 1.0) for k in range(0, 40, 2)], "k int, v double")
     b = spark.createDataFrame([(k, -k * 1.0) for k in range(40)], "k int, v double")

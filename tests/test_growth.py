@@ -195,3 +195,25 @@ def test_smoothing_sorts_narrow_rows(spark):
     s = Star(spark, SF)
     text = plan(T.technical_features(s.bars(), s.market()))
     assert text.rindex("_b#") > text.rindex("high_52w")  # printed last is done first
+
+
+def test_few_rows_are_read_around_a_dip(spark):
+    """Bars are marked where they lie, 60 rows back answer every range but the long averages and the yearly high, and rows meet dips once."""
+    p = frame(300)
+    bars = spark.createDataFrame(p.assign(close=p.y.abs() % 50 + 900, volume=p.y.abs() + 1)[["asset", "d", "close", "volume"]])
+    bars = bars.select("asset", "d", "close", (F.col("close") + 5).alias("high"), (F.col("close") - 5).alias("low"), "volume", (F.col("close") * F.col("volume")).alias("value"))
+    bars = bars.withColumn("close", F.when(F.dayofmonth("d") != 13, F.col("close")))  # a close may be missing
+    dips = spark.createDataFrame([(a, days(300)[k]) for a in ("A", "B", "C") for k in (10, 70, 251, 252, 260, 299)], "asset string, dip_date date")
+    got = D.bar_features(bars, dips.union(dips))
+    assert plan(got).count("Join ") == 1 and "-252" not in plan(got)
+    got = {(r.asset, r.t): r for r in got.collect()}
+    assert set(got) == {(a, k) for a in ("A", "B") for k in (10, 70, 251, 252, 260, 299)}
+    for a in ("A", "B"):
+        c = [r.close for r in bars.filter(F.col("asset") == a).orderBy("d").collect()]
+        for k in (10, 70, 251, 252, 260, 299):
+            known = lambda lo, hi: [v for v in c[lo:hi] if v is not None]
+            for n, name in ((50, "f_dist_from_50_ma"), (200, "f_dist_from_200_ma")):
+                want = c[k] / np.mean(known(k - n, k)) - 1 if k >= n and c[k] is not None else None
+                assert (got[a, k][name] is None) == (want is None) and (want is None or abs(got[a, k][name] - want) < 1e-9)
+            want = c[k] / max(known(k - 252, k + 1)) - 1 if k >= 252 and c[k] is not None else None
+            assert (got[a, k].f_dist_from_52w_high is None) == (want is None) and (want is None or abs(got[a, k].f_dist_from_52w_high - want) < 1e-9)

@@ -58,7 +58,7 @@ def repeated_line_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
-    """docs with text_col cut to the lines its bitmap keeps, plus two long columns: lines before, and lines dropped.
+    """docs with text_col, after the other columns, cut to the lines its bitmap keeps, plus two long columns: lines before, and lines dropped.
 
     They are named by `counts`; columns of docs with these names would be lost, so they raise.
     """
@@ -76,8 +76,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         return word.isNull() | (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))) != 0)
 
     cut = F.when(F.col(keep).isNull(), body).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    out = [cut.alias(c) if c == text_col else common.named(c) for c in docs.columns]
-    return joined.select(*out, F.size(lines).cast("long").alias(counts[0]), F.coalesce(n, F.lit(0)).cast("long").alias(counts[1]))
+    out = [common.named(c) for c in docs.columns if c.lower() != text_col.lower()]
+    return joined.select(*out, cut.alias(text_col), F.size(lines).cast("long").alias(counts[0]), F.coalesce(n, F.lit(0)).cast("long").alias(counts[1]))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
